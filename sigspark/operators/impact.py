@@ -21,39 +21,53 @@ def daily_volume(texts: DataFrame, ticker: str = "ticker_hint", ts: str = "ts")
     )
 
 
-def trailing_volume(daily: DataFrame, asked: DataFrame | None = None, params: ImpactParams | None = None) -> DataFrame:
-    """Mean, std and number of *observed* days in the window [d-30, d-1], and the volume signal.
+def _signal(current: Column, params: ImpactParams) -> Column:
+    mean, std = F.col("mean_volume"), F.col("std_volume")
+    flat = F.when(current > mean, 1.0).when(current < mean, 0.0).otherwise(F.lit(params.fallback))
+    return (
+        F.when(F.coalesce("n_days", F.lit(0)) < params.min_days, F.lit(params.fallback))
+        .when(std.isNull() | (std == 0), flat)
+        .otherwise(sigmoid((current - mean) / F.when(std != 0, std)))
+    )
 
-    ``asked`` holds (ticker, date) pairs that may be missing from the history; they get a
-    window too. A ticker has one row per day, so a window partition is bounded by the calendar.
+
+def trailing_volume(daily: DataFrame, params: ImpactParams | None = None) -> DataFrame:
+    """Mean, std and number of *observed* days in the window [d-30, d-1], per observed day.
+
+    A ticker has one row per day here, so a window partition is bounded by the calendar.
     """
     params = params or ImpactParams()
-    rows = daily.select("ticker", "date", "volume")
-    if asked is not None:
-        pairs = asked.select("ticker", "date", F.lit(None).cast("bigint").alias("volume"))
-        rows = rows.unionByName(pairs).groupBy("ticker", "date").agg(F.max("volume").alias("volume"))
-    day = F.unix_date("date")
-    window = Window.partitionBy("ticker").orderBy(day).rangeBetween(-params.trailing_days, -1)
-    whole = Window.partitionBy("ticker")
-    stats = rows.withColumns(
+    window = Window.partitionBy("ticker").orderBy(F.unix_date("date")).rangeBetween(-params.trailing_days, -1)
+    return daily.select("ticker", "date", "volume").withColumns(
         {
             "mean_volume": F.avg("volume").over(window),
             "std_volume": F.stddev_samp("volume").over(window),
             "n_days": F.count("volume").over(window),
-            "_known": F.count("volume").over(whole) > 0,
         }
     )
-    current = F.coalesce(F.col("volume"), F.lit(0)).cast("double")
-    mean, std = F.col("mean_volume"), F.col("std_volume")
-    flat = (
-        F.when(current > mean, 1.0).when(current < mean, 0.0).otherwise(F.lit(params.fallback))
+
+
+def volume_signals(daily: DataFrame, params: ImpactParams | None = None) -> DataFrame:
+    """Volume signal for every day that can have one, observed or not.
+
+    Each observed day contributes to the 30 days after it, which answers any query day without
+    first collecting the days asked for. Days missing here have no history: fallback.
+    """
+    params = params or ImpactParams()
+    reach = F.sequence(F.date_add("date", 1), F.date_add("date", params.trailing_days))
+    stats = (
+        daily.select("ticker", F.explode(reach).alias("date"), "volume")
+        .groupBy("ticker", "date")
+        .agg(
+            F.avg("volume").alias("mean_volume"),
+            F.stddev_samp("volume").alias("std_volume"),
+            F.count("volume").alias("n_days"),
+        )
     )
-    signal = (
-        F.when(~F.col("_known") | (F.col("n_days") < params.min_days), F.lit(params.fallback))
-        .when(std.isNull() | (std == 0), flat)
-        .otherwise(sigmoid((current - mean) / F.when(std != 0, std)))
+    current = F.coalesce(F.col("volume"), F.lit(0)).cast("double")
+    return stats.join(daily.select("ticker", "date", "volume"), ["ticker", "date"], "left").withColumn(
+        "volume_signal", _signal(current, params)
     )
-    return stats.withColumn("volume_signal", signal).drop("_known")
 
 
 def news_volume_signal(dup_count: Column, params: ImpactParams | None = None) -> Column:
@@ -72,20 +86,23 @@ def with_volume_signal(
     it when its measured size allows and splits skewed partitions otherwise.
     """
     params = params or ImpactParams()
-    is_tweet = F.lower(F.coalesce("source", F.lit(""))).isin(*fv.TWEET_SOURCES)
-    tweets = rows.filter(is_tweet).withColumn("_date", F.to_date("ts"))
-    asked = tweets.filter("_date IS NOT NULL").select(F.col(ticker).alias("ticker"), F.col("_date").alias("date")).distinct()
-    signal = trailing_volume(daily, asked, params).select(
-        F.col("ticker").alias("_ticker"), F.col("date").alias("_day"), "volume_signal"
-    )
-    scored = (
-        tweets.join(signal, (F.col(ticker) == F.col("_ticker")) & (F.col("_date") == F.col("_day")), "left")
-        .withColumn("volume_signal", F.coalesce("volume_signal", F.lit(params.fallback)))
-        .drop("_ticker", "_day", "_date")
+    is_tweet = F.lower(F.coalesce("source", F.lit(""))).isin(*fv.TWEET_SOURCES) & F.col("ts").isNotNull()
+    signal = volume_signals(daily, params).select(
+        F.col("ticker").alias("_key"), F.col("date").alias("_day"), F.col("volume_signal").alias("_signal")
     )
+    # rows that look nothing up get keys that match nothing, spread over all partitions
+    lookup_key = F.when(is_tweet, F.col(ticker)).otherwise(F.concat(F.lit("\x00"), F.spark_partition_id().cast("string")))
     copies = F.col("dup_count") if "dup_count" in rows.columns else F.lit(1)
-    news = rows.filter(~is_tweet).withColumn("volume_signal", news_volume_signal(copies, params))
-    return scored.unionByName(news)
+    tweet_source = F.lower(F.coalesce("source", F.lit(""))).isin(*fv.TWEET_SOURCES)
+    return (
+        rows.withColumns({"_ticker": lookup_key, "_date": F.coalesce(F.to_date("ts"), F.lit("1970-01-01").cast("date"))})
+        .join(signal, (F.col("_ticker") == F.col("_key")) & (F.col("_date") == F.col("_day")), "left")
+        .withColumn(
+            "volume_signal",
+            F.when(tweet_source, F.coalesce("_signal", F.lit(params.fallback))).otherwise(news_volume_signal(copies, params)),
+        )
+        .drop("_ticker", "_date", "_key", "_day", "_signal")
+    )
 
 
 def impact_parts(volume: Column, params: ImpactParams | None = None) -> dict[str, Column]:

@@ -25,11 +25,6 @@ class Scorer(Protocol):
     def logits(self, texts: list[str]) -> np.ndarray: ...
 
 
-def softmax(logits: np.ndarray) -> np.ndarray:
-    shifted = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return shifted / shifted.sum(axis=1, keepdims=True)
-
-
 def score_batches(texts: DataFrame, make_scorer: Callable[[], Scorer], batch_size: int = 32) -> DataFrame:
     """(cache_key, clean_text) -> class probabilities; the model is made once per Python worker task."""
 
@@ -86,16 +81,21 @@ def attach_scores(df: DataFrame, scored: DataFrame, text: str = "text", source:
     """Join probabilities by content hash; blank texts are neutral with full confidence."""
     src = F.col(source) if source in df.columns else None
     clean = tx.clean_for_model(F.col(text), src)
-    keyed = df.withColumn("_clean", clean).withColumn("cache_key", F.when(F.col("_clean") != "", cache_key(F.col("_clean"))))
-    # blank rows carry no key, so they never meet in one join partition
-    blank = keyed.filter("cache_key IS NULL").withColumns(
-        {"p_pos": F.lit(0.0), "p_neg": F.lit(0.0), "p_neu": F.lit(1.0)}
+    # blank rows look nothing up; their keys match nothing and spread over all partitions
+    key = F.when(F.col("_clean") != "", cache_key(F.col("_clean"))).otherwise(
+        F.concat(F.lit("blank-"), F.spark_partition_id().cast("string"))
     )
-    joined = keyed.filter("cache_key IS NOT NULL").join(
+    joined = df.withColumn("_clean", clean).withColumn("cache_key", key).join(
         scored.select("cache_key", "p_pos", "p_neg", "p_neu"), "cache_key", "left"
     )
-    both = joined.unionByName(blank).withColumns(label_columns())
-    return both.select(*df.columns, *SCORE_COLUMNS)
+    blank = F.col("_clean") == ""
+    filled = joined.withColumns(
+        {
+            name: F.when(blank, F.lit(value)).otherwise(F.col(name))
+            for name, value in (("p_pos", 0.0), ("p_neg", 0.0), ("p_neu", 1.0))
+        }
+    )
+    return filled.withColumns(label_columns()).select(*df.columns, *SCORE_COLUMNS)
 
 
 def score_texts(
