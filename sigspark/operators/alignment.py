@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sigspark import fixed_values as fv
 from sigspark.functions.numeric import clip
+from sigspark.session import local_table
 
 # a calendar beyond this many days (270 years) is not broadcast
 MAX_CALENDAR_DAYS = 100_000
@@ -24,13 +28,46 @@ def trading_calendar(prices: DataFrame, benchmark: str = fv.BENCHMARK) -> DataFr
     return chosen.select("date", (F.row_number().over(numbered) - 1).alias("idx"))
 
 
-def bounded_calendar(calendar: DataFrame, limit: int = MAX_CALENDAR_DAYS) -> tuple[DataFrame, bool]:
-    """Evaluate the calendar once. Within the limit it becomes a local table safe to broadcast."""
-    rows = calendar.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return calendar, False
-    schema = "date date, idx int"
-    return calendar.sparkSession.createDataFrame([(row["date"], row["idx"]) for row in rows], schema), True
+@dataclass(frozen=True)
+class Calendar:
+    """A trading calendar evaluated once.
+
+    Within the day limit the dates are known here and every table built from them is safe to
+    broadcast; beyond it ``dates`` is None and the joins stay unhinted.
+    """
+
+    spark: SparkSession
+    dates: tuple[date, ...] | None
+    frame: DataFrame
+
+    @staticmethod
+    def of(calendar: DataFrame, limit: int = MAX_CALENDAR_DAYS) -> Calendar:
+        rows = calendar.limit(limit + 1).collect()
+        if len(rows) > limit:
+            return Calendar(calendar.sparkSession, None, calendar)
+        dates = tuple(sorted(row["date"] for row in rows))
+        frame = local_table(calendar.sparkSession, [(day, i) for i, day in enumerate(dates)], [("date", "date"), ("idx", "int")])
+        return Calendar(calendar.sparkSession, dates, frame)
+
+    @property
+    def small(self) -> bool:
+        return self.dates is not None
+
+    @property
+    def table(self) -> DataFrame:
+        return F.broadcast(self.frame) if self.small else self.frame
+
+    def bounds(self) -> tuple[date | None, int]:
+        """(first date, last index)."""
+        if self.dates is not None:
+            return (self.dates[0] if self.dates else None), len(self.dates) - 1
+        row = self.frame.agg(F.min("date").alias("first"), F.max("idx").alias("last")).collect()[0]
+        return row["first"], row["last"]
+
+    def sessions(self) -> DataFrame:
+        """(day, t0, idx): every day between two sessions with the session it belongs to."""
+        mapping = session_map(self.frame)
+        return F.broadcast(mapping) if self.small else mapping
 
 
 def effective_date(ts: Column, cutoff_hour: int = fv.CUTOFF_HOUR_UTC) -> Column:
@@ -45,27 +82,18 @@ def session_map(calendar: DataFrame) -> DataFrame:
     session are not listed: they all map to it.
     """
     previous = F.lag("date").over(Window.partitionBy(F.lit(1)).orderBy("date"))
-    start = F.coalesce(F.date_add(previous, 1), F.col("date"))
-    return calendar.select(
+    start = F.coalesce(F.date_add("_previous", 1), F.col("date"))
+    return calendar.withColumn("_previous", previous).select(
         F.explode(F.sequence(start, F.col("date"))).alias("day"), F.col("date").alias("t0"), "idx"
     )
 
 
-def align_to_sessions(
-    df: DataFrame, calendar: DataFrame, ts: str = "ts", cutoff_hour: int = fv.CUTOFF_HOUR_UTC
-) -> DataFrame:
+def align_to_sessions(df: DataFrame, calendar: Calendar, ts: str = "ts", cutoff_hour: int = fv.CUTOFF_HOUR_UTC) -> DataFrame:
     """Attach t0 (first session on or after the effective date) and its index; null past the end."""
-    local, small = bounded_calendar(calendar)
-    mapping = session_map(local)
-    first = local.agg(F.min("date").alias("_first"))
-    if small:
-        rows = first.collect()
-        start = rows[0]["_first"]
-    else:
-        start = first.collect()[0]["_first"]
+    start, _ = calendar.bounds()
     day = effective_date(F.col(ts), cutoff_hour)
     lookup = F.greatest(day, F.lit(start)) if start is not None else day
-    mapping = F.broadcast(mapping) if small else mapping
+    mapping = calendar.sessions()
     keyed = df.withColumn("_day", F.when(day.isNotNull(), lookup))
     return keyed.join(mapping, keyed["_day"] == mapping["day"], "left").drop("_day", "day").withColumnRenamed("idx", "t0_idx")
 
@@ -87,28 +115,27 @@ def exclusion_flags(signals: DataFrame) -> dict[str, Column]:
     }
 
 
-def align_signals(signals: DataFrame, calendar: DataFrame, horizon: int = 2) -> DataFrame:
+def align_signals(signals: DataFrame, calendar: Calendar, horizon: int = 2) -> DataFrame:
     """Stock signals with t0 and whether their forward window [t0, t0+2] is in the calendar."""
     flags = exclusion_flags(signals)
     stock = with_sentiment_confidence(signals).filter(~flags["broadcast"] & ~flags["market"] & ~flags["labelled"])
-    last = calendar.agg((F.max("idx") - horizon).alias("_last")).collect()[0]["_last"]
+    _, last = calendar.bounds()
     aligned = align_to_sessions(stock, calendar)
-    limit = -1 if last is None else last
-    return aligned.withColumn("has_window", F.coalesce(F.col("t0_idx") <= limit, F.lit(False)))
+    return aligned.withColumn("has_window", F.coalesce(F.col("t0_idx") <= last - horizon, F.lit(False)))
 
 
-def eligible_signals(signals: DataFrame, calendar: DataFrame) -> DataFrame:
+def eligible_signals(signals: DataFrame, calendar: Calendar) -> DataFrame:
     return align_signals(signals, calendar).filter("has_window").drop("has_window")
 
 
-def drop_audit(signals: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Long audit table (metric, source, n) in one pass over the signals."""
+def drop_audit(signals: DataFrame, calendar: Calendar) -> DataFrame:
+    """Exclusions and retained signals per source, in one pass over the signals."""
     flags = exclusion_flags(signals)
-    last = calendar.agg(F.max("idx").alias("_last")).collect()[0]["_last"]
+    _, last = calendar.bounds()
     aligned = align_to_sessions(signals, calendar)
     stock = ~flags["broadcast"] & ~flags["market"] & ~flags["labelled"]
-    windowed = F.coalesce(F.col("t0_idx") <= (last - 2 if last is not None else -1), F.lit(False))
-    per_source = aligned.groupBy("source").agg(
+    windowed = F.coalesce(F.col("t0_idx") <= last - 2, F.lit(False))
+    return aligned.groupBy("source").agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(flags["broadcast"]).alias("broadcast_excluded"),
         F.count_if(flags["market"]).alias("market_excluded"),
@@ -117,4 +144,3 @@ def drop_audit(signals: DataFrame, calendar: DataFrame) -> DataFrame:
         F.count_if(stock & ~windowed).alias("dropped_missing_window"),
         F.count_if(stock & windowed).alias("retained"),
     )
-    return per_source

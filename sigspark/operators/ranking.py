@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.session import fits
+
 SALTS = 64
 
 
@@ -49,13 +51,32 @@ def row_numbers(df: DataFrame, keys: list[str], order: list[Column], pieces: lis
     )
 
 
-def split_points(df: DataFrame, value: str, parts: int | None = None) -> list[float]:
-    """About ``parts`` quantiles of a column: a bounded list, computed once as literals."""
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if parts < 2:
-        return []
-    found = df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.25 / parts)
-    return sorted(set(found or []))
+# up to this many rows a group is ranked in one task: an in-memory sort of a few columns
+ONE_TASK_ROWS = 1_000_000
+
+
+def split_points(df: DataFrame, columns: list[str], parts: int | None = None) -> dict[str, list[float]]:
+    """About ``parts`` quantiles per column, from one pass: bounded lists used as literals.
+
+    Tables that fit one task need no splitting; their size is checked first.
+    """
+    if fits(df, ONE_TASK_ROWS):
+        return {}
+    parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.approxQuantile(columns, [i / parts for i in range(1, parts)], 0.25 / parts)
+    return {name: sorted(set(points)) for name, points in zip(columns, found)}
+
+
+def windowed_ranks(df: DataFrame, columns: list[str], weight: str, groups: list[str]) -> DataFrame:
+    """Average ranks by plain windows, for groups that fit one task (one shuffle for all columns)."""
+    keys = groups or [F.lit(1)]
+    up = {name: Window.partitionBy(*keys).orderBy(F.asc(name)).rangeBetween(Window.unboundedPreceding, 0) for name in columns}
+    down = {name: Window.partitionBy(*keys).orderBy(F.desc(name)).rangeBetween(Window.unboundedPreceding, 0) for name in columns}
+    total = df.withColumn("_n", F.sum(weight).over(Window.partitionBy(*keys)))
+    # centred: how many lie at or below minus how many lie at or above, halved
+    return total.withColumns(
+        {f"_r_{name}": (F.sum(weight).over(up[name]) - F.sum(weight).over(down[name])) / 2.0 for name in columns}
+    )
 
 
 def piece_of(value: Column, points: list[float]) -> Column:

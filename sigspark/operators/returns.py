@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sigspark import fixed_values as fv
 from sigspark.operators.alignment import MAX_CALENDAR_DAYS
+from sigspark.session import local_table
 
 VOLATILITY_DAYS = 20
 VOLATILITY_MIN_DAYS = 10
@@ -36,7 +37,7 @@ def benchmark_returns(returns: DataFrame, benchmark: str = fv.BENCHMARK) -> tupl
     rows = series.limit(MAX_CALENDAR_DAYS + 1).collect()
     if len(rows) > MAX_CALENDAR_DAYS:
         return series, False
-    return returns.sparkSession.createDataFrame([tuple(row) for row in rows], "date date, spy_ret double"), True
+    return local_table(returns.sparkSession, [tuple(row) for row in rows], [("date", "date"), ("spy_ret", "double")]), True
 
 
 def abnormal_returns(prices: DataFrame, benchmark: str = fv.BENCHMARK) -> DataFrame:

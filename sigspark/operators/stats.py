@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.ranking import average_ranks, split_points
+from sigspark.operators.ranking import average_ranks, split_points, windowed_ranks
 
 MIN_OBSERVATIONS = 5
 
@@ -19,14 +19,23 @@ def _correlation(x: str, y: str, weight: Column) -> Column:
     return F.when(var > 0, cov / F.sqrt(var))
 
 
-def centred_ranks(df: DataFrame, columns: list[str], groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
+def centred_ranks(
+    df: DataFrame, columns: list[str], groups: list[str] | None = None, weight: str | None = None,
+    points: dict[str, list[float]] | None = None,
+) -> DataFrame:
     """Rows reduced to distinct value tuples with multiplicity ``_w``, group size ``_n`` and
-    centred average ranks ``_r_<column>``. Rows with a null in any column are left out."""
+    centred average ranks ``_r_<column>``. Rows with a null in any column are left out.
+
+    ``points`` split large groups into value ranges; they are found here unless given.
+    """
     groups = groups or []
     complete = df.dropna(subset=[*columns, *groups])
     weights = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    points = {name: split_points(complete, name) for name in columns}
+    if points is None:
+        points = split_points(complete, columns)
     tuples = complete.groupBy(*groups, *columns).agg(F.sum(weights).alias("_w"))
+    if not points:
+        return windowed_ranks(tuples, columns, "_w", groups)
     total = tuples.groupBy(*groups).agg(F.sum("_w").alias("_n")) if groups else tuples.agg(F.sum("_w").alias("_n"))
     ranked = tuples
     for name in columns:
@@ -40,9 +49,12 @@ def centred_ranks(df: DataFrame, columns: list[str], groups: list[str] | None =
     return ranked.withColumns({f"_r_{name}": F.col(f"_r_{name}") - (F.col("_n") + 1) / 2.0 for name in columns})
 
 
-def spearman(df: DataFrame, x: str, y: str, groups: list[str] | None = None, weight: str | None = None) -> DataFrame:
+def spearman(
+    df: DataFrame, x: str, y: str, groups: list[str] | None = None, weight: str | None = None,
+    points: dict[str, list[float]] | None = None,
+) -> DataFrame:
     """Spearman rho and n per group (pairs with a null are dropped)."""
-    ranked = centred_ranks(df, [x, y], groups, weight)
+    ranked = centred_ranks(df, [x, y], groups, weight, points)
     measures = [_correlation(f"_r_{x}", f"_r_{y}", F.col("_w")).alias("rho"), F.sum("_w").alias("n")]
     return ranked.groupBy(*groups).agg(*measures) if groups else ranked.agg(*measures)
 
@@ -215,12 +227,13 @@ def bootstrap_spearman(
     ranks are computed per (replicate, value range), never per whole replicate.
     """
     complete = days.dropna(subset=[x, y]).select(block, x, y)
-    point = spearman(complete, x, y).select(F.col("rho").alias("estimate"))
+    points = split_points(complete, [x, y])
+    point = spearman(complete, x, y, points=points).select(F.col("rho").alias("estimate"))
     n_blocks = _block_count(complete, block)
     if n_blocks <= 2:
         return point.withColumns({"ci_low": F.col("estimate"), "ci_high": F.col("estimate"), "n_replicates": F.lit(0).cast("bigint")})
     drawn = complete.join(block_draws(complete, block, n_boot, seed, n_blocks), block)
-    replicates = spearman(drawn, x, y, ["replicate"], "draws").select(F.col("rho").alias("value"))
+    replicates = spearman(drawn, x, y, ["replicate"], "draws", points).select(F.col("rho").alias("value"))
     return _interval(replicates, point, ci)
 
 
@@ -233,9 +246,15 @@ def permutation_test(
     rank values move. Group sizes are bounded by the calendar (one row per group and day).
     """
     complete = days.dropna(subset=[x, y]).select(group, key, x, y)
-    ranks_x = average_ranks(complete.withColumn("_w", F.lit(1)), x, "_w", [], split_points(complete, x), "_rx")
-    ranks_y = average_ranks(complete.withColumn("_w", F.lit(1)), y, "_w", [], split_points(complete, y), "_ry")
-    ranked = complete.join(ranks_x, x).join(ranks_y, y).select(group, key, "_rx", "_ry")
+    points = split_points(complete, [x, y])
+    weighted = complete.withColumn("_w", F.lit(1).cast("bigint"))
+    if points:
+        ranked = complete
+        for name in (x, y):
+            ranked = ranked.join(average_ranks(weighted, name, "_w", [], points[name], f"_r_{name}"), name)
+    else:
+        ranked = windowed_ranks(weighted, [x, y], "_w", [])
+    ranked = ranked.select(group, key, F.col(f"_r_{x}").alias("_rx"), F.col(f"_r_{y}").alias("_ry"))
     perms = F.explode(F.sequence(F.lit(0), F.lit(n_perm)))
     # replicate 0 keeps the observed order
     shuffled_by = F.when(F.col("replicate") == 0, F.struct(F.lit(0).cast("bigint"), F.col(key))).otherwise(

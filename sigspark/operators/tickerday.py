@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sigspark import fixed_values as fv
 from sigspark.functions.text import week_key
-from sigspark.operators.alignment import align_to_sessions, eligible_signals
+from sigspark.operators.alignment import Calendar, align_to_sessions, eligible_signals
 
 HIGH_CONFIDENCE = 0.8
 MIN_OBSERVATIONS = 30
@@ -72,13 +72,13 @@ def sentiment_bucket(score: Column) -> Column:
     return F.when(score < -0.2, "Negative").when(score > 0.2, "Positive").otherwise("Neutral")
 
 
-def event_windows(days: DataFrame, returns: DataFrame, calendar: DataFrame) -> DataFrame:
+def event_windows(days: DataFrame, returns: DataFrame, calendar: Calendar) -> DataFrame:
     """Attach ar0..ar2 at the calendar days t0, t0+1, t0+2, CARs, volatility, week and bucket.
 
     Returns are spread to the observations they serve (one row per offset) and pivoted back
     with a single equi-join on (ticker, index).
     """
-    indexed = returns.join(calendar, "date").select("ticker", "idx", "ar", "trailing_vol_20")
+    indexed = returns.join(calendar.table, "date").select("ticker", "idx", "ar", "trailing_vol_20")
     spread = indexed.select(
         F.col("ticker").alias("_ticker"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("offset"), (F.col("idx") - k).alias("at")) for k in range(3)])).alias("_o"),
@@ -101,7 +101,7 @@ def event_windows(days: DataFrame, returns: DataFrame, calendar: DataFrame) -> D
     )
 
 
-def observations(signals: DataFrame, returns: DataFrame, calendar: DataFrame) -> DataFrame:
+def observations(signals: DataFrame, returns: DataFrame, calendar: Calendar) -> DataFrame:
     """Signals -> ticker-day observations with event-window returns."""
     return event_windows(ticker_days(eligible_signals(signals, calendar)), returns, calendar)
 
@@ -120,7 +120,7 @@ def group_means(days: DataFrame, key: str, columns: list[str]) -> DataFrame:
     ).withColumn("too_few", F.col("n") < MIN_OBSERVATIONS)
 
 
-def market_days(signals: DataFrame, returns: DataFrame, calendar: DataFrame, benchmark: str = fv.BENCHMARK) -> DataFrame:
+def market_days(signals: DataFrame, returns: DataFrame, calendar: Calendar, benchmark: str = fv.BENCHMARK) -> DataFrame:
     """Market signals per trading day against the benchmark return itself."""
     aligned = align_to_sessions(signals.filter(F.col("ticker") == fv.MARKET), calendar).filter("t0 IS NOT NULL")
     weight = F.sum("attribution_weight")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from sigspark import fixed_values as fv
 from sigspark.config import PortfolioParams
 from sigspark.operators import portfolio as pf
+from sigspark.operators.alignment import Calendar
 
 
-def rebalance_weights(signals: DataFrame, calendar: DataFrame, scenarios: list[dict] | None = None,
+def rebalance_weights(signals: DataFrame, calendar: Calendar, scenarios: list[dict] | None = None,
                       params: PortfolioParams | None = None) -> DataFrame:
     params = params or PortfolioParams()
     scenarios = scenarios or [pf.scenario("baseline", params)]

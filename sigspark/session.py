@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -53,3 +55,19 @@ def persist_table(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], fields: list[tuple[str, str]]) -> DataFrame:
+    """A small table from driver values, as one JSON literal: no Python workers, no extra job.
+
+    Only for rows whose number was checked before; numbers keep their exact value.
+    """
+    names = [name for name, _ in fields]
+    payload = json.dumps([dict(zip(names, row)) for row in rows], default=str)
+    schema = f"array<struct<{', '.join(f'{name}: {kind}' for name, kind in fields)}>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(payload), schema)))
+
+
+def fits(df: DataFrame, limit: int) -> bool:
+    """Does the table have at most ``limit`` rows? Counts no more than ``limit + 1`` of them."""
+    return df.limit(limit + 1).count() <= limit
