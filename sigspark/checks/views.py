@@ -209,7 +209,7 @@ def define(name: str, sql: str, *needs: str) -> None:
     _NEEDS[name] = list(needs)
 
 
-def sql_with(names: str, body: str, recursive: bool = False) -> str:
+def sql_with(names: str, body: str) -> str:
     """``WITH`` the named expressions and all they need."""
     wanted: set[str] = set()
 
@@ -223,7 +223,6 @@ def sql_with(names: str, body: str, recursive: bool = False) -> str:
         need(name)
     # materialized: each expression is evaluated once, so all uses see the same rounding
     parts = ",\n".join(
-        f"{name} AS {'' if 'it.' in CTES[name] else 'MATERIALIZED '}({sql})" for name, sql in CTES.items() if name in wanted
+        f"{name} AS {'' if f'FROM {name} ' in sql else 'MATERIALIZED '}({sql})" for name, sql in CTES.items() if name in wanted
     )
-    keyword = "WITH RECURSIVE" if recursive else "WITH"
-    return f"{keyword} {parts}\n{body}"
+    return f"WITH RECURSIVE {parts}\n{body}"

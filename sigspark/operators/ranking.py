@@ -30,25 +30,44 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: Column | int,
     return survivors.withColumn(rank, F.row_number().over(second)).filter(F.col(rank) <= limit)
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[Column], pieces: list[Column], rank: str = "rank") -> DataFrame:
-    """Row number within each group, for groups of any size.
-
-    ``pieces`` are coarse keys, ascending in the same order as ``order``: every row of a lower
-    piece precedes every row of a higher one. Rows are ranked within (group, piece) and
-    shifted by the size of the lower pieces. A final piece on a hash, matched by a hash in
-    ``order``, splits runs of equal sort keys.
+def row_numbers(
+    df: DataFrame, keys: list[str], sort: list[str], coarse: list[Column], tie: str, key: str, sizes: DataFrame,
+    size: str = "n_rows", rank: str = "rank", limit: int | None = None,
+) -> DataFrame:
+    """Row number per group by ascending ``sort`` columns, then a hash of the row, then its key.
+
+    ``sizes`` holds the rows per group. Groups that fit one task are ranked by a window. A
+    larger group is cut: ``coarse`` columns (a bounded number of values, monotone in ``sort``)
+    give ranges, distinct sort values are counted inside a range, and runs of equal sort
+    values are cut by the leading bits of the hash. Each cut knows how many rows precede it.
     """
-    names = [f"_piece{i}" for i in range(len(pieces))]
-    cut = df.withColumns(dict(zip(names, pieces)))
-    sizes = cut.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, *names, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, *names).orderBy(*order)
-    return (
-        cut.join(offsets, [*keys, *names])
-        .withColumn(rank, F.col("_offset") + F.row_number().over(within))
-        .drop(*names, "_offset")
+    limit = ONE_TASK_ROWS if limit is None else limit
+    plain = Window.partitionBy(*keys).orderBy(*sort, tie, key)
+    largest = sizes.agg(F.max(size).alias("n")).collect()[0]["n"] or 0
+    if largest <= limit:
+        return df.withColumn(rank, F.row_number().over(plain))
+    sized = df.join(sizes.select(*keys, F.col(size).alias("_size")), keys)
+    small = sized.filter(F.col("_size") <= limit).withColumn(rank, F.row_number().over(plain)).drop("_size")
+
+    ranges = [f"_c{i}" for i in range(len(coarse))]
+    cut = sized.filter(F.col("_size") > limit).drop("_size").withColumns(
+        {**dict(zip(ranges, coarse)), "_bits": F.shiftright(tie, 59)}
+    )
+    pieces = cut.groupBy(*keys, *ranges, *sort, "_bits").agg(F.count(F.lit(1)).alias("_n"))
+    before_range = Window.partitionBy(*keys).orderBy(*ranges).rowsBetween(Window.unboundedPreceding, -1)
+    totals = pieces.groupBy(*keys, *ranges).agg(F.sum("_n").alias("_n"))
+    totals = totals.select(*keys, *ranges, F.coalesce(F.sum("_n").over(before_range), F.lit(0)).alias("_before"))
+    before_piece = Window.partitionBy(*keys, *ranges).orderBy(*sort, "_bits").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.join(totals, [*keys, *ranges]).select(
+        *keys, *sort, "_bits", (F.col("_before") + F.coalesce(F.sum("_n").over(before_piece), F.lit(0))).alias("_offset")
+    )
+    within = Window.partitionBy(*keys, *sort, "_bits").orderBy(tie, key)
+    large = (
+        cut.join(offsets, [*keys, *sort, "_bits"])
+        .withColumn(rank, (F.col("_offset") + F.row_number().over(within)).cast("int"))
+        .drop(*ranges, "_bits", "_offset")
     )
+    return small.unionByName(large)
 
 
 # up to this many rows a group is ranked in one task: an in-memory sort of a few columns
