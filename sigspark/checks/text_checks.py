@@ -142,12 +142,12 @@ def author_or_domain(spark, folder):
 
 
 @query("headline_timestamps", """
-SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN epoch(date_trunc('second', ts))::BIGINT END AS seconds FROM events""")
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN epoch(date_trunc('second', ts))::BIGINT ELSE -1 END AS seconds FROM events""")
 def headline_timestamps(spark, folder):
     """Compact UTC stamps; malformed ones become null."""
     rows = table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     stamp = F.when(F.col("event_id") % 7 == 0, "not a date").otherwise(F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'"))
-    return rows.select("event_id", F.unix_seconds(tx.headline_timestamp(stamp)).alias("seconds")).select("event_id", "seconds")
+    return rows.select("event_id", F.coalesce(F.unix_seconds(tx.headline_timestamp(stamp)), F.lit(-1)).alias("seconds"))
 
 
 @query("headlines_200", sql_with("texts_v", "SELECT text_id, substr(coalesce(title, text), 1, 200) AS headline FROM texts_v"))
@@ -260,6 +260,18 @@ def step_audit(spark, folder):
 
 # ------------------------------------------------------------------ linking and classification
 
+# The SQL engine's \\b knows ASCII letters only, so a match that runs up to the last word
+# boundary of a line may end earlier there. Matched texts are compared up to their last
+# ASCII letter or digit.
+TAIL = "[^A-Za-z0-9_]+$"
+TRIGGERS_SQL = f"md5(array_to_string(list_transform(matched_triggers, lambda t: regexp_replace(t, '{TAIL}', '')), '|')) AS triggers_md5"
+
+
+def triggers_md5():
+    trimmed = F.transform("matched_triggers", lambda term: F.regexp_replace(term, TAIL, ""))
+    return F.md5(F.array_join(trimmed, "|").cast("binary")).alias("triggers_md5")
+
+
 @query("cashtags", sql_with("tagged", r"""
 SELECT text_id, array_to_string(list_transform(regexp_extract_all(text, '\$([A-Za-z]{1,5}(?:\.[A-Za-z]{1,2})?)\b', 1), lambda t: upper(t)), ',') AS tags FROM texts_v"""))
 def cashtags(spark, folder):
@@ -305,19 +317,19 @@ _RULE_ROWS = " UNION ALL ".join(
 )
 
 
-@query("event_rules", wrap(sql_with("hits", f"SELECT text_id, event_type, rule, md5(term) AS term_md5, weight FROM ({_RULE_ROWS}) WHERE term IS NOT NULL"), "weight", "rule"))
+@query("event_rules", wrap(sql_with("hits", f"SELECT text_id, event_type, rule, md5(regexp_replace(term, '{TAIL}', '')) AS term_md5, weight FROM ({_RULE_ROWS}) WHERE term IS NOT NULL"), "weight", "rule"))
 def event_rules(spark, folder):
     rows = matched_rules(texts(spark, folder), "text_id")
-    return rows.select("text_id", "event_type", "rule", F.md5(F.col("term").cast("binary")).alias("term_md5"), "weight")
+    return rows.select("text_id", "event_type", "rule", F.md5(F.regexp_replace("term", TAIL, "").cast("binary")).alias("term_md5"), "weight")
 
 
-@query("event_classes", wrap(sql_with("classified", """
-SELECT text_id, event_type, event_confidence, md5(array_to_string(matched_triggers, '|')) AS triggers_md5, secondary_event, is_template, is_calendar,
+@query("event_classes", wrap(sql_with("classified", f"""
+SELECT text_id, event_type, event_confidence, {TRIGGERS_SQL}, secondary_event, is_template, is_calendar,
   is_analyst_action FROM classified"""), "event_confidence"))
 def event_classes(spark, folder):
     classified = classify_events(texts(spark, folder))
     return classified.select(
-        "text_id", "event_type", "event_confidence", F.md5(F.array_join("matched_triggers", "|").cast("binary")).alias("triggers_md5"),
+        "text_id", "event_type", "event_confidence", triggers_md5(),
         "secondary_event", "is_template", "is_calendar", "is_analyst_action",
     )
 
@@ -448,10 +460,10 @@ def target_routing(spark, folder):
     return emission.route(classified.filter(~emission.is_dropped())).select("text_id", "ticker", "attribution_weight", "is_broadcast")
 
 
-@query("signal_emission", wrap(sql_with("emitted", """
+@query("signal_emission", wrap(sql_with("emitted", f"""
 SELECT text_id, ticker, source, md5(substr(coalesce(title, text), 1, 200)) AS headline_md5, round(sentiment_score, 4) AS sentiment_score, event_type,
   round(impact_score, 4) AS impact_score, round(0.5 * sentiment_confidence + 0.5 * event_confidence, 4) AS confidence, event_confidence,
-  secondary_event, round(attribution_weight, 4) AS attribution_weight, md5(array_to_string(matched_triggers, '|')) AS triggers_md5, is_broadcast,
+  secondary_event, round(attribution_weight, 4) AS attribution_weight, {TRIGGERS_SQL}, is_broadcast,
   is_analyst_action FROM emitted"""), "sentiment_score impact_score confidence event_confidence attribution_weight"))
 def signal_emission(spark, folder):
     """Flagship: texts -> links -> events -> impact -> signals."""
@@ -459,5 +471,5 @@ def signal_emission(spark, folder):
     return emitted.select(
         "text_id", "ticker", "source", F.md5(F.col("headline").cast("binary")).alias("headline_md5"), "sentiment_score", "event_type", "impact_score",
         "confidence", "event_confidence", "secondary_event", "attribution_weight",
-        F.md5(F.array_join("matched_triggers", "|").cast("binary")).alias("triggers_md5"), "is_broadcast", "is_analyst_action",
+        triggers_md5(), "is_broadcast", "is_analyst_action",
     )

@@ -222,6 +222,8 @@ def sql_with(names: str, body: str) -> str:
     wanted: set[str] = set()
 
     def need(name: str) -> None:
+        if name not in CTES:
+            raise KeyError(name)
         if name not in wanted:
             wanted.add(name)
             for other in _NEEDS.get(name, []):

@@ -1,11 +1,10 @@
 """Text column expressions. All but HTML unescaping stay inside the JVM."""
 
-from __future__ import annotations
-
 import html
 import re
 import string
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -110,9 +109,11 @@ def word_count(text: Column) -> Column:
 
 def html_unescape(text: Column) -> Column:
     """Character references -> characters. Only texts holding ``&`` cross to Python."""
-    unescape = F.pandas_udf(
-        lambda values: values.map(html.unescape, na_action="ignore"), T.StringType(), F.PandasUDFType.SCALAR
-    )
+
+    @F.pandas_udf(T.StringType())
+    def unescape(values: pd.Series) -> pd.Series:
+        return values.map(html.unescape, na_action="ignore")
+
     return F.coalesce(unescape(F.when(F.contains(text, F.lit("&")), text)), text)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sigspark import fixed_values as fv
 from sigspark.config import EventRules
 from sigspark.functions import text as tx
+from sigspark.functions.barrier import attach
 
 EVENT_COLUMNS = [
     "event_type", "event_confidence", "matched_triggers", "secondary_event", "is_template", "is_calendar",
@@ -234,5 +235,4 @@ def classify_events(
         "is_calendar": F.col("_calendar"),
         "is_analyst_action": F.col("_analyst"),
     }
-    kept = [name for name in df.columns if name not in outputs]
-    return stage.select(*kept, *[column.alias(name) for name, column in outputs.items()])
+    return attach(stage, [name for name in df.columns if name not in outputs], outputs)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sigspark import fixed_values as fv
 from sigspark.config import Company, Dictionary
 from sigspark.functions import text as tx
+from sigspark.functions.barrier import attach
 
 NO_STRINGS = "array<string>"
 # every macro pattern needs one of these words
@@ -255,11 +256,7 @@ def link_entities(
     }
     if has_hints and hint in df.columns:
         outputs[hint] = resolved
-    result = stage.select(
-        *[outputs.pop(name).alias(name) if name in outputs else F.col(name) for name in df.columns],
-        *[column.alias(name) for name, column in outputs.items()],
-    )
-    return result
+    return attach(stage, df.columns, outputs)
 
 
 def unlink_generic_terms(df: DataFrame) -> DataFrame:

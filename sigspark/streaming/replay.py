@@ -18,8 +18,11 @@ from sigspark.operators.linking import link_entities
 from sigspark.session import shared_dir
 
 
-def stream_parquet(spark: SparkSession, path: str, schema, max_files: int | None = None) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, schema, max_files: int | None = None, name: str | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, optionally only those matching ``name``."""
     reader = spark.readStream.schema(schema)
+    if name:
+        reader = reader.option("pathGlobFilter", name)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
