@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from sigspark.config import PortfolioParams
 from sigspark.operators.alignment import Calendar, trading_calendar
+from sigspark.sources.readers import spread
 
 UNIVERSE = tuple(f"TK{i:02d}" for i in range(14))
 PARAMS = PortfolioParams(universe=UNIVERSE)
@@ -124,7 +125,7 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     """Unified, scored text table over whole documents."""
     phrases = F.array(*[F.lit(phrase) for phrase in PHRASES])
     number = F.col("doc_id")
-    docs = table(spark, folder, "documents").select("doc_id", F.col("text").alias("body"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
     phrase = F.get(phrases, (number % len(PHRASES)).cast("int"))
     source = F.when(number % 3 == 0, "twitter_kaggle").when(number % 3 == 1, "newsapi").otherwise("gdelt")
     hint = F.when(number % 4 == 0, "AAPL").when(number % 4 == 1, "PG").when(number % 4 == 2, "MSFT")

@@ -87,6 +87,16 @@ def standardize_headlines(raw: DataFrame, ticker: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give every core work when a table comes in fewer files than there are cores.
+
+    Costly row-wise work over one big file would otherwise run in one task. A table of many
+    files is left alone: no shuffle. Rows go by key, so a retried task gets the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Through the cluster's file system, so remote paths work too."""
     jvm = spark.sparkContext._jvm
