@@ -95,7 +95,7 @@ CREDIT, GEO, EARNINGS, MACRO = "Credit Event", "Geopolitical", "Earnings", "Macr
 def rule_hits(df: DataFrame, rules: EventRules | None = None, text: str = "text") -> tuple[DataFrame, dict[str, list[tuple[str, float]]]]:
     """One column per rule holding the matched text or null, in a single projection."""
     rules = rules or EventRules()
-    columns, layout, vocabulary = {}, {}, set(CALENDAR_WORDS)
+    columns, layout, vocabulary = {}, {}, {*CALENDAR_WORDS, *TEMPLATE_WORDS}
     for number, (event, triggers) in enumerate(rules.triggers.items()):
         layout[event] = []
         for index, (body, weight) in enumerate(triggers):
