@@ -195,7 +195,19 @@ def nav_curves(spark, folder):
     return curves.select("return_date", "nav_strat_gross", "nav_strat_5bps", "nav_strat_10bps")
 
 
-@query("nav_table")
+@query("nav_table", wrap(sql_with("strat held rets", f"""
+SELECT *, product(1 + strat_gross) OVER w AS nav_strat_gross, product(1 + strat_5bps) OVER w AS nav_strat_5bps,
+  product(1 + strat_10bps) OVER w AS nav_strat_10bps, product(1 + ew_5bps) OVER w AS nav_ew_5bps, product(1 + bh_ret) OVER w AS nav_bh_ret,
+  product(1 + spy_ret) OVER w AS nav_spy_ret
+FROM (SELECT s.*, e.ew_gross, e.ew_turnover, e.ew_gross - 0.0005::DOUBLE * e.ew_turnover AS ew_5bps,
+    e.ew_gross - 0.001::DOUBLE * e.ew_turnover AS ew_10bps, b.bh_ret, coalesce(r.ret, 0) AS spy_ret
+  FROM strat s JOIN (SELECT return_date, m AS ew_gross, 0.5 * sum(abs({number(1 / SIZE)} - {number(1 / SIZE)} * (1 + ret) / (1 + m))) AS ew_turnover
+    FROM (SELECT *, avg(ret) OVER (PARTITION BY return_date) AS m FROM held) GROUP BY return_date, m) e USING (return_date)
+  JOIN (SELECT return_date, sum(v) / sum(v / (1 + ret)) - 1 AS bh_ret FROM (
+    SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY return_date) AS v FROM held) GROUP BY return_date) b USING (return_date)
+  LEFT JOIN rets r ON r.ticker = 'SPY' AND r.date = s.return_date) WINDOW w AS (ORDER BY return_date)"""),
+    "strat_gross turnover strat_5bps strat_10bps ew_gross ew_turnover ew_5bps ew_10bps bh_ret spy_ret nav_strat_gross nav_strat_5bps "
+    "nav_strat_10bps nav_ew_5bps nav_bh_ret nav_spy_ret"))
 def nav_table(spark, folder):
     return backtest.nav_table(stored_weights(spark, folder), price_returns(spark, folder), PARAMS)
 

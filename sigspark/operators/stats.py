@@ -36,16 +36,15 @@ def centred_ranks(
     tuples = complete.groupBy(*groups, *columns).agg(F.sum(weights).alias("_w"))
     if not points:
         return windowed_ranks(tuples, columns, "_w", groups)
-    total = tuples.groupBy(*groups).agg(F.sum("_w").alias("_n")) if groups else tuples.agg(F.sum("_w").alias("_n"))
     ranked = tuples
     for name in columns:
         ranks = average_ranks(tuples, name, "_w", groups, points[name], f"_r_{name}")
         ranked = ranked.join(ranks, [*groups, name])
-    # the total is one row per group; without groups a constant key keeps it an equi-join
     if groups:
-        ranked = ranked.join(total, groups)
+        ranked = ranked.join(tuples.groupBy(*groups).agg(F.sum("_w").alias("_n")), groups)
     else:
-        ranked = ranked.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        size = tuples.agg(F.sum("_w").alias("n")).collect()[0]["n"]
+        ranked = ranked.withColumn("_n", F.lit(size))
     return ranked.withColumns({f"_r_{name}": F.col(f"_r_{name}") - (F.col("_n") + 1) / 2.0 for name in columns})
 
 
@@ -176,6 +175,12 @@ def _block_count(df: DataFrame, block: str) -> int:
     return df.agg(F.count_distinct(block).alias("n")).collect()[0]["n"]
 
 
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row results with different columns as one row, without a join."""
+    stacked = left.unionByName(right, allowMissingColumns=True)
+    return stacked.agg(*[F.max(name).alias(name) for name in stacked.columns])
+
+
 def _interval(replicates: DataFrame, point: DataFrame, ci: float) -> DataFrame:
     tail = (1.0 - ci) / 2.0
     bounds = replicates.filter(F.col("value").isNotNull() & ~F.isnan("value")).agg(
@@ -183,8 +188,7 @@ def _interval(replicates: DataFrame, point: DataFrame, ci: float) -> DataFrame:
         F.percentile("value", F.lit(1.0 - tail)).alias("ci_high"),
         F.count(F.lit(1)).alias("n_replicates"),
     )
-    key = F.lit(1)
-    return point.withColumn("_k", key).join(bounds.withColumn("_k", key), "_k").drop("_k")
+    return side_by_side(point, bounds)
 
 
 def bootstrap_mean_difference(
@@ -279,8 +283,7 @@ def permutation_test(
     beaten = rho.agg(F.collect_list(null).alias("_null"), observed.alias("_obs")).select(
         F.size(F.filter("_null", lambda value: value >= F.col("_obs"))).alias("_beaten")
     )
-    joined = summary.withColumn("_k", F.lit(1)).join(beaten.withColumn("_k", F.lit(1)), "_k")
-    return joined.select(
+    return side_by_side(summary, beaten).select(
         "actual_rho", "null_mean", "null_95", "n_perm", ((F.col("_beaten") + 1) / (F.col("n_perm") + 1)).alias("p_value")
     )
 
