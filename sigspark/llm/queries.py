@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, line_dedup, sharding, simhash, token_cache
+from sigspark.llm import chat, line_dedup, merkle, sharding, simhash, token_cache
 from sigspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,34 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+MERKLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
+  coalesce(lead(text) OVER w, first_value(text) OVER w) AS next_text FROM d WINDOW w AS (ORDER BY doc_id)),
+e AS (SELECT doc_id, next_id, text, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) AS edited FROM n),
+t AS (SELECT doc_id, next_id, 0 AS side, text FROM e UNION ALL SELECT doc_id, next_id, 1, edited FROM e),
+l AS (SELECT *, list_transform(string_split(text, chr(10)), lambda line: list_transform(string_split(
+  regexp_replace(regexp_replace(line, '([.!?]) ', '\\1' || chr(1) || ' ', 'g'), '([^' || chr(1) || ']{{{merkle.LEAF_CHARS}}})', '\\1' || chr(1), 'g'),
+  chr(1)), lambda x: md5(x))) AS leaves FROM t),
+p AS (SELECT *, list_transform(leaves, lambda a: md5(array_to_string(a, ''))) AS paragraphs FROM l),
+s AS (SELECT *, list_filter(string_split(array_to_string(list_transform(paragraphs, lambda p: p || CASE WHEN substr(p, 1, 1) <= '3' THEN '|' ELSE '' END), ''), '|'),
+  lambda x: x <> '') AS sections FROM p),
+r AS (SELECT *, md5(array_to_string(list_transform(sections, lambda x: md5(x)), '') || length(text)) AS root FROM s),
+f AS (SELECT doc_id, next_id, side, text, root, root || ' ' || array_to_string(list_transform(list_zip(paragraphs, leaves), lambda z: substr(z[1], 1, 8) || ':'
+  || array_to_string(list_transform(z[2], lambda x: substr(x, 1, 8)), ',') || CASE WHEN substr(z[1], 1, 1) <= '3' THEN '|' ELSE ';' END), '') AS fp,
+  list_distinct(list_transform(flatten(leaves), lambda x: substr(x, 1, 8))) AS leaf FROM r)
+SELECT a.doc_id, CAST(length(a.text) AS BIGINT) AS n_chars, sha256(b.text) AS edited_sha256, a.fp AS fingerprint, b.fp AS edited_fingerprint,
+  CASE WHEN a.root = b.root THEN 1.0 ELSE CAST(2 * len(list_intersect(a.leaf, b.leaf)) AS DOUBLE) / (len(a.leaf) + len(b.leaf)) END AS near_edited,
+  CASE WHEN a.root = c.root THEN 1.0 ELSE CAST(2 * len(list_intersect(a.leaf, c.leaf)) AS DOUBLE) / (len(a.leaf) + len(c.leaf)) END AS near_next
+FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.side = 1 JOIN f c ON a.next_id = c.doc_id AND c.side = 0 WHERE a.side = 0"""
+
+
+@query("op4_document_fingerprints", MERKLE_SQL)
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle fingerprints of each document and of its edited text, with likenesses."""
+    return merkle.edited_fingerprints(table(spark, folder, "documents"))
+
+
 @query("op6_simhash_dedup")
 def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's fingerprint and the smallest id that links within three bits lead to."""
