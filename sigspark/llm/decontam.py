@@ -93,7 +93,9 @@ def anchors(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     """(doc_id, key, n, pos, h, sizes): positions of documents with a shingle of some item, and the sizes of such items."""
     vocabulary = persist_table(items.select(F.explode("item").alias("h"), "m").groupBy("h").agg(F.collect_set("m").alias("sizes")), "shingles")
     passes = max(1, math.ceil(vocabulary.count() / block))
-    placed = with_shingles(docs, "text", "s").select("doc_id", "key", F.size("s").alias("n"), F.posexplode("s").alias("pos", "h"))
+    # outer: for a plain explode Spark infers a filter on the array and pushes it under the words, which would then be cut
+    # again for each shingle
+    placed = with_shingles(docs, "text", "s").select("doc_id", "key", F.size("s").alias("n"), F.posexplode_outer("s").alias("pos", "h"))
     found = None
     for at in range(passes):
         part = placed.join(F.broadcast(vocabulary.where(F.pmod("h", F.lit(passes)) == at)), "h")
@@ -111,7 +113,7 @@ def windows(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return F.struct(at["pos"].alias("pos"), F.transform(inside, lambda x: x["h"]).alias("win"))
 
     enough = lambda w: F.size(w["win"]) >= F.ceil(F.col("m") * similarity)
-    each = gathered.select("doc_id", "key", "n", "m", F.explode(F.filter(F.transform("found", window), enough)).alias("w"))
+    each = gathered.select("doc_id", "key", "n", "m", F.explode_outer(F.filter(F.transform("found", window), enough)).alias("w")).where("w is not null")
     return each.select("doc_id", "key", "m", "w.pos", F.least("m", F.col("n") - F.col("w.pos")).alias("total"), "w.win")
 
 
@@ -122,8 +124,8 @@ def matches(
     docs = documents(df, doc_id, text).withColumn("key", row_key())
     known = item_table(items, item_id, item_text)
     printed = windows(anchors(docs, known), similarity).withColumn("fp", simhash(F.col("win")))
-    searched = printed.withColumn("b", F.explode(blocks(F.col("fp")))).select("*", "b.*").drop("b")
-    index = known.withColumn("b", F.explode(blocks(F.col("item_fp")))).select("*", "b.*").drop("b")
+    searched = printed.withColumn("b", F.explode_outer(blocks(F.col("fp")))).select("*", "b.*").drop("b")
+    index = known.withColumn("b", F.explode_outer(blocks(F.col("item_fp")))).select("*", "b.*").drop("b")
     near = searched.join(index, ["m", "block", "bits"]).where(
         (F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS) & (first_agreement(F.col("fp"), F.col("item_fp")) == F.col("block"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, line_dedup, merkle, sharding, simhash, token_cache
+from sigspark.llm import chat, decontam, line_dedup, merkle, sharding, simhash, token_cache
 from sigspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,13 @@ def line_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_benchmark_decontamination")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item and the best window's similarity."""
+    found = decontam.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", F.col("first_shingle").cast("long").alias("first_shingle"))
+
+
 MERKLE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS next_id,
