@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine with a string subsequence kernel and Nystroem landmarks.
 
-The kernel of two words sums over all character subsequences of length three, each occurrence weighted by DECAY to the
-power of the span it covers, and is normalised and squared; so ``idiot``, ``idi0t``, ``id-iot`` and ``i d i o t`` are alike
+The kernel of two words (with a mark at either end) sums over all character subsequences of length three, each occurrence weighted by DECAY to the
+power of the span it covers, and is normalised and cubed; so ``idiot``, ``idi0t``, ``id-iot`` and ``i d i o t`` are alike
 (three or more single characters in a row are read as one word; a long word is read in overlapping pieces). The kernel
 of two sentences is the sum over their pairs of words. Nystroem: words are represented by their kernel with a few
 landmark words, multiplied by the inverse root of the landmarks' own kernel matrix.
@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,15 @@ from pyspark.sql import functions as F
 
 from sigspark.llm.common import documents
 
-SAMPLE, LANDMARKS = 4000, 64
-LENGTH, DECAY, WIDEST = 3, 0.6, 16
+SAMPLE, LANDMARKS = 4000, 32
+#: From this many words of one length on, the dynamic programme is quicker than sorting triples; both are exact.
+MANY = 128
+LENGTH, DECAY, WIDEST, POWER = 3, 0.6, 16, 3
 CACHE = 400_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 SINGLES = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
+BEGIN, FINISH = "\u0002", "\u0003"
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -48,10 +52,13 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def pieces(token: str) -> list[str]:
-    """A token without outer punctuation; one longer than WIDEST in pieces that overlap by half."""
+    """A token without outer punctuation, between marks for its ends; one longer than WIDEST in pieces that overlap by half."""
     word = EDGES.sub("", token)
+    if len(word) < LENGTH:
+        return []
+    word = f"{BEGIN}{word}{FINISH}"
     if len(word) <= WIDEST:
-        return [word] if len(word) >= LENGTH else []
+        return [word]
     return [word[i : i + WIDEST] for i in range(0, len(word) - WIDEST // 2, WIDEST // 2)]
 
 
@@ -65,8 +72,20 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def self_kernel(words: np.ndarray) -> np.ndarray:
-    """Unnormalised kernel of each padded word with itself."""
-    return raw_kernel(words[:, :, None], words[:, :, None], paired=True)[:, 0]
+    """Unnormalised kernel of each word of one length with itself: equal triples add up before they are squared."""
+    places, weight = spans(words.shape[1])
+    if not len(places):
+        return np.zeros(len(words))
+    if len(words) >= MANY:
+        return raw_kernel(words[:, :, None], words[:, :, None], paired=True)[:, 0].astype(np.float64)
+    wide = words.astype(np.int64)
+    code = (wide[:, places[:, 0]] << 42) | (wide[:, places[:, 1]] << 21) | wide[:, places[:, 2]]
+    order = np.argsort(code, 1)
+    code, mass = np.take_along_axis(code, order, 1), weight[order]
+    new = np.ones(code.shape, bool)
+    new[:, 1:] = code[:, 1:] != code[:, :-1]
+    sums = np.add.reduceat(mass.ravel().astype(np.float64), np.flatnonzero(new)) ** 2
+    return np.bincount(np.nonzero(new)[0], sums, len(words))
 
 
 def raw_kernel(left: np.ndarray, right: np.ndarray, paired: bool = False) -> np.ndarray:
@@ -102,33 +121,74 @@ def raw_kernel(left: np.ndarray, right: np.ndarray, paired: bool = False) -> np.
     return total
 
 
+def spans(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ascending triples of places in a word, and the weight of each."""
+    places = np.array(list(combinations(range(length), LENGTH)), int).reshape(-1, LENGTH)
+    return places, (DECAY ** (places[:, -1] - places[:, 0] + 1)).astype(np.float32)
+
+
 @dataclass
 class Kernel:
-    """Landmark words and what turns kernels with them into features."""
+    """Landmark words and what turns kernels with them into features.
+
+    The kernel is a product of explicit vectors: the weights of a word's triples of characters. Only triples that some
+    landmark has can add to it, so those are numbered in a table over the landmarks' own alphabet.
+    """
 
     landmarks: list[str]
-    right: np.ndarray = field(init=False)
+    alphabet: np.ndarray = field(init=False)
+    number: np.ndarray = field(init=False)
+    triples: np.ndarray = field(init=False)
     norms: np.ndarray = field(init=False)
     root: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        table, _ = codes(self.landmarks)
-        self.right = table.T[None]
-        self.norms = self_kernel(table)
+        self.alphabet = np.unique(np.array([ord(c) for w in self.landmarks for c in w], np.uint32))
+        found: dict[int, np.ndarray] = {}
+        for column, word in enumerate(self.landmarks):
+            places, weight = spans(len(word))
+            for code, w in zip(self.codes_of(codes([word])[0], places)[0].tolist(), weight, strict=True):
+                found.setdefault(code, np.zeros(len(self.landmarks), np.float32))[column] += w
+        self.number = np.zeros((len(self.alphabet) + 1) ** LENGTH, np.int32)
+        self.number[list(found)] = np.arange(1, len(found) + 1)
+        self.triples = np.stack([np.zeros(len(self.landmarks), np.float32), *found.values()])
+        self.norms = np.array([self_kernel(codes([w])[0])[0] for w in self.landmarks])
         values, vectors = np.linalg.eigh(self.against(self.landmarks).astype(np.float64))
         kept = values > 1e-6
         self.root = vectors[:, kept] / np.sqrt(values[kept])
 
-    def against(self, words: list[str], block: int = 1024) -> np.ndarray:
-        """Normalised, squared kernel of each word with each landmark; words of one length go together."""
+    def codes_of(self, table: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Number of each triple over the alphabet (a character outside it counts as the extra last one)."""
+        at = np.searchsorted(self.alphabet, table)
+        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == table
+        letter = np.where(known, at, len(self.alphabet)).astype(np.int32)
+        code = np.zeros((len(table), len(places)), np.int32)
+        for k in range(LENGTH):
+            code *= np.int32(len(self.alphabet) + 1)
+            code += np.take(letter, places[:, k], axis=1)
+        return code
+
+    def against(self, words: list[str], block: int = 2048) -> np.ndarray:
+        """Normalised, cubed kernel of each word with each landmark; words of one length go together."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for at in range(0, len(order), block):
-            some = order[at : at + block]
-            table, _ = codes([words[i] for i in some])
-            norm = self_kernel(table)
-            raw = raw_kernel(table[:, :, None], self.right)
-            out[some] = (raw / np.sqrt(np.maximum(norm, 1e-12)[:, None] * self.norms)) ** 2
+        by_length: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(i)
+        for length, members in by_length.items():
+            places, weight = spans(length)
+            for at in range(0, len(members), block):
+                some = np.array(members[at : at + block])
+                table, _ = codes([words[i] for i in some])
+                rows = self.number[self.codes_of(table, places)]
+                word, place = np.nonzero(rows)
+                if not len(word):
+                    continue
+                part = self.triples[rows[word, place]] * weight[place, None]
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                hit = word[first]
+                raw = np.add.reduceat(part, first)
+                norm = self_kernel(table[hit])
+                out[some[hit]] = (raw / np.sqrt(np.maximum(norm, 1e-12)[:, None] * self.norms)) ** POWER
         return out
 
 
@@ -144,30 +204,30 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, count: int) -> list[s
     chosen: list[str] = []
     if telling:
         table, _ = codes(telling)
-        norm = self_kernel(table)
+        norm = np.array([self_kernel(codes([w])[0])[0] for w in telling])
         free = np.ones(len(telling), bool)
         for i, word in enumerate(telling):
             if free[i] and len(chosen) < count * 3 // 4:
                 chosen.append(word)
                 near = raw_kernel(table[:, :, None], table[i : i + 1].T[None])[:, 0] / np.sqrt(norm * norm[i])
-                free &= near**2 < 0.6
+                free &= near < 0.5
     total = toxic + clean
     frequent = sorted((w for w in total if w not in set(chosen)), key=lambda w: (-total[w], w))
     return chosen + frequent[: count - len(chosen)]
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, hinge: bool, rounds: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, hinge: bool, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Squared hinge (a support vector machine) or logistic loss; gradient steps with momentum on scaled features."""
-    scale = x.std(0) + 1e-9
-    z = np.c_[x / scale, np.ones(len(x))]
-    sign = np.where(y > 0, 1.0, -1.0)
-    weight = weight / weight.sum()
-    top = np.linalg.eigvalsh((z * weight[:, None]).T @ z)[-1]
+    scale = x.std(0) + np.float32(1e-9)
+    z = np.c_[x / scale, np.ones((len(x), 1), x.dtype)]
+    sign = np.where(y > 0, 1.0, -1.0).astype(x.dtype)
+    weight = (weight / weight.sum()).astype(x.dtype)
+    top = np.linalg.eigvalsh(((z * weight[:, None]).T @ z).astype(np.float64))[-1]
     step = 1 / ((2.0 if hinge else 0.25) * top + l2)
     w = np.zeros(z.shape[1])
     look, t = w.copy(), 1.0
     for _ in range(rounds):
-        margin = sign * (z @ look)
+        margin = sign * (z @ look.astype(x.dtype))
         slope = -2 * np.maximum(0, 1 - margin) if hinge else -1 / (1 + np.exp(np.minimum(margin, 50)))
         gradient = z.T @ (weight * sign * slope) + l2 * np.r_[look[:-1], 0]
         new, t_new = look - step * gradient, (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -175,13 +235,14 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, hing
     return w[:-1] / scale, float(w[-1])
 
 
-def margins_summary(margins: list[float]) -> list[float]:
-    """What of a document's sentence margins the score looks at."""
-    if not margins:
-        return [-2.0, -2.0, -2.0, 0.0, 0.0, 0.0]
-    top = sorted(margins, reverse=True)[:5]
-    high = sum(m > 0 for m in margins)
-    return [top[0], sum(top[:3]) / min(3, len(top)), sum(top) / len(top), float(np.log1p(high)), high / len(margins), float(np.log1p(len(margins)))]
+def summary(document: list[tuple[float, list[float]]]) -> list[float]:
+    """What of a document's sentences (margin, values of the words) the score looks at."""
+    margins = sorted((m for m, _ in document), reverse=True)[:5] or [-2.0]
+    values = sorted((v for _, vs in document for v in vs if v > 0), reverse=True)
+    top = (values + [0.0] * 5)[:5]
+    high, higher = sum(v > 0.5 for v in values), sum(v > 1 for v in values)
+    n_words = sum(len(vs) for _, vs in document)
+    return [margins[0], sum(margins) / len(margins), top[0], sum(top[:3]), sum(top), float(np.log1p(high)), float(np.log1p(higher)), higher / (n_words + 20), float(np.log1p(n_words))]
 
 
 @dataclass
@@ -202,7 +263,8 @@ class Model:
         values = dict(zip(flat, (self.kernel.against(flat) @ self.word_weights).tolist(), strict=True)) if flat else {}
         return [max((values[p] for p in ps), default=0.0) for ps in parts]
 
-    def margins(self, texts: list[str], cache: dict[str, float]) -> list[list[float]]:
+    def sentence_values(self, texts: list[str], cache: dict[str, float]) -> list[list[tuple[float, list[float]]]]:
+        """Of each text's sentences the margin and the words' values."""
         cut = [sentences(t) for t in texts]
         new = list({w for doc in cut for s in doc for w in s if w not in cache})
         if len(cache) + len(new) > CACHE:
@@ -210,15 +272,19 @@ class Model:
             new = list({w for doc in cut for s in doc for w in s})
         for at in range(0, len(new), 50_000):
             cache.update(zip(new[at : at + 50_000], self.word_values(new[at : at + 50_000]), strict=True))
-        return [[self.bias + sum(map(cache.__getitem__, s)) for s in doc] for doc in cut]
+        return [[(self.bias + sum(v := [cache[w] for w in s]), v) for s in doc] for doc in cut]
 
     def scores(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
         if self.kernel is None or not texts:
             return np.full(len(texts), self.prior)
-        x = np.array([margins_summary(m) for m in self.margins(texts, cache)])
+        x = np.array([summary(m) for m in self.sentence_values(texts, cache)])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.offset, -50, 50)))
 
 
+def batched(values: list[str], size: int) -> Iterator[list[str]]:
+    return (values[i : i + size] for i in range(0, len(values), size))
+
+
 def fit(texts: list[str], labels: np.ndarray, prior: float, landmarks: int = LANDMARKS) -> Model:
     """A model from labelled texts; ``prior`` is the share of toxic rows among all that may be learned from."""
     labels = np.asarray(labels, int)
@@ -226,18 +292,22 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, landmarks: int = LAN
         return Model(prior)
     kernel = Kernel(choose_landmarks(texts, labels, landmarks))
     parts = np.arange(len(texts)) % 3  # two thirds for the machine, one third for the logistic function
-    owners, rows = [], []
-    cache: dict[str, np.ndarray] = {}
+    owners, groups = [], []
     for i in np.flatnonzero(parts > 0):
-        cut = sentences(texts[i])
-        new = list({p for s in cut for w in s for p in pieces(w) if p not in cache})
-        cache.update(zip(new, kernel.against(new) @ kernel.root, strict=True))
-        for s in cut:
-            known = [cache[p] for w in s for p in pieces(w)]
+        for s in sentences(texts[i]):
+            known = [p for w in s for p in pieces(w)]
             if known:
                 owners.append(i)
-                rows.append(np.sum(known, 0))
-    x, owner = np.array(rows), np.array(owners)
+                groups.append(known)
+    words = {w: n for n, w in enumerate(dict.fromkeys(p for g in groups for p in g))}
+    features = np.concatenate([kernel.against(part) for part in batched(list(words), 20_000)]) @ kernel.root.astype(np.float32)
+    rows = []
+    for at in range(0, len(groups), 2000):
+        some = groups[at : at + 2000]
+        starts = np.cumsum([0, *map(len, some)])[:-1]
+        rows.append(np.add.reduceat(features[[words[p] for g in some for p in g]], starts))
+    del features, groups
+    x, owner = np.concatenate(rows), np.array(owners)
     doc_label = labels[owner]
     use = np.ones(len(x), bool)
     for _ in range(3):
@@ -250,11 +320,11 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, landmarks: int = LAN
         use = (doc_label == 0) | (margin >= np.minimum(0.5, best[owner] - 1e-9))
     model = Model(prior, kernel, kernel.root @ w, b)
     held = [i for i in range(len(texts)) if parts[i] == 0]
-    summary = np.array([margins_summary(m) for m in model.margins([texts[i] for i in held], {})])
+    seen = np.array([summary(m) for m in model.sentence_values([texts[i] for i in held], {})])
     y = labels[held]
     share = max(1e-6, min(1 - 1e-6, prior))
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))  # as frequent as among all rows
-    model.weights, model.offset = fit_linear(summary, y, weight, 1e-4, hinge=False, rounds=2000)
+    model.weights, model.offset = fit_linear(seen, y, weight, 1e-4, hinge=False, rounds=2000)
     return model
 
 
@@ -301,8 +371,8 @@ def toxicity_scores(df: DataFrame, model: Model, doc_id: str = "doc_id", text: s
             _caches.clear()
         cache = _caches.setdefault(token, {})
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 scores = model.scores(part.column("text").to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(scores, pa.float64())], names=["doc_id", "key", "score"])
 
@@ -318,8 +388,8 @@ def drop_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id
         cache: dict[str, float] = {}
         at_text = names.index(text)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 scores = model.scores([t or "" for t in part.column(at_text).to_pylist()], cache)
                 yield part.filter(pa.array(scores < threshold))
 
