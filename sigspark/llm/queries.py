@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontam, line_dedup, merkle, sharding, simhash, token_cache
+from sigspark.llm import chat, decontam, line_dedup, merkle, sharding, simhash, suffixes, token_cache, toxicity
 from sigspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,17 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.edited_fingerprints(table(spark, folder, "documents"))
 
 
+@query("op5_toxicity")
+def toxicity_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of all documents by a machine fitted on the labelled documents that are not held out."""
+    documents = table(spark, folder, "documents")
+    model = toxicity.fit_on(documents, table(spark, folder, "labels"))
+    scores = toxicity.toxicity_scores(documents, model)
+    return scores.select(
+        "doc_id", (~toxicity.learnable(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @query("op6_simhash_dedup")
 def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's fingerprint and the smallest id that links within three bits lead to."""
@@ -139,6 +150,19 @@ def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op8_suffix_dedup")
+def suffix_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document without the bytes that a 400-byte string covers which also starts elsewhere."""
+    cut = suffixes.suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select(
+        "doc_id",
+        F.col("_n_bytes").alias("n_bytes"),
+        F.col("_n_removed").alias("n_removed"),
+        F.size("_spans").cast("long").alias("n_spans"),
+        F.col("_kept_sha256").alias("kept_sha256"),
+    )
+
+
 @query("op9_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts of all documents through a digest cache that starts empty."""
