@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, decontam, line_dedup, merkle, sharding, simhash, suffixes, token_cache, toxicity
+from sigspark.llm import chat, decontam, line_dedup, merkle, pieces, sharding, simhash, suffixes, token_cache, toxicity
 from sigspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +150,12 @@ def simhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op7_sentencepiece")
+def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document's best pieces, and whether they decode to its text."""
+    return pieces.encode(table(spark, folder, "documents"), TOKENIZER)
+
+
 @query("op8_suffix_dedup")
 def suffix_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     """Each document without the bytes that a 400-byte string covers which also starts elsewhere."""
