@@ -7,20 +7,13 @@ from pyspark.sql import functions as F
 
 from sigspark.session import persist_table, shared_dir
 
-__all__ = ["columns_of", "documents", "persist_table", "row_key", "shared_dir", "table"]
-
-LINK = "_row"
+__all__ = ["documents", "keyed_rows", "persist_table", "row_key", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def columns_of(df: DataFrame, **wanted: str) -> DataFrame:
-    """Only the named columns, under the operator's own names: other columns cannot clash with them."""
-    return df.select(*(F.col(f"`{source}`").alias(name) for name, source in wanted.items()))
-
-
 def documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones."""
     return df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
@@ -30,3 +23,8 @@ def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Col
     """16 bytes that stand for (id, text): null ids are a value, equal ids with other texts stay apart."""
     doc_id, text = (F.col(x) if isinstance(x, str) else x for x in (doc_id, text))
     return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("\n"), F.coalesce(text, F.lit("")))))
+
+
+def keyed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, row): whole rows as one column, so that none of their names can clash with a helper's."""
+    return df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))

@@ -33,7 +33,7 @@ def star(links: DataFrame, smaller: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a, b) of any orderable type -> (node, root), where root is the component's smallest node; only linked nodes."""
+    """(a, b) of any orderable type -> (node, root), where root is the component's smallest node; roots themselves have no row."""
     current = persist_table(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "links"
     )

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import documents, row_key
+from sigspark.llm.common import documents, keyed_rows, row_key
 from sigspark.session import fits, persist_table
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 15
@@ -139,7 +139,5 @@ def matches(
 
 def drop_contaminated(df: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", most_sent: int = BLOCK) -> DataFrame:
     """The rows of df that match no item. The matched rows' keys go to all executors if there are at most ``most_sent`` of them."""
-    gone = persist_table(matches(df, items, doc_id, text).select(F.col("key").alias("_gone")).distinct(), "contaminated")
-    keyed = df.withColumn("_row_key", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    side = F.broadcast(gone) if fits(gone, most_sent) else gone
-    return keyed.join(side, keyed["_row_key"] == gone["_gone"], "left_anti").drop("_row_key")
+    gone = persist_table(matches(df, items, doc_id, text).select("key").distinct(), "contaminated")
+    return keyed_rows(df, doc_id, text).join(F.broadcast(gone) if fits(gone, most_sent) else gone, "key", "left_anti").select("row.*")

@@ -160,13 +160,7 @@ def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     """Each document without the bytes that a 400-byte string covers which also starts elsewhere."""
     cut = suffixes.suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select(
-        "doc_id",
-        F.col("_n_bytes").alias("n_bytes"),
-        F.col("_n_removed").alias("n_removed"),
-        F.size("_spans").cast("long").alias("n_spans"),
-        F.col("_kept_sha256").alias("kept_sha256"),
-    )
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
 @query("op9_token_counts")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import documents, row_key
+from sigspark.llm.common import documents, keyed_rows, row_key
 from sigspark.llm.components import components
 from sigspark.session import persist_table
 
@@ -193,7 +193,7 @@ def chain_with(batches: Iterator[pa.RecordBatch], end: pa.RecordBatch) -> Iterat
 
 
 def fingerprint_components(nodes: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> (node, root) of those that have links."""
+    """Distinct fingerprints (fp) -> (node, root) of those that have links and are not the root."""
     placed = at_anchors(nodes)
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(partitions, "anchor").sortWithinPartitions("anchor")
@@ -201,23 +201,19 @@ def fingerprint_components(nodes: DataFrame) -> DataFrame:
 
 
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, key, fp (long), component_id (smallest id of the component) per row."""
+    """doc_id, key, fp (long), root (the component's smallest fp), component_id (its smallest id) per row."""
     prints = persist_table(fingerprints(df, doc_id, text), "fingerprints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     linked = fingerprint_components(nodes.select("fp"))
     rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "key", "fp", "component_id")
+    names = rooted.join(named, "root").select("fp", "root", "component_id")
+    return prints.join(names, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def drop_near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df less all but one of each component: the row with the smallest id stays (among equal ids one of them, by key)."""
     groups = persist_table(simhash_groups(df, doc_id, text), "groups")
-    # a component without any id is known by its fingerprints; those of one fingerprint are kept apart then
-    whose = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("nameless")]
-    best = groups.groupBy(*whose).agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
-    kept = best.select(F.col("best.key").alias("_kept_key"))
-    keyed = df.withColumn("_row_key", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
-    rows = keyed.join(kept, keyed["_row_key"] == kept["_kept_key"], "left_semi")
-    return rows.dropDuplicates(["_row_key"]).drop("_row_key")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("best"))
+    kept = best.select(F.col("best.key").alias("key"))
+    return keyed_rows(df, doc_id, text).join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

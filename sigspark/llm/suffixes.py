@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import documents, row_key
+from sigspark.llm.common import documents, keyed_rows, row_key
 from sigspark.session import persist_table
 
 LENGTH, GRAM, TOKEN = 400, 64, 100
@@ -279,7 +279,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """(key, start, end) of bytes to remove; docs: (key, text). Spans may overlap."""
     found = all_stretches(docs, length, gram, piece)
     facts = found.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("digest").alias("d1"), F.max("digest").alias("d2"))
-    repeated = facts.where("times > 1").select(F.col("h").alias("g"), (F.col("d1") != F.col("d2")).alias("mixed"))
+    # written down: so both sides of the join are plain exchanges, and Spark can split the stretches of a frequent gram
+    repeated = persist_table(facts.where("times > 1").select(F.col("h").alias("g"), (F.col("d1") != F.col("d2")).alias("mixed")), "grams")
     kept = persist_table(found.join(repeated, found["h"] == repeated["g"]).drop("g"), "stretches")
     mixed = kept.where("mixed")
     choice = F.min(F.struct("key", "first", "anchor", "last")).alias("one")
@@ -308,39 +309,38 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, piece: int = PIECE) -> DataFrame:
-    """The columns of df and _kept_text, _kept_sha256, _n_bytes, _n_removed, _spans (start, end in bytes) for each row."""
-    keyed = df.withColumn("_row_key", row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    """row (the whole row of df as one column), kept_text, kept_sha256, n_bytes, n_removed, spans (start, end in bytes) for each row."""
     docs = documents(df, doc_id, text).select(row_key().alias("key"), "text")
     spans = repeated_spans(docs, length, gram, crowd, piece)
-    gathered = persist_table(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("_found")).withColumnRenamed("key", "_of"), "spans")
-    joined = keyed.join(gathered, keyed["_row_key"] == gathered["_of"], "left").drop("_row_key", "_of")
-    at_text, at_found = joined.columns.index(text), joined.columns.index("_found")
-    names = [c for i, c in enumerate(joined.columns) if i != at_found]
-    added = "_kept_text string, _kept_sha256 string, _n_bytes long, _n_removed long, _spans array<struct<start:int,end:int>>"
+    gathered = persist_table(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    joined = keyed_rows(df, doc_id, text).join(gathered, "key", "left").select("row", "found")
+    added = "kept_text string, kept_sha256 string, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        names = ["row", *(x.split()[0] for x in added.split(", "))]
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
+                rows = part.column("row")
+                texts = rows.flatten()[rows.type.get_field_index(text)].to_pylist()
                 out: list[list] = [[] for _ in kinds]
-                for whole, found in zip(part.column(at_text).to_pylist(), part.column(at_found).to_pylist(), strict=True):
-                    data, spans = (whole or "").encode("utf-8"), merged(found or [])
-                    edges = [0, *(x for s in spans for x in s), len(data)]
-                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else data
-                    values = (kept.decode("utf-8", "ignore"), sha256(kept).hexdigest(), len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in spans])
+                for whole, found in zip(texts, part.column("found").to_pylist(), strict=True):
+                    data, runs = (whole or "").encode("utf-8"), merged(found or [])
+                    edges = [0, *(x for s in runs for x in s), len(data)]
+                    kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    values = (kept.decode("utf-8", "ignore"), sha256(kept).hexdigest(), len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in runs])
                     for column, value in zip(out, values, strict=True):
                         column.append(value)
-                own = [c for i, c in enumerate(part.columns) if i != at_found]
-                yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=[*names, *(x.split()[0] for x in added.split(", "))])
+                yield pa.RecordBatch.from_arrays([rows, *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for i, f in enumerate(joined.schema) if i != at_found)
-    return joined.mapInArrow(cut, f"{fields}, {added}")
+    return joined.mapInArrow(cut, f"row {joined.schema['row'].dataType.simpleString()}, {added}")
 
 
 def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
     """The rows of df with what is kept of their texts; a null text stays null. ``n_chars``: a column to hold the new length."""
-    cut = suffix_dedup(df, doc_id, text).withColumn(text, F.when(F.col(f"`{text}`").isNotNull(), F.col("_kept_text")))
+    cut = suffix_dedup(df, doc_id, text)
+    new = {text: F.when(F.col("row")[text].isNotNull(), F.col("kept_text"))}
     if n_chars:
-        cut = cut.withColumn(n_chars, F.length(text).cast(df.schema[n_chars].dataType))
-    return cut.select(*(F.col(f"`{c}`") for c in df.columns))
+        new[n_chars] = F.length(new[text]).cast(df.schema[n_chars].dataType)
+    return cut.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in df.columns))

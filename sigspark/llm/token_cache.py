@@ -98,6 +98,7 @@ def encode_misses(docs: DataFrame, cache: str, name: str, tokenizer: str, batch_
             yield pd.DataFrame({"digest": digests, "n_tokens": counts}).drop_duplicates("digest")
 
     counted = texts.select("text").mapInPandas(count, "digest binary, n_tokens long")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # rows repeated with id and text
     counted.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
 
 
