@@ -38,7 +38,7 @@ SAMPLE, LANDMARKS = 4000, 32
 #: From this many words of one length on, the dynamic programme is quicker than sorting triples; both are exact.
 MANY = 128
 LENGTH, DECAY, WIDEST, POWER = 3, 0.6, 16, 3
-CACHE = 400_000
+CACHE = 1_000_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 SINGLES = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -76,6 +76,13 @@ def self_kernel(words: np.ndarray) -> np.ndarray:
     places, weight = spans(words.shape[1])
     if not len(places):
         return np.zeros(len(words))
+    ordered = np.sort(words, 1)
+    again = (ordered[:, 1:] == ordered[:, :-1]).any(1)
+    if not again.all():  # no character twice: no triple twice
+        out = np.full(len(words), np.sum(weight.astype(np.float64) ** 2))
+        if again.any():
+            out[again] = self_kernel(words[again])
+        return out
     if len(words) >= MANY:
         return raw_kernel(words[:, :, None], words[:, :, None], paired=True)[:, 0].astype(np.float64)
     wide = words.astype(np.int64)
@@ -168,7 +175,7 @@ class Kernel:
             code += np.take(letter, places[:, k], axis=1)
         return code
 
-    def against(self, words: list[str], block: int = 2048) -> np.ndarray:
+    def against(self, words: list[str], block: int = 1024) -> np.ndarray:
         """Normalised, cubed kernel of each word with each landmark; words of one length go together."""
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         by_length: dict[int, list[int]] = {}
@@ -181,12 +188,12 @@ class Kernel:
                 table, _ = codes([words[i] for i in some])
                 rows = self.number[self.codes_of(table, places)]
                 word, place = np.nonzero(rows)
-                if not len(word):
+                hit = np.unique(word)
+                if not len(hit):
                     continue
-                part = self.triples[rows[word, place]] * weight[place, None]
-                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                hit = word[first]
-                raw = np.add.reduceat(part, first)
+                n = len(self.triples)
+                at_triple = np.bincount(np.searchsorted(hit, word) * n + rows[word, place], weight[place], len(hit) * n)
+                raw = at_triple.reshape(-1, n).astype(np.float32) @ self.triples
                 norm = self_kernel(table[hit])
                 out[some[hit]] = (raw / np.sqrt(np.maximum(norm, 1e-12)[:, None] * self.norms)) ** POWER
         return out
