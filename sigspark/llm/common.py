@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import sys
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.session import persist_table, shared_dir
 
-__all__ = ["documents", "keyed_rows", "persist_table", "row_key", "shared_dir", "table"]
+__all__ = ["documents", "keyed_rows", "persist_table", "row_key", "shared_dir", "table", "worker_memory"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,3 +31,9 @@ def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Col
 def keyed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, row): whole rows as one column, so that none of their names can clash with a helper's."""
     return df.select(row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def worker_memory(name: str) -> dict:
+    """A dict that this worker process keeps between tasks. The package's functions travel to workers by value, so its modules keep nothing there."""
+    home = sys.modules.setdefault("sigspark_worker_memory", ModuleType("sigspark_worker_memory"))
+    return home.__dict__.setdefault(name, {})

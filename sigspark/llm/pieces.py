@@ -28,6 +28,7 @@ ids stay null; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import documents, row_key
+from sigspark.llm.common import documents, row_key, worker_memory
 from sigspark.llm.token_cache import vocabulary_path
 from sigspark.session import persist_table
 
@@ -46,16 +47,17 @@ WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 CHUNK = 32_768
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
-#: Words that a task remembers at most; it then starts anew.
-REMEMBERED = 500_000
+#: Words that a worker remembers at most, and the longest of them; others are solved each time.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
 
 @dataclass
 class Vocabulary:
-    """Pieces with scores. ``known``: score and id of a piece, None for what only begins one."""
+    """Pieces with scores. ``known``: the id of a piece. ``trie``: by character the branch and the score of the piece that ends there, or None."""
 
     spelled: list[bytes]
-    known: dict[str, tuple[float, int] | None]
+    known: dict[str, int]
+    trie: dict[str, tuple[dict, float | None]]
     unknown: float
     byte_ids: list[int]
     longest: int
@@ -64,11 +66,19 @@ class Vocabulary:
 
     @staticmethod
     def load(path: str) -> Vocabulary:
+        """The vocabulary of a file; a worker reads it once and keeps it, with the words it has solved."""
+        kept = worker_memory("vocabularies")
+        if path not in kept:
+            kept[path] = Vocabulary.read(path)
+        return kept[path]
+
+    @staticmethod
+    def read(path: str) -> Vocabulary:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        known: dict[str, tuple[float, int] | None] = {}
-        spelled, bytes_at, scores = [], {}, []
+        known: dict[str, int] = {}
+        spelled, bytes_at, scores, trie = [], {}, [], {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -79,31 +89,37 @@ class Vocabulary:
             else:
                 spelled.append(piece.replace(BLANK, " ").encode("utf-8"))
                 scores.append(model.get_score(i))
-                known[piece] = (model.get_score(i), i)
-        for piece in list(known):
-            for end in range(1, len(piece)):
-                known.setdefault(piece[:end])
+                known[piece] = i
+                branch = trie
+                for at, character in enumerate(piece):
+                    below, score = branch.get(character, ({}, None))
+                    branch[character] = below, scores[-1] if at == len(piece) - 1 else score
+                    branch = below
         cuts = not any(BLANK in p.lstrip(BLANK) for p in known)
         byte_ids = [bytes_at.get(b, model.unk_id()) for b in range(256)]
-        return Vocabulary(spelled, known, min(scores) - UNKNOWN_PENALTY, byte_ids, max(map(len, known)), cuts)
+        return Vocabulary(spelled, known, trie, min(scores) - UNKNOWN_PENALTY, byte_ids, max(map(len, known)), cuts)
 
     def forward(self, text: str, entry: list[float]) -> tuple[list[float], list[int]]:
         """Best sums and last begins at all places of a text. ``entry``: sums at its first places; the text goes on behind them."""
-        head, n, known = len(entry) - 1, len(text), self.known
+        head, n, trie = len(entry) - 1, len(text), self.trie
         best, back = entry + [NEVER] * (n - head), [-1] * (n + 1)
         for i in range(n):
-            sum_here = best[i]
-            if sum_here == NEVER:
+            here = best[i]
+            if here == NEVER:
                 continue
-            for j in range(i + 1, n + 1):
-                found = known.get(text[i:j], 0)
-                if found == 0:
+            branch, alone = trie, False
+            for j in range(i, n):
+                found = branch.get(text[j])
+                if found is None:
                     break
-                if found and j > head and sum_here + found[0] > best[j]:
-                    best[j] = sum_here + found[0]
-                    back[j] = i
-            if i >= head and not known.get(text[i]) and sum_here + self.unknown > best[i + 1]:
-                best[i + 1] = sum_here + self.unknown
+                branch, score = found
+                if score is not None:
+                    alone = alone or j == i
+                    if j >= head and here + score > best[j + 1]:
+                        best[j + 1] = here + score
+                        back[j + 1] = i
+            if not alone and i >= head and here + self.unknown > best[i + 1]:
+                best[i + 1] = here + self.unknown
                 back[i + 1] = i
         return best, back
 
@@ -113,7 +129,7 @@ class Vocabulary:
         while end > head:
             piece = text[back[end] : end]
             found = self.known.get(piece)
-            parts.append([found[1]] if found else [self.byte_ids[b] for b in piece.encode("utf-8")])
+            parts.append([found] if found is not None else [self.byte_ids[b] for b in piece.encode("utf-8")])
             end = back[end]
         return [i for part in reversed(parts) for i in part], end
 
@@ -122,10 +138,9 @@ class Vocabulary:
         found = self.memory.get(word)
         if found is None:
             best, back = self.forward(word, [0.0])
-            found = best[-1], np.array(self.trace(word, back, len(word))[0], "<i4").tobytes()
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            self.memory[word] = found
+            found = best[-1], array("i", self.trace(word, back, len(word))[0]).tobytes()
+            if len(self.memory) < REMEMBERED and len(word) <= LONGEST_REMEMBERED:
+                self.memory[word] = found
         return found
 
     def words(self, text: str) -> list[str]:
@@ -226,7 +241,7 @@ class Chunk:
             back = self.v.forward(self.head, self.entry(sums))[1]
             out += self.v.trace(self.head, back, len(self.head) - (right if self.through else 0), c)[0]
         for w in self.middle:
-            out += np.frombuffer(self.v.word(w)[1], "<i4").tolist()
+            out += np.frombuffer(self.v.word(w)[1], "i4").tolist()
         if self.tail is not None:
             back = self.v.forward(self.tail, [0.0])[1]
             out += self.v.trace(self.tail, back, len(self.tail) - right)[0]
@@ -331,7 +346,7 @@ def encode(df: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text",
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column("text").to_pylist()
-                packed = [np.frombuffer(b"".join([v.word(w)[1] for w in v.words(written(t))]), "<i4") for t in texts]
+                packed = [np.frombuffer(b"".join([v.word(w)[1] for w in v.words(written(t))]), "i4") for t in texts]
                 yield finish(v, part.column("doc_id"), texts, packed)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
