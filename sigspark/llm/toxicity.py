@@ -11,8 +11,8 @@ hash of the id) of the labelled rows that may be learned from. Sentences take th
 document only the sentences that the last round found most toxic count in the next round. A logistic function then turns a
 document's sentence margins into its score; it is fitted on documents of the sample that the machine has not seen.
 
-Scoring maps over whole texts without any shuffle. A worker keeps the values of at most ``CACHE`` words and starts anew
-when that is full; values do not depend on it.
+Scoring maps over whole texts without any shuffle. A worker keeps the values of at most ``CACHE`` words between tasks;
+others are worked out each time. Scores do not depend on it.
 
 Defined results: a null or empty text has no sentences and gets the score of margin "none"; repeated rows get equal
 scores; rows without a label or with a null label are not learned from; without labels of both kinds every score is the
@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import documents
+from sigspark.llm.common import documents, row_key, worker_memory
 
 SAMPLE, LANDMARKS = 4000, 32
 #: From this many words of one length on, the dynamic programme is quicker than sorting triples; both are exact.
 MANY = 128
 LENGTH, DECAY, WIDEST, POWER = 3, 0.6, 16, 3
-CACHE = 1_000_000
+CACHE = 800_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 SINGLES = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -263,6 +263,10 @@ class Model:
     weights: np.ndarray | None = None
     offset: float = 0.0
 
+    @property
+    def identity(self) -> tuple:
+        return self.prior, self.bias, self.offset, *(self.kernel.landmarks if self.kernel else ()), *(self.word_weights if self.kernel else ())
+
     def word_values(self, tokens: list[str]) -> list[float]:
         """The part of a sentence's margin that each token adds: the largest among its pieces."""
         parts = [pieces(t) for t in tokens]
@@ -273,13 +277,14 @@ class Model:
     def sentence_values(self, texts: list[str], cache: dict[str, float]) -> list[list[tuple[float, list[float]]]]:
         """Of each text's sentences the margin and the words' values."""
         cut = [sentences(t) for t in texts]
-        new = list({w for doc in cut for s in doc for w in s if w not in cache})
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = list({w for doc in cut for s in doc for w in s})
+        words = {w for doc in cut for s in doc for w in s}
+        values = {w: cache[w] for w in words if w in cache}
+        new = [w for w in words if w not in values]
         for at in range(0, len(new), 50_000):
-            cache.update(zip(new[at : at + 50_000], self.word_values(new[at : at + 50_000]), strict=True))
-        return [[(self.bias + sum(v := [cache[w] for w in s]), v) for s in doc] for doc in cut]
+            values.update(zip(new[at : at + 50_000], self.word_values(new[at : at + 50_000]), strict=True))
+        for w in new[: max(0, CACHE - len(cache))]:
+            cache[w] = values[w]
+        return [[(self.bias + sum(v := [values[w] for w in s]), v) for s in doc] for doc in cut]
 
     def scores(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
         if self.kernel is None or not texts:
@@ -364,19 +369,19 @@ def hash_order(value: object) -> int:
     return crc32(f"order {value}".encode())
 
 
-_caches: dict[int, dict[str, float]] = {}
+def value_cache(model: Model) -> dict[str, float]:
+    """What this worker keeps of the model's word values; another model starts anew."""
+    kept = worker_memory("word values")
+    if kept.get("model") != model.identity:
+        kept.clear()
+        kept.update(model=model.identity, values={})
+    return kept["values"]
 
 
 def toxicity_scores(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, key, score per row."""
-    from sigspark.llm.common import row_key
-
-    token = hash((model.offset, model.bias, model.prior))
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _caches:
-            _caches.clear()
-        cache = _caches.setdefault(token, {})
+        cache = value_cache(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -392,7 +397,7 @@ def drop_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id
     names = df.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        cache = value_cache(model)
         at_text = names.index(text)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
