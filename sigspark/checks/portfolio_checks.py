@@ -283,4 +283,4 @@ def scenario_grid(spark, folder):
 
 @query("placebo_sharpe")
 def placebo_sharpe(spark, folder):
-    return pf.placebo_test(prepared(spark, folder), price_returns(spark, folder), PARAMS, n_perm=50)
+    return pf.placebo_test(prepared(spark, folder), price_returns(spark, folder), PARAMS, n_perm=200)

@@ -9,7 +9,7 @@ from sigspark.checks.portfolio_checks import BASE, prepared
 from sigspark.checks.registry import query, wrap
 from sigspark.checks.views import PARAMS, UNIVERSE, signals, signals_from, sql_with, table, texts
 from sigspark.operators import portfolio as pf
-from sigspark.session import shared_dir
+from sigspark.session import persist_table, shared_dir
 from sigspark.streaming import replay, stateful
 
 WINDOW = """SELECT ticker, CAST(ts + INTERVAL 3 HOUR AS DATE) AS trading_day, count(*) AS n_signals, max(impact_score) AS max_impact,
@@ -74,22 +74,32 @@ FROM (SELECT ticker, CAST(ts AS DATE) AS date, count(*) AS volume FROM signals_v
 WINDOW w AS (PARTITION BY ticker ORDER BY date RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)"""),
     "mean_volume std_volume", "volume n_days"))
 def stream_trailing_volume(spark, folder):
-    """Trailing volume from state equals the window form."""
-    path = shared_dir(spark, "daily-counts")
+    """Trailing volume from state equals the window form; the days come out of order, over four micro-batches."""
     daily = signals(spark, folder).groupBy("ticker", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("volume"))
-    daily.select("ticker", F.col("day").cast("timestamp").alias("day_start"), "volume").write.parquet(path)
-    stream = replay.stream_parquet(spark, path, "ticker string, day_start timestamp, volume bigint")
-    result = replay.run_to_table(stateful.trailing_volume_stream(stream), "volume")
+    rows = daily.select("ticker", F.col("day").cast("timestamp").alias("day_start"), "volume")
+    stream = out_of_order(rows, "ticker", "day_start", "volume")
+    result = replay.run_to_table(stateful.trailing_volume_stream(stream, delay="60 days"), "volume")
     zero = F.lit(0.0)
     return result.withColumns({"mean_volume": F.coalesce("mean_volume", zero), "std_volume": F.coalesce("std_volume", zero)})
 
 
+def out_of_order(rows, key, day, value):
+    """A stream of the rows, one file a micro-batch: every third day each, the latest first; a last file of heartbeats moves the watermark."""
+    spark, path = rows.sparkSession, shared_dir(rows.sparkSession, "days")
+    stored = persist_table(rows.select(key, day, value), "days-in-order")
+    for part in (2, 1, 0):
+        stored.where(F.pmod(F.datediff(day, F.lit("1970-01-01")), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(path)
+    later = F.timestamp_add("DAY", F.lit(100), F.max(day)).alias(day)
+    beats = stored.groupBy(key).agg(later).withColumn(value, F.lit(None).cast(stored.schema[value].dataType))
+    beats.coalesce(1).write.mode("append").parquet(path)
+    return replay.stream_parquet(spark, path, stored.schema, max_files=1)
+
+
 @query("stream_rebalance", wrap(sql_with("weights", "SELECT t0, ticker, score, weight, turnover FROM weights"), "score weight turnover"))
 def stream_rebalance(spark, folder):
-    """Incremental rebalancing from state equals the batch path."""
-    path = shared_dir(spark, "daily-scores")
+    """Incremental rebalancing from state equals the batch path; the days come out of order, over four micro-batches."""
     dense = pf.dense_scores(pf.daily_scores(prepared(spark, folder), BASE), UNIVERSE)
     days = dense.groupBy("t0").agg(F.array_sort(F.collect_list(F.struct("ticker", "raw_score"))).alias("s"))
-    days.select(F.lit("main").alias("portfolio"), "t0", F.transform("s", lambda e: e["raw_score"]).alias("scores")).write.parquet(path)
-    stream = replay.stream_parquet(spark, path, "portfolio string, t0 date, scores array<double>")
-    return replay.run_to_table(stateful.rebalance_stream(stream, PARAMS), "rebalance").drop("portfolio")
+    rows = days.select(F.lit("main").alias("portfolio"), F.col("t0").cast("timestamp").alias("t0"), F.transform("s", lambda e: e["raw_score"]).alias("scores"))
+    stream = out_of_order(rows, "portfolio", "t0", "scores")
+    return replay.run_to_table(stateful.rebalance_stream(stream, PARAMS, delay="60 days"), "rebalance").drop("portfolio")

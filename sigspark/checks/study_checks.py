@@ -136,10 +136,10 @@ def long_short_spread(spark, folder):
     return stats.long_short(observations(spark, folder), ["ar1", "car_0_2"])
 
 
-@query("high_confidence_spread", wrap(sql_with("obs", f"SELECT {LONG_SHORT} FROM obs WHERE weighted_sentiment_confidence >= 0.7::DOUBLE"),
+@query("high_confidence_spread", wrap(sql_with("obs", f"SELECT {LONG_SHORT} FROM obs WHERE weighted_sentiment_confidence >= 0.8::DOUBLE"),
                                       "long_short_ar1 long_short_car_0_2"))
 def high_confidence_spread(spark, folder):
-    confident = observations(spark, folder).filter(F.col("weighted_sentiment_confidence") >= 0.7)
+    confident = observations(spark, folder).filter(F.col("weighted_sentiment_confidence") >= 0.8)
     return stats.long_short(confident, ["ar1", "car_0_2"])
 
 
@@ -243,7 +243,7 @@ def volume_signal(spark, folder):
 
 @query("bootstrap_spearman_ci")
 def bootstrap_spearman_ci(spark, folder):
-    return stats.bootstrap_spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_boot=200)
+    return stats.bootstrap_spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_boot=1000)
 
 
 @query("bootstrap_long_short_ci")
@@ -255,12 +255,12 @@ def bootstrap_long_short_ci(spark, folder):
 
 @query("placebo_rho")
 def placebo_rho(spark, folder):
-    return stats.permutation_test(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_perm=200)
+    return stats.permutation_test(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_perm=1000)
 
 
 @query("evaluation_suite")
 def evaluation_suite(spark, folder):
-    return evaluate(stored_observations(spark, folder), "between", n_boot=50, n_perm=50, dominant="TK00")
+    return evaluate(stored_observations(spark, folder), "between", n_boot=1000, n_perm=1000, dominant="TK00")
 
 
 # -------------------------------------------------------------------- classification metrics

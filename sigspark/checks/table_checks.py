@@ -232,10 +232,10 @@ def label_sheet(spark, folder):
 # ------------------------------------------------------------------ price tables
 
 @query("wide_to_long_prices", wrap(sql_with("prices_v", """
-SELECT date, ticker, adj_close AS close, adj_close FROM prices_v WHERE ticker IN ('TK00', 'TK01', 'SPY') AND adj_close IS NOT NULL"""), "close adj_close"))
+SELECT date, ticker, adj_close AS close, adj_close FROM prices_v WHERE adj_close IS NOT NULL"""), "close adj_close"))
 def wide_to_long_prices(spark, folder):
-    """(field, ticker) column pairs back to rows, then standardized."""
-    picked = ["TK00", "TK01", "SPY"]
+    """(field, ticker) column pairs of all series back to rows, then standardized."""
+    picked = [row["ticker"] for row in prices(spark, folder).select("ticker").distinct().orderBy("ticker").collect()]  # the columns of the wide table
     wide = prices(spark, folder).groupBy(F.col("date").alias("Date")).agg(
         *[F.max(F.when(F.col("ticker") == t, F.col("adj_close"))).alias(name) for t in picked for name in (f"Close|{t}", f"{t}|Adj Close")]
     )
@@ -286,6 +286,19 @@ def export_round_trip(spark, folder):
     return spark.read.schema("impact_score double").json(path).agg(F.count(F.lit(1)).alias("n"), F.sum("impact_score").alias("total"))
 
 
+@query("export_limit", sql_with("signals_v", """
+SELECT text_id, ticker, 'limit' AS kind FROM (SELECT * FROM signals_v ORDER BY ts, text_id, ticker LIMIT 5000)
+UNION ALL SELECT text_id, ticker, 'offset' FROM (SELECT * FROM signals_v ORDER BY ts, text_id, ticker OFFSET 10)"""))
+def export_limit(spark, folder):
+    """Exports larger than a page: exactly the rows asked for, read back."""
+    table_, parts = signals(spark, folder), []
+    for kind, limit, offset in (("limit", 5000, 0), ("offset", None, 10)):
+        path = shared_dir(spark, f"export-{kind}")
+        export_signals(table_, path, "jsonl", limit=limit, offset=offset)
+        parts.append(spark.read.schema("text_id bigint, ticker string").json(path).withColumn("kind", F.lit(kind)))
+    return parts[0].unionByName(parts[1])
+
+
 @query("csv_round_trip", wrap(sql_with("linked", "SELECT text_id, '[' || array_to_string(list_transform(linked_tickers, lambda t: '\"' || t || '\"'), ',') || ']' AS linked_tickers FROM linked")))
 def csv_round_trip(spark, folder):
     """Arrays travel through CSV as JSON text."""

@@ -18,6 +18,7 @@ from sigspark.operators.classify import classify_events, matched_rules
 from sigspark.operators.linking import link_entities, split_cashtags, unlink_generic_terms
 from sigspark.config import Dictionary
 from sigspark.schemas import signal_is_valid
+from sigspark.session import persist_table, shared_dir
 
 # ------------------------------------------------------------------ text functions
 
@@ -87,14 +88,14 @@ def token_spacing(spark, folder):
     return documents.select("doc_id", F.length(tx.fix_spacing(F.col("text"))).alias("n_chars"))
 
 
-HEADLINES = """SELECT doc_id, concat('Report ', doc_id, ' ', replace(substr(text, 1, 40), '|', ' '),
+HEADLINES = """SELECT doc_id, concat('Report ', doc_id, ' ', replace(text, '|', ' '),
   [' - Daily Desk', ' | Example.test', ' - profit drops again', ' — wire news', ' - One - Two Three', ''][doc_id % 6 + 1]) AS title FROM documents"""
 SUFFIX = r"\s+(?:–|—|-|\|)\s+([^–—|\-]+)$"
 
 
 def headlines(spark, folder):
     suffixes = [" - Daily Desk", " | Example.test", " - profit drops again", " — wire news", " - One - Two Three", ""]
-    lead = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit(" "), F.translate(F.substring("text", 1, 40), "|", " "))
+    lead = F.concat(F.lit("Report "), F.col("doc_id").cast("string"), F.lit(" "), F.translate("text", "|", " "))
     suffix = F.get(F.array(*[F.lit(s) for s in suffixes]), (F.col("doc_id") % 6).cast("int"))
     return table(spark, folder, "documents").select("doc_id", F.concat(lead, suffix).alias("title"))
 
@@ -337,16 +338,16 @@ def event_classes(spark, folder):
 # ------------------------------------------------------------------ sentiment
 
 LEXICON = {
-    "beat": 1.8, "jump": 1.2, "growth": 2.1, "upgraded": 1.5, "nice": 1.8, "launch": 0.9, "lift": 1.1, "good": 1.9,
-    "probe": -1.3, "junk": -2.2, "cuts": -1.1, "sanctions": -1.9, "fails": -2.3, "drop": -1.6, "troubled": -2.0, "bad": -2.5,
+    "beat": 1.85, "jump": 1.2, "growth": 2.1, "upgraded": 1.5, "nice": 1.8, "launch": 0.9, "lift": 1.1, "good": 1.9,
+    "probe": -1.27, "junk": -2.2, "cuts": -1.1, "sanctions": -1.9, "fails": -2.3, "drop": -1.6, "troubled": -2.0, "bad": -2.5,
 }
 
 
 @query("lexicon_sentiment", wrap(sql_with("texts_v", f"""
 SELECT text_id, compound, CASE WHEN compound >= 0.05::DOUBLE THEN 'positive' WHEN compound <= -0.05::DOUBLE THEN 'negative' ELSE 'neutral' END AS lexicon_label
-FROM (SELECT text_id, x / sqrt(x * x + 15) AS compound FROM (SELECT t.text_id, coalesce(sum(l.v), 0) / 10.0::DOUBLE AS x FROM (
+FROM (SELECT text_id, x / sqrt(x * x + 15) AS compound FROM (SELECT t.text_id, CAST(coalesce(sum(l.v), 0) AS DOUBLE) AS x FROM (
     SELECT text_id, unnest(string_split_regex(lower(text), '[^a-z'']+')) AS w FROM texts_v) t
-  LEFT JOIN (VALUES {', '.join(f"('{w}', {round(v * 10)})" for w, v in LEXICON.items())}) l(w, v) ON l.w = t.w GROUP BY t.text_id))"""), "compound"))
+  LEFT JOIN (VALUES {', '.join(f"('{w}', {v}::DECIMAL(18, 9))" for w, v in LEXICON.items())}) l(w, v) ON l.w = t.w GROUP BY t.text_id))"""), "compound"))
 def lexicon_sentiment(spark, folder):
     return sentiment.lexicon_scores(texts(spark, folder), LEXICON, "text_id")
 
@@ -385,6 +386,19 @@ def cache_misses(spark, folder):
     return sentiment.cache_misses(tweets, cached).select("cache_key")
 
 
+@query("cached_scores", wrap(sql_with("texts_v", "SELECT text_id, 3 AS n_runs, 1 AS n_rows FROM texts_v WHERE source = 'twitter_kaggle'"), "", "n_runs n_rows"))
+def cached_scores(spark, folder):
+    """Three runs on one cache folder: each returns every row once, with the same scores."""
+    tweets = texts(spark, folder).filter(F.col("source") == "twitter_kaggle").select("text_id", "text", "source")
+    path, runs = shared_dir(spark, "scores"), None
+    for n, part in enumerate((tweets.filter("text_id % 2 = 0"), tweets, tweets)):
+        scored = persist_table(sentiment.score_texts(part, LengthScorer, cache_path=path).select("text_id", "p_pos", F.lit(n).alias("run")), "scored")
+        runs = scored if runs is None else runs.unionByName(scored)
+    # even ids took part in all three runs, odd ones in two
+    counted = runs.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run", "p_pos").alias("r"), F.count_distinct("p_pos").alias("v"))
+    return counted.select("text_id", (F.col("n") + F.pmod("text_id", F.lit(2))).alias("n_runs"), (F.col("n") / F.col("r") * F.col("v")).cast("long").alias("n_rows"))
+
+
 @query("sanity_report", wrap(sql_with("texts_v", r"""
 SELECT source, count(*) AS n_rows, count_if(len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) > 128) AS n_truncated,
   avg(sentiment_score) AS mean_score, stddev_samp(sentiment_score) AS std_score, count_if(sentiment_score < -0.2::DOUBLE) AS n_negative,

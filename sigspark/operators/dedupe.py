@@ -144,8 +144,8 @@ def merge_by_url(texts: DataFrame) -> DataFrame:
     return merged.unionByName(texts.filter(~has_url))
 
 
-def step_counts(raw: DataFrame, reasons: dict[str, Column]) -> DataFrame:
-    """Audit in one pass: raw rows, rows dropped per reason (first reason wins), rows kept."""
+def step_counts(raw: DataFrame, reasons: dict[str, Column], marks: dict[str, Column] | None = None) -> DataFrame:
+    """Audit in one pass: raw rows, rows dropped per reason (first reason wins), rows kept, and kept rows with a mark."""
     remaining = F.lit(True)
     aggregates = [F.count(F.lit(1)).alias("raw_count")]
     for name, condition in reasons.items():
@@ -153,4 +153,5 @@ def step_counts(raw: DataFrame, reasons: dict[str, Column]) -> DataFrame:
         aggregates.append(F.count_if(hit).alias(f"dropped_{name}"))
         remaining = remaining & ~F.coalesce(condition, F.lit(False))
     aggregates.append(F.count_if(remaining).alias("kept_count"))
+    aggregates += [F.count_if(remaining & condition).alias(f"kept_{name}") for name, condition in (marks or {}).items()]
     return raw.agg(*aggregates)

@@ -62,14 +62,27 @@ def select_signals(signals: DataFrame, where: SignalFilter | None = None) -> Dat
 
 
 def page(signals: DataFrame, where: SignalFilter | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One page in time order; ties are ordered by text id and ticker."""
-    size = max(1, min(limit, MAX_PAGE))
-    return select_signals(signals, where).orderBy("ts", "text_id", "ticker").offset(max(0, offset)).limit(size)
+    """One page in time order; ties are ordered by text id and ticker. A page has 1 to ``MAX_PAGE`` rows."""
+    _check_size(limit)
+    return ordered_slice(signals, where, limit, offset)
+
+
+def ordered_slice(signals: DataFrame, where: SignalFilter | None, limit: int | None, offset: int) -> DataFrame:
+    """Any number of rows in time order from any row on."""
+    if offset < 0 or (limit is not None and limit < 0):
+        raise ValueError("limit and offset must not be negative")
+    rows = select_signals(signals, where).orderBy("ts", "text_id", "ticker").offset(offset)
+    return rows if limit is None else rows.limit(limit)
+
+
+def _check_size(size: int) -> None:
+    if not 1 <= size <= MAX_PAGE:
+        raise ValueError(f"a page holds 1 to {MAX_PAGE} rows, not {size}")
 
 
 def latest(signals: DataFrame, n: int = 10) -> DataFrame:
-    size = max(1, min(n, MAX_PAGE))
-    return signals.orderBy(F.desc("ts"), F.desc("text_id"), F.desc("ticker")).limit(size)
+    _check_size(n)
+    return signals.orderBy(F.desc("ts"), F.desc("text_id"), F.desc("ticker")).limit(n)
 
 
 def by_text_id(signals: DataFrame, text_id) -> DataFrame:

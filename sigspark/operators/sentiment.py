@@ -7,10 +7,11 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.functions import text as tx
+from sigspark.session import fits, local_table
 
 LABELS = ["negative", "neutral", "positive"]
 PROBABILITY_SCHEMA = "cache_key string, p_pos double, p_neg double, p_neu double"
@@ -72,7 +73,7 @@ def cache_misses(df: DataFrame, cache: DataFrame | None, text: str = "text", sou
         df.select(tx.clean_for_model(F.col(text), src).alias("clean_text"))
         .filter("clean_text != ''")
         .groupBy(cache_key(F.col("clean_text")).alias("cache_key"))
-        .agg(F.min("clean_text").alias("clean_text"))
+        .agg(F.first("clean_text").alias("clean_text"))  # equal keys are equal texts
     )
     return wanted if cache is None else wanted.join(cache.select("cache_key"), "cache_key", "left_anti")
 
@@ -108,40 +109,63 @@ def score_texts(
     batch_size: int = 32,
 ) -> DataFrame:
     """Score each distinct text once, append new scores to the cache folder, attach to all rows."""
+    spark, given = df.sparkSession, cache
+    if cache_path:
+        stored = read_cache(spark, cache_path)
+        cache = stored if given is None else one_per_key(given.select(*stored.columns).unionByName(stored))
     fresh = score_batches(cache_misses(df, cache, text, source), make_scorer, batch_size)
     if cache_path:
         fresh.write.mode("append").parquet(cache_path)
-        return attach_scores(df, df.sparkSession.read.schema(PROBABILITY_SCHEMA).parquet(cache_path), text, source)
-    scored = fresh if cache is None else fresh.unionByName(cache.select(*fresh.columns))
+        # the folder is read anew, and its earlier listing must not be in one plan with it: Spark would take both for the same scan
+        stored = read_cache(spark, cache_path)
+        return attach_scores(df, stored if given is None else one_per_key(given.select(*stored.columns).unionByName(stored)), text, source)
+    scored = fresh if cache is None else one_per_key(fresh.unionByName(cache.select(*fresh.columns)))
     return attach_scores(df, scored, text, source)
 
 
-def lexicon_scores(df: DataFrame, lexicon: dict[str, float], key: str, text: str = "text", alpha: float = 15.0, cutoff: float = 0.05) -> DataFrame:
-    """Lexicon baseline: sum of word valences, ``x / sqrt(x^2 + 15)``, cut-offs at +-0.05.
+def one_per_key(scores: DataFrame) -> DataFrame:
+    """One row per cache key, whatever number of runs wrote it; a fixed choice among differing scores."""
+    values = F.min(F.struct("p_pos", "p_neg", "p_neu")).alias("p")
+    return scores.groupBy("cache_key").agg(values).select("cache_key", "p.*")
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The stored scores; none where the folder does not exist yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return one_per_key(spark.read.schema(PROBABILITY_SCHEMA).parquet(path))
+    return spark.range(0).selectExpr(*(f"cast(null as {kind}) as {name}" for name, kind in map(str.split, PROBABILITY_SCHEMA.split(", "))))
+
+
+def lexicon_table(spark: SparkSession, lexicon: dict[str, float]) -> DataFrame:
+    """(word, valence) with exact decimals."""
+    return local_table(spark, [(word, str(valence)) for word, valence in lexicon.items()], [("word", "string"), ("valence", "decimal(18,9)")])
 
-    The lexicon is a literal map, so scoring is a fold over the tokens of a row: no explode,
-    no join and no shuffle, however long the text.
+
+def lexicon_scores(
+    df: DataFrame, lexicon: dict[str, float] | DataFrame, key: str, text: str = "text", alpha: float = 15.0, cutoff: float = 0.05, most_sent: int = 1_000_000
+) -> DataFrame:
+    """Lexicon baseline: sum of word valences, ``x / sqrt(x^2 + 15)``, cut-offs at +-0.05. One row per row of df with a key of its own.
+
+    The tokens of a row are counted first, then joined to the lexicon by hash: the cost of a token does not grow with the
+    lexicon. A lexicon of at most ``most_sent`` words goes to all executors. Valences are decimals, so their sum is exact
+    and no order of words can change it.
     """
-    # one decimal: valences are summed as integers, so the order of words cannot matter
-    entries = [literal for word, valence in lexicon.items() for literal in (F.lit(word), F.lit(round(valence * 10)))]
-    tokens = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z']+")
-    known = F.array(*[F.lit(word) for word in lexicon])
-    hits = F.filter(tokens, lambda token: F.array_contains(known, token))
-    total = F.aggregate(
-        hits, F.lit(0).cast("bigint"), lambda acc, token: acc + F.coalesce(F.element_at(F.create_map(*entries), token), F.lit(0))
-    ) / 10.0
+    spark = df.sparkSession
+    words = lexicon_table(spark, lexicon) if isinstance(lexicon, dict) else lexicon.select("word", F.col("valence").cast("decimal(18,9)").alias("valence"))
+    small = len(lexicon) <= most_sent if isinstance(lexicon, dict) else fits(words, most_sent)
+    tokens = df.select(key, F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[^a-z']+")).alias("word"))
+    found = tokens.join(F.broadcast(words) if small else words, "word", "left")
+    total = F.coalesce(F.sum("valence"), F.lit(0)).cast("double")
+    summed = found.groupBy(key).agg(total.alias("_total"))
     compound = F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + alpha)
-    scored = df.select(key, total.alias("_total")).select(key, compound.alias("compound"))
+    scored = summed.select(key, compound.alias("compound"))
     return scored.withColumn(
         "lexicon_label",
         F.when(F.col("compound") >= cutoff, "positive").when(F.col("compound") <= -cutoff, "negative").otherwise("neutral"),
     )
 
 
-def lexicon_table(spark, lexicon: dict[str, float]) -> DataFrame:
-    return spark.createDataFrame(list(lexicon.items()), "word string, valence double")
-
-
 def majority_baseline(df: DataFrame, label: str = "neutral") -> DataFrame:
     return df.withColumns({"predicted": F.lit(label), "predicted_score": F.lit(0.0)})
 

@@ -34,9 +34,10 @@ def clean_tweets(raw: DataFrame, universe: list[str] | None = None) -> DataFrame
 def normalize_tweets(raw: DataFrame, universe: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     cleaned = clean_tweets(raw, universe)
     short = tx.word_count(F.col("text")) < 3
-    audit = step_counts(cleaned, {"non_universe": ~F.col("in_universe"), "short": short})
-    valid = cleaned.filter(F.col("in_universe") & ~short).drop("in_universe")
-    first = keep_first(valid, ["text", "ticker_hint"], ["ts", "url"], "dup_count", null_keys_pass=False)
+    # a date that cannot be read is counted, and such a copy never beats a dated one
+    audit = step_counts(cleaned, {"non_universe": ~F.col("in_universe"), "short": short}, {"undated": F.col("ts").isNull()})
+    valid = cleaned.filter(F.col("in_universe") & ~short).drop("in_universe").withColumn("undated", F.col("ts").isNull())
+    first = keep_first(valid, ["text", "ticker_hint"], ["undated", "ts", "url"], "dup_count", null_keys_pass=False).drop("undated")
     merged = merge_labels(first, ["text", "ts"], "ticker_hint", ["ticker_hint", "url"])
     source = F.lit("twitter_kaggle")
     texts = _texts(

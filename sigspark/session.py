@@ -36,13 +36,15 @@ def use_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's checkpoint folder.
+    """A fresh folder under the cluster's checkpoint folder, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder stands in for it.
+    Where that is unset, a temporary folder stands in for it on a local master; on a cluster the
+    machines would not see each other's files, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         app_id = spark.sparkContext.applicationId
         if app_id not in _fallback_dirs:
             _fallback_dirs[app_id] = tempfile.mkdtemp(prefix="sigspark-")

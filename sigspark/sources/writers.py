@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.query import SignalFilter, page, sanitized, select_signals
+from sigspark.operators.query import SignalFilter, ordered_slice, sanitized, select_signals
 
 
 def folder_size(spark, path: str) -> int:
@@ -52,8 +52,8 @@ def write_signals(df: DataFrame, path: str, fmt: str = "jsonl") -> int:
 
 def export_signals(signals: DataFrame, path: str, fmt: str = "jsonl", where: SignalFilter | None = None,
                    limit: int | None = None, offset: int = 0) -> int:
-    """Filtered export. Without a limit every matching row is written, unordered and in parallel."""
-    rows = select_signals(signals, where) if limit is None and offset == 0 else page(signals, where, limit or 1000, offset)
+    """Filtered export. Without limit and offset every matching row is written, unordered and in parallel; else exactly the rows asked for."""
+    rows = select_signals(signals, where) if limit is None and offset == 0 else ordered_slice(signals, where, limit, offset)
     return write_signals(sanitized(rows), path, fmt)
 
 

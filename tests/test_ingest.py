@@ -28,7 +28,7 @@ def test_tweets(spark, tmp_path):
     assert merged["dup_count"] == 3 and str(merged["ts"]) == "2022-01-02 09:00:00"
     assert rows["Record quarter for phones"]["dup_count"] == 1
     counts = audit.first().asDict()
-    assert counts == {"raw_count": 6, "dropped_non_universe": 1, "dropped_short": 1, "kept_count": 4}
+    assert counts == {"raw_count": 6, "dropped_non_universe": 1, "dropped_short": 1, "kept_count": 4, "kept_undated": 0}
 
 
 def test_articles(spark, tmp_path):

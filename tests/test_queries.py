@@ -15,7 +15,7 @@ CHECKED = [
     "signal_emission", "entity_links", "event_classes", "url_merge", "two_stage_dedupe", "cross_label_merge", "publisher_suffix",
     "ticker_day_sentiment", "event_window_car", "spearman_impact", "partial_spearman", "impact_quintiles", "market_day",
     "volume_signal", "broadcast_impact", "capped_path", "driving_signal_ranks", "performance_metrics", "day_story",
-    "month_quotas", "crosstab_cube", "metrics_by_source", "model_scores", "stream_trading_day", "stream_rebalance",
+    "month_quotas", "crosstab_cube", "metrics_by_source", "model_scores", "stream_trading_day", "stream_rebalance", "export_limit", "cached_scores", "lexicon_sentiment", "wide_to_long_prices",
 ]
 
 
@@ -61,6 +61,6 @@ def test_entry(spark):
 
 def test_placebo_and_variants(spark):
     placebo = entry.queries()["placebo_rho"](spark, FOLDER).first()
-    assert placebo["n_perm"] == 200 and 0 < placebo["p_value"] <= 1
+    assert placebo["n_perm"] == 1000 and 0 < placebo["p_value"] <= 1
     variants = {r["scenario"]: r for r in entry.queries()["scenario_variants"](spark, FOLDER).collect()}
     assert set(variants) == {"baseline", "exclusion", "symmetric", "negative_only", "high_confidence"}

@@ -79,7 +79,7 @@ def test_volume_signal(spark):
 
 
 def test_impact_weights_are_checked():
-    with pytest.raises(ValueError, match="sum to 1.0"):
+    with pytest.raises(ValueError, match="make up 1"):
         ImpactParams(weights={"severity": 0.5, "sentiment": 0.5, "source": 0.2, "volume": 0.1})
 
 
@@ -140,7 +140,9 @@ def test_filters_and_sinks(spark, emitted, tmp_path):
     with pytest.raises(ValueError):
         query.SignalFilter(since="yesterday")
     signals = spark.createDataFrame([s for group in emitted.values() for s in group], SIGNALS)
-    assert query.page(signals, limit=5000).count() == 7 and query.page(signals, limit=0).count() == 1
+    for size in (0, 5000):
+        with pytest.raises(ValueError):
+            query.page(signals, limit=size)
     for fmt in ("jsonl", "csv", "parquet"):
         assert writers.export_signals(signals, str(tmp_path / fmt), fmt, query.SignalFilter(ticker="aapl")) == 3
     with pytest.raises(ValueError):
@@ -159,3 +161,33 @@ def test_filters_do_not_copy_pattern_work(spark):
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("regexp_instr") <= 100 and len(text) < 400_000
     assert plan.count() == 1
+
+
+def test_export_is_not_cut_to_a_page(spark, tmp_path):
+    from sigspark.sources.writers import export_signals
+
+    rows = spark.range(3000).selectExpr("id AS text_id", "'TK' AS ticker", "timestampadd(SECOND, id, TIMESTAMP '2024-01-01') AS ts", "1.0 AS impact_score")
+    assert export_signals(rows, str(tmp_path / "all")) == 3000
+    assert export_signals(rows, str(tmp_path / "many"), limit=2500) == 2500
+    assert export_signals(rows, str(tmp_path / "rest"), offset=10) == 2990
+    with pytest.raises(ValueError):
+        export_signals(rows, str(tmp_path / "bad"), limit=-1)
+
+
+def test_lexicon_keeps_decimals_and_takes_a_table(spark):
+    df = spark.createDataFrame([(1, "ok fine"), (2, None), (3, "Fine, FINE!")], "id int, text string")
+    words = {"ok": 0.04, "fine": 0.25}
+    table = spark.createDataFrame(list(words.items()), "word string, valence double")
+    for lexicon in (words, table):
+        got = {r["id"]: r["compound"] for r in sentiment.lexicon_scores(df, lexicon, "id").collect()}
+        assert got == pytest.approx({1: 0.29 / (0.29**2 + 15) ** 0.5, 2: 0.0, 3: 0.5 / (0.5**2 + 15) ** 0.5})
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from sigspark.session import shared_dir
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default), sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(ValueError):
+        shared_dir(cluster, "x")
