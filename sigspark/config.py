@@ -20,6 +20,7 @@ class Company:
     executives: tuple[str, ...] = ()
     context_words: tuple[str, ...] = ()
     is_ambiguous: bool = False
+    ticker_ambiguous: bool = False
 
 
 @dataclass(frozen=True)
@@ -43,20 +44,7 @@ class Dictionary:
 
     @staticmethod
     def default() -> Dictionary:
-        return Dictionary(
-            tuple(
-                Company(
-                    ticker,
-                    legal_name,
-                    tuple(fv.ALIASES.get(ticker, ())),
-                    tuple(fv.PRODUCTS.get(ticker, ())),
-                    tuple(fv.EXECUTIVES.get(ticker, ())),
-                    tuple(fv.CONTEXT_WORDS.get(ticker, ())),
-                    ticker in fv.CONTEXT_WORDS,
-                )
-                for ticker, legal_name in fv.LEGAL_NAMES.items()
-            )
-        )
+        return Dictionary.from_mapping(fv.COMPANIES)
 
     @staticmethod
     def from_mapping(companies: dict) -> Dictionary:
@@ -67,6 +55,7 @@ class Dictionary:
                     ticker=ticker,
                     legal_name=entry.get("legal_name", ""),
                     is_ambiguous=bool(entry.get("is_ambiguous", False)),
+                    ticker_ambiguous=bool(entry.get("ticker_ambiguous", False)),
                     **{name: tuple(entry.get(name) or ()) for name in names},
                 )
                 for ticker, entry in companies.items()
