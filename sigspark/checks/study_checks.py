@@ -169,6 +169,26 @@ def spearman_impact_car(spark, folder):
     return stats.spearman(stored_observations(spark, folder), "max_impact_score", "abs_car_0_2")
 
 
+P_VALUES = """SELECT * FROM (
+WITH r AS (SELECT sent_bucket, rho, n, n - 2 AS nu, 1 - rho * rho AS c FROM (
+  SELECT sent_bucket, corr(rx, ry) AS rho, count(*) AS n FROM (
+    SELECT sent_bucket, rank() OVER (PARTITION BY sent_bucket ORDER BY max_impact_score) + (count(*) OVER (PARTITION BY sent_bucket, max_impact_score) - 1) / 2.0::DOUBLE AS rx,
+      rank() OVER (PARTITION BY sent_bucket ORDER BY abs_ar0) + (count(*) OVER (PARTITION BY sent_bucket, abs_ar0) - 1) / 2.0::DOUBLE AS ry
+    FROM obs WHERE abs_ar0 IS NOT NULL AND max_impact_score IS NOT NULL) GROUP BY sent_bucket)),
+s AS (SELECT sent_bucket, sum(term) AS more FROM (
+  SELECT sent_bucket, exp(sum(ln(c * CASE WHEN nu % 2 = 1 THEN 2.0::DOUBLE * k / (2 * k + 1) ELSE (2.0::DOUBLE * k - 1) / (2 * k) END)) OVER (PARTITION BY sent_bucket ORDER BY k)) AS term
+  FROM r JOIN (SELECT range AS k FROM range(1, 200000)) ON k <= (nu - 2) // 2) GROUP BY sent_bucket)
+SELECT r.sent_bucket, rho, n, CASE WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (asin(abs(rho)) + CASE WHEN nu > 1 THEN abs(rho) * sqrt(c) * (1 + coalesce(more, 0)) ELSE 0 END)
+  ELSE 1 - abs(rho) * (1 + coalesce(more, 0)) END AS p_value, CASE WHEN n < 30 THEN 1 ELSE 0 END AS few
+FROM r LEFT JOIN s ON r.sent_bucket = s.sent_bucket WHERE nu > 0)"""
+
+
+@query("spearman_p_values", wrap(sql_with("obs", P_VALUES), "rho p_value", "n few"))
+def spearman_p_values(spark, folder):
+    """Correlation of impact and abnormal return per sentiment, with two-sided p-values."""
+    return stats.with_p_value(stats.spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", ["sent_bucket"])).where("n > 2")
+
+
 @query("spearman_by_bucket", wrap(sql_with("obs", """
 SELECT sent_bucket, corr(rx, ry) AS rho, count(*) AS n FROM (
   SELECT sent_bucket, rank() OVER (PARTITION BY sent_bucket ORDER BY signal_count)

@@ -32,13 +32,3 @@ def lookup(key: Column, table: dict[str, float], default: float) -> Column:
     for name, value in table.items():
         result = F.when(key == name, F.lit(float(value))) if result is None else result.when(key == name, F.lit(float(value)))
     return F.lit(float(default)) if result is None else result.otherwise(F.lit(float(default)))
-
-
-def weighted_mean(value: Column, weight: Column) -> Column:
-    """Aggregate: weighted mean, or the plain mean where the weights sum to nothing."""
-    total = F.sum(weight)
-    return F.when(total > 0, F.sum(value * weight) / total).otherwise(F.avg(value))
-
-
-def safe_ratio(numerator: Column, denominator: Column) -> Column:
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))

@@ -70,34 +70,31 @@ def partial_spearman(df: DataFrame, x: str, y: str, z: str, groups: list[str] |
     return parts.withColumn("partial_rho", rho)
 
 
-def student_p_value(rho: float | None, n: int) -> float | None:
-    """Two-sided p of a correlation under n-2 degrees of freedom (a scalar on the result row)."""
-    if rho is None or n < 3:
-        return None
-    if abs(rho) >= 1.0:
-        return 0.0
-    dof = n - 2
-    t2 = rho * rho * dof / (1.0 - rho * rho)
-    return _beta_regularized(dof / 2.0, 0.5, dof / (dof + t2))
-
-
-def _beta_regularized(a: float, b: float, x: float) -> float:
-    """Regularized incomplete beta function by its continued fraction."""
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_regularized(b, a, 1.0 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    # evaluate the fraction from its tail: 1 + d1/(1 + d2/(1 + ...))
-    value = 1.0
-    for step in range(400, 0, -1):
-        half = step // 2
-        if step % 2:
-            term = -(a + half) * (a + b + half) * x / ((a + 2 * half) * (a + 2 * half + 1))
-        else:
-            term = half * (b - half) * x / ((a + 2 * half - 1) * (a + 2 * half))
-        value = 1.0 + term / value
-    return front / value
+def student_p_value(rho: Column, n: Column) -> Column:
+    """Two-sided p of a correlation under n - 2 degrees of freedom; null under three pairs, 0 for a perfect correlation.
+
+    For whole degrees of freedom the distribution is a finite series in 1 - rho^2, summed here by a fold over its terms.
+    """
+    freedom, square = n - 2, 1 - rho * rho
+    odd = freedom % 2 == 1
+    last = F.floor((freedom - 2) / 2).cast("int")
+
+    def add(acc: Column, k: Column) -> Column:
+        factor = F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))
+        term = acc["term"] * square * factor
+        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
+
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), start, add, lambda acc: acc["total"])
+    series = F.when(last >= 1, folded).otherwise(1.0)
+    inside = F.when(odd, 2.0 / math.pi * (F.asin(F.abs(rho)) + F.when(freedom > 1, F.abs(rho) * F.sqrt(square) * series).otherwise(0.0)))
+    share = inside.otherwise(F.abs(rho) * series)
+    return F.when((n >= 3) & rho.isNotNull(), F.when(F.abs(rho) >= 1.0, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - share)))
+
+
+def with_p_value(correlations: DataFrame, rho: str = "rho", n: str = "n") -> DataFrame:
+    """A table of correlations with their p-values and a mark for fewer than 30 pairs."""
+    return correlations.withColumns({"p_value": student_p_value(F.col(rho), F.col(n)), "few": (F.col(n) < 30).cast("int")})
 
 
 # --------------------------------------------------------------------------- binning

@@ -41,8 +41,3 @@ def nav_table(weights: DataFrame, returns: DataFrame, params: PortfolioParams |
 
 def scenario_performance(weights: DataFrame, returns: DataFrame, ret: str = "strat_5bps") -> DataFrame:
     return pf.performance(pf.strategy_returns(pf.forward_weights(weights, returns)), ret, ["scenario"])
-
-
-def split_period_performance(weights: DataFrame, returns: DataFrame, ret: str = "strat_5bps") -> DataFrame:
-    daily = pf.strategy_returns(pf.forward_weights(weights, returns))
-    return pf.performance(pf.split_halves(daily, ["scenario"]), ret, ["scenario", "half"])

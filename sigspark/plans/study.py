@@ -21,7 +21,7 @@ def evaluate(days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000,
     if n >= stats.MIN_OBSERVATIONS:
         for target in ("abs_ar0", "abs_car_0_2"):
             rho = stats.spearman(days, "max_impact_score", target)
-            parts.append(long_metrics(rho, f"{era}.spearman.{target}"))
+            parts.append(long_metrics(stats.with_p_value(rho), f"{era}.spearman.{target}"))
             interval = stats.bootstrap_spearman(days, "max_impact_score", target, n_boot=n_boot, seed=seed)
             parts.append(long_metrics(interval, f"{era}.spearman_ci.{target}"))
         parts.append(long_metrics(stats.quintile_means(days), f"{era}.quintiles", ["bin"]))
@@ -37,9 +37,9 @@ def evaluate(days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000,
         events = group_means(days, "dominant_event_type", ["abs_ar0", "ar0", "car_0_2"])
         parts.append(long_metrics(events, f"{era}.events", ["dominant_event_type"]))
         control = ("max_impact_score", "abs_ar0", "trailing_vol_20")
-        parts.append(long_metrics(stats.partial_spearman(days, *control), f"{era}.volatility_control"))
+        parts.append(long_metrics(stats.with_p_value(stats.partial_spearman(days, *control), "partial_rho"), f"{era}.volatility_control"))
         others = days.filter(F.col("ticker") != dominant)
-        parts.append(long_metrics(stats.spearman(others, "max_impact_score", "abs_ar0"), f"{era}.without_dominant"))
+        parts.append(long_metrics(stats.with_p_value(stats.spearman(others, "max_impact_score", "abs_ar0")), f"{era}.without_dominant"))
         parts.append(long_metrics(stats.partial_spearman(others, *control), f"{era}.without_dominant_partial"))
         placebo = stats.permutation_test(days, "max_impact_score", "abs_ar0", n_perm=n_perm, seed=seed)
         parts.append(long_metrics(placebo, f"{era}.placebo"))

@@ -6,8 +6,6 @@ adds sources, watermarks and sinks.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,16 +26,6 @@ def stream_parquet(spark: SparkSession, path: str, schema, max_files: int | None
     return reader.parquet(path)
 
 
-def replay_stream(spark: SparkSession, path: str, schema, start=None, ticker: str | None = None, max_files: int = 1) -> DataFrame:
-    """Signals as a stream, optionally from a start time and for one ticker."""
-    stream = stream_parquet(spark, path, schema, max_files)
-    if start is not None:
-        stream = stream.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
-    if ticker:
-        stream = stream.filter(F.col("ticker") == ticker.strip().upper())
-    return stream
-
-
 def enrich(texts: DataFrame, dictionary: Dictionary | None = None, rules: EventRules | None = None) -> DataFrame:
     """Linking and classification: the batch operators, no state."""
     return classify_events(link_entities(texts, dictionary), rules)
@@ -75,12 +63,3 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
-
-
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
-    """Process everything available now, one micro-batch at a time."""
-    query = (
-        stream.writeStream.foreachBatch(handle).option("checkpointLocation", shared_dir(stream.sparkSession, f"{name}-state"))
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()

@@ -62,10 +62,12 @@ def test_top_k_is_exact(numbers):
     assert {r["id"] for r in got.collect()} == set(expected["id"])
 
 
-def test_p_value_and_partial(numbers):
-    assert stats.student_p_value(0.1592, 2072) == pytest.approx(3.08e-13, rel=0.05)
-    assert stats.student_p_value(-0.3304, 61) == pytest.approx(0.0093, abs=2e-4)
-    assert stats.student_p_value(None, 10) is None and stats.student_p_value(1.0, 10) == 0.0
+def test_p_value_and_partial(spark, numbers):
+    rows = [(0.1592, 2072), (-0.3304, 61), (None, 10), (1.0, 10), (0.5, 2), (0.5, 3), (0.5, 4), (0.5, 5)]
+    p = [r["p_value"] for r in stats.with_p_value(spark.createDataFrame(rows, "rho double, n long")).collect()]
+    assert p[0] == pytest.approx(3.08e-13, rel=0.05) and p[1] == pytest.approx(0.0093, abs=2e-4)
+    assert p[2] is None and p[3] == 0.0 and p[4] is None
+    assert p[5:] == pytest.approx([2 / 3, 0.5, 0.3910022], abs=1e-6)
     frame, df = numbers
     driven = df.withColumns({"a": F.col("x") + F.rand(1), "b": F.col("x") + F.rand(2)})
     row = stats.partial_spearman(driven, "a", "b", "x").first()
