@@ -40,7 +40,7 @@ from sigspark.session import persist_table
 LENGTH, GRAM, TOKEN = 400, 64, 100
 PLACE_BITS = 31
 PIECE = 4 << 20
-CROWD = 100_000
+CROWD = 10_000
 #: Windows that are sorted at once.
 AT_ONCE = 400_000
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
