@@ -12,7 +12,7 @@ import xxhash
 from odd_tables import CLASHING, FIELDS, prose
 
 import corpus_pipeline
-from sigspark.llm import components, decontam, queries, simhash, suffixes, toxicity
+from sigspark.llm import components, decontam, near_copies, queries, simhash, suffixes, toxicity
 
 
 def ids_and_texts(df):
@@ -105,6 +105,55 @@ def test_covering():
     assert all(at[i] & at[i + 10_000] for i in range(2000))
 
 
+# --- near copies ---
+
+
+def plain_groups(texts, width=5, similarity=0.8):
+    """Of each text the least text that links lead to, and the links."""
+    sets = {}
+    for t in texts:
+        words = t.encode().lower().split()
+        sets[t] = frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
+    alike = lambda x, y: x == y or len(x & y) / len(x | y) >= similarity
+    links = [(a, b) for a, b in combinations(sets, 2) if alike(sets[a], sets[b])]
+    return roots(sets, links), links
+
+
+def edited(seed, n, every, at):
+    words = prose(seed, n).split()
+    words[at::every] = [f"new{at}" for _ in words[at::every]]
+    return " ".join(words)
+
+
+def near_rows(odd):
+    rows = ids_and_texts(odd) + [(1000 + 10 * s + at, edited(s, 300, 70 + 5 * s, at)) for s in range(12) for at in (0, 20, 40)]
+    return rows + [(2000 + k, " ".join(["same words of a long template"] * 3) + " " + prose(70, 120) + f" end{k} of{k} it") for k in range(40)]
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_copy_groups(spark, odd, nothing, stars):
+    rows = near_rows(odd)
+    root, links = plain_groups([t for _, t in rows])
+    fps = [(simhash.majority(simhash.shingle_hashes(a)) ^ simhash.majority(simhash.shingle_hashes(b))).bit_count() for a, b in links]
+    assert max(fps) > 3  # links that op6's rule does not make
+    got = near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), stars=stars).collect()
+    key = lambda i, t: hashlib.md5(f"{'null' if i is None else i}\n{t}".encode()).digest()
+    want = {key(i, t): root[t] for i, t in rows}
+    named = {(bytes(r["root"]), want[bytes(r["key"])]) for r in got}
+    assert len(got) == len(rows) and len(named) == len({a for a, _ in named}) == len({b for _, b in named})
+    assert near_copies.near_copy_groups(nothing).count() == 0
+
+
+def test_near_duplicates_stage(spark, odd):
+    rows = near_rows(odd)
+    root, _ = plain_groups([t for _, t in rows])
+    least = {}
+    for i, t in rows:
+        least[root[t]] = min(least.get(root[t], (True, 0)), (i is None, i or 0))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert told((root[t], (i is None, i or 0)) for i, t in ids_and_texts(kept)) == told(least.items())
+
+
 # --- suffixes ---
 
 
