@@ -18,6 +18,10 @@ A run of windows with one anchor is a stretch; the bytes it spans are its surrou
    same; ``CROWD`` bounds what a task holds.
 5. Spans go back to their texts, are merged, and the texts are cut.
 
+With ``words`` the bytes of each run of that many words that also occurs elsewhere go too, however few bytes it has. The
+same search then also runs over texts in which each word (what white space of ASCII parts) is a code of CODE bytes, the
+end of its hash; white space between words does not count, and that before and after the run stays.
+
 Defined results: a null text is an empty one; texts shorter than LENGTH bytes stay whole; rows repeated with equal id
 and text are two texts and both lose what repeats; matches never cross texts; overlapping matches count; what repeats is
 judged on the input. Very long texts are read in overlapping pieces. An empty table gives no rows. If a cut falls into
@@ -43,6 +47,8 @@ PIECE = 4 << 20
 CROWD = 10_000
 #: Windows that are sorted at once.
 AT_ONCE = 400_000
+#: Bytes that stand for a word, and words that make a gram, where runs of words are searched.
+CODE, GRAM_WORDS = 6, 10
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _powers: dict[int, np.ndarray] = {}
@@ -102,6 +108,51 @@ def stretches(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
 STRETCH = pa.schema([("h", pa.int64()), ("anchor", pa.int32()), ("first", pa.int32()), ("last", pa.int32()), ("digest", pa.int64())])
 
 
+def raw(text: str | bytes) -> bytes:
+    return text if isinstance(text, bytes) else text.encode("utf-8")
+
+
+def word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word starts and ends."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def word_codes(data: np.ndarray, piece: int = PIECE) -> bytes:
+    """CODE bytes for each word; a very long text is hashed in pieces."""
+    start, end = word_places(data)
+    out, at = [], 0
+    while at < len(start):
+        to = int(np.searchsorted(start, start[at] + piece))
+        hashes = Hashes(data[start[at] : end[to - 1]], BASES[0]).of(start[at:to] - start[at], end[at:to] - start[at])
+        out.append(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes())
+        at = to
+    return b"".join(out)
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """(key, text) with the codes of the words as text."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                codes = [word_codes(np.frombuffer(t.encode("utf-8"), np.uint8)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(codes, pa.binary())], names=["key", "text"])
+
+    return docs.select("key", "text").mapInArrow(code, "key binary, text binary")
+
+
+def spans_of_words(data: bytes, found: list[dict], words: int) -> list[dict]:
+    """Spans of codes as spans of the text's bytes: whole words only, at least ``words`` of them."""
+    if not found:
+        return []
+    start, end = word_places(np.frombuffer(data, np.uint8))
+    inner = [(-(-s["start"] // CODE), s["end"] // CODE) for s in found]
+    return [{"start": int(start[a]), "end": int(end[b - 1])} for a, b in inner if b - a >= words]
+
+
 def all_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece: int = PIECE) -> DataFrame:
     """(key, h, anchor, first, last, digest) of every text."""
 
@@ -109,7 +160,7 @@ def all_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, piece
         for batch in batches:
             rows, found, held = [], [], 0
             for row in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[row].as_py().encode("utf-8"), np.uint8)
+                data = np.frombuffer(raw(batch.column("text")[row].as_py()), np.uint8)
                 for at in range(0, max(1, len(data) - length + 1), piece):
                     part = stretches(data[at : at + piece + length - 1], length, gram)
                     if part is not None:
@@ -135,7 +186,7 @@ def surroundings(docs: DataFrame, kinds: DataFrame, length: int = LENGTH, gram:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                data = batch.column("text")[row].as_py().encode("utf-8")
+                data = raw(batch.column("text")[row].as_py())
                 chosen = batch.column("chosen")[row].as_py()
                 lists = [[c[name] for c in chosen] for name in ("first", "anchor", "n", "crowded")]
                 lead = [data[c["anchor"] : c["anchor"] + gram] for c in chosen]
@@ -308,11 +359,19 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, piece: int = PIECE) -> DataFrame:
-    """row (the whole row of df as one column), kept_text, kept_sha256, n_bytes, n_removed, spans (start, end in bytes) for each row."""
+def suffix_dedup(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, piece: int = PIECE, words: int | None = None
+) -> DataFrame:
+    """row (the whole row of df as one column), kept_text, kept_sha256, n_bytes, n_removed, spans (start, end in bytes) for each row.
+
+    ``words``: runs of that many words that repeat are removed as well, whatever their length in bytes.
+    """
     docs = documents(df, doc_id, text).select(row_key().alias("key"), "text")
-    spans = repeated_spans(docs, length, gram, crowd, piece)
-    gathered = persist_table(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("found")), "spans")
+    spans = repeated_spans(docs, length, gram, crowd, piece).withColumn("coded", F.lit(False))
+    if words:
+        runs = repeated_spans(coded(docs), words * CODE, min(words, GRAM_WORDS) * CODE, crowd, piece)
+        spans = spans.unionByName(runs.withColumn("coded", F.lit(True)))
+    gathered = persist_table(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end", "coded")).alias("found")), "spans")
     joined = keyed_rows(df, doc_id, text).join(gathered, "key", "left").select("row", "found")
     added = "kept_text string, kept_sha256 string, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>"
 
@@ -326,7 +385,9 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
                 texts = rows.flatten()[rows.type.get_field_index(text)].to_pylist()
                 out: list[list] = [[] for _ in kinds]
                 for whole, found in zip(texts, part.column("found").to_pylist(), strict=True):
-                    data, runs = (whole or "").encode("utf-8"), merged(found or [])
+                    data, found = (whole or "").encode("utf-8"), found or []
+                    in_words = spans_of_words(data, [s for s in found if s["coded"]], words or 0)
+                    runs = merged([s for s in found if not s["coded"]] + in_words)
                     edges = [0, *(x for s in runs for x in s), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     values = (kept.decode("utf-8", "ignore"), sha256(kept).hexdigest(), len(data), len(data) - len(kept), [{"start": a, "end": b} for a, b in runs])
@@ -337,9 +398,11 @@ def suffix_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     return joined.mapInArrow(cut, f"row {joined.schema['row'].dataType.simpleString()}, {added}")
 
 
-def without_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None) -> DataFrame:
+def without_repeats(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = None, length: int = LENGTH, words: int | None = None
+) -> DataFrame:
     """The rows of df with what is kept of their texts; a null text stays null. ``n_chars``: a column to hold the new length."""
-    cut = suffix_dedup(df, doc_id, text)
+    cut = suffix_dedup(df, doc_id, text, length, words=words)
     new = {text: F.when(F.col("row")[text].isNotNull(), F.col("kept_text"))}
     if n_chars:
         new[n_chars] = F.length(new[text]).cast(df.schema[n_chars].dataType)

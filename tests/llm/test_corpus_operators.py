@@ -203,6 +203,42 @@ def test_without_repeats(odd, nothing):
     assert suffixes.suffix_dedup(nothing).count() == 0
 
 
+def plain_word_cut(texts, n, length=400):
+    """Kept bytes without repeated runs of n words and repeated strings of ``length`` bytes."""
+    datas = [t.encode() for t in texts]
+    words = [list(re.finditer(rb"[^\x20\x09-\x0D]+", d)) for d in datas]
+    times = Counter(tuple(m.group() for m in w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    strings = Counter(d[i : i + length] for d in datas for i in range(len(d) - length + 1))
+    for d, w in zip(datas, words):
+        gone = bytearray(len(d))
+        for i in range(len(w) - n + 1):
+            if times[tuple(m.group() for m in w[i : i + n])] > 1:
+                a, b = w[i].start(), w[i + n - 1].end()
+                gone[a:b] = b"\1" * (b - a)
+        for i in range(len(d) - length + 1):
+            if strings[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        yield bytes(x for x, g in zip(d, gone) if not g)
+
+
+@pytest.mark.parametrize("words", [3, 51])
+def test_runs_of_words(odd, words):
+    rows = ids_and_texts(odd)
+    want = [(i, hashlib.sha256(kept).hexdigest()) for (i, _), kept in zip(rows, plain_word_cut([t for _, t in rows], words))]
+    got = suffixes.suffix_dedup(odd, words=words)
+    assert told((r["row"]["doc_id"], r["kept_sha256"]) for r in got.collect()) == told(want)
+
+
+def test_passage_stage(spark):
+    short = lambda seed, n: " ".join(w[:4] for w in prose(seed, n).split())
+    passage, less = short(20, 51), short(21, 50)
+    assert len(passage.encode()) < 320
+    rows = [(1, f"{prose(22, 30)} {passage}. {prose(23, 9)}"), (2, f"{prose(24, 70)}\n{passage} é {less}"), (3, f"{less} {prose(25, 40)}")]
+    rows = [(i, t.replace(passage + ".", passage + " ."), len(t)) for i, t in rows]
+    got = corpus_pipeline.repeated_passages(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    assert dict(ids_and_texts(got)) == {i: t.replace(passage, "") for i, t, _ in rows}
+
+
 # --- decontamination ---
 
 
