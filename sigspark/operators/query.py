@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark import fixed_values as fv
+from sigspark.operators.ranking import ONE_TASK_ROWS
+from sigspark.session import persist_table
 
 MAX_PAGE = 1000
+ORDER = ("ts", "text_id", "ticker")
 
 
 @dataclass(frozen=True)
@@ -71,8 +74,29 @@ def ordered_slice(signals: DataFrame, where: SignalFilter | None, limit: int | N
     """Any number of rows in time order from any row on."""
     if offset < 0 or (limit is not None and limit < 0):
         raise ValueError("limit and offset must not be negative")
-    rows = select_signals(signals, where).orderBy("ts", "text_id", "ticker").offset(offset)
-    return rows if limit is None else rows.limit(limit)
+    rows = select_signals(signals, where).orderBy(*ORDER)
+    if limit is None and offset == 0:
+        return rows
+    if limit is not None and offset + limit <= ONE_TASK_ROWS:
+        return rows.offset(offset).limit(limit)
+    position = F.col("_position")
+    wanted = position >= offset if limit is None else (position >= offset) & (position < offset + limit)
+    return numbered(rows).where(wanted).orderBy("_position").drop("_position")
+
+
+def numbered(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with their place in it (``_position``, from 0): a place in a sorted piece and the rows before the piece.
+
+    A plain offset would send all rows through one task. The pieces are written, so that a row keeps its place.
+    """
+    placed = persist_table(ordered.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    piece = F.shiftright("_at", 33)
+    sizes = placed.groupBy(piece.alias("_piece")).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a piece: a running sum over as many rows as there are pieces
+    before = sizes.selectExpr("_piece", "sum(_n) over (order by _piece rows unbounded preceding) - _n as _before")
+    located = placed.withColumn("_piece", piece).join(F.broadcast(before), "_piece")
+    within = F.col("_at") - F.shiftleft("_piece", 33)
+    return located.withColumn("_position", F.col("_before") + within).drop("_piece", "_before", "_at")
 
 
 def _check_size(size: int) -> None:

@@ -163,6 +163,19 @@ def test_filters_do_not_copy_pattern_work(spark):
     assert plan.count() == 1
 
 
+def test_long_exports_stay_partitioned(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id AS text_id", "'TK' AS ticker", "timestampadd(SECOND, id % 50, TIMESTAMP '2024-01-01') AS ts", "id % 7 AS n")
+    rows = rows.unionByName(rows.where("text_id < 40"))  # equal rows
+    want = [tuple(r) for r in rows.orderBy("ts", "text_id", "ticker").collect()]
+    monkeypatch.setattr(query, "ONE_TASK_ROWS", 100)
+    for limit, offset in ((None, 10), (None, 0), (2000, 500), (None, 5000), (60, 10)):
+        got = query.ordered_slice(rows, None, limit, offset)
+        assert got.columns == rows.columns
+        assert [tuple(r) for r in got.collect()] == want[offset:][:limit]
+        if limit != 60:
+            assert "Limit" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_export_is_not_cut_to_a_page(spark, tmp_path):
     from sigspark.sources.writers import export_signals
 
