@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from sigspark.llm import chat, decontam, line_dedup, merkle, pieces, sharding, simhash, suffixes, token_cache, toxicity
 from sigspark.llm.common import shared_dir, table
@@ -175,6 +176,10 @@ SHARD_SQL = None  # the order is random; tests hold it to its law
 
 @query("op10_sharding", SHARD_SQL)
 def shard_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents in one random order, dealt out to the shards by turns."""
-    placed = sharding.shard_table(table(spark, folder, "documents"), SHARDS)
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents written in one random order, dealt out to the shards by turns, and read back from the shards."""
+    documents = table(spark, folder, "documents")
+    sized = sharding.sized_columns()
+    path = shared_dir(spark, "shards")
+    sharding.write_shards(documents.withColumns(sized), path, SHARDS, ["doc_id", *sized], "size")
+    written = spark.read.schema(StructType([*documents.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])).parquet(path).withColumns(sized)
+    return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 20_240_229
@@ -60,14 +60,15 @@ def external_shuffle(
     return placed.select("item.row.*", (position % shards).cast("int").alias("shard"), F.expr(f"(start + at) div {int(shards)}").alias("slot"))
 
 
-def sized_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text, null: none, plus 8) and the text's CRC-32."""
+def sized_columns(text: str = "text") -> dict[str, Column]:
+    """size (UTF-8 bytes of the text, null: none, plus 8) and the text's CRC-32 (text_crc32)."""
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return documents.select(
-        F.col(f"`{doc_id}`").alias("doc_id"),
-        (F.octet_length(body) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).cast("long").alias("text_crc32"),
-    )
+    return {"size": (F.octet_length(body) + 8).cast("long"), "text_crc32": F.crc32(F.encode(body, "UTF-8")).cast("long")}
+
+
+def sized_records(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, size and text_crc32 of each document."""
+    return documents.select(F.col(f"`{doc_id}`").alias("doc_id"), *(c.alias(name) for name, c in sized_columns(text).items()))
 
 
 def shard_table(documents: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigspark.llm import chat, line_dedup, merkle, pieces, sharding, token_cache
+from sigspark.llm import chat, line_dedup, merkle, pieces, queries, sharding, token_cache
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -209,3 +209,15 @@ def test_scan_of_text_without_cuts():
 
 def test_no_word_is_lost():
     assert Counter("".join(pieces.WORDS.findall(t := "▁▁a▁b▁▁c▁"))) == Counter(t)
+
+
+def test_sharding_query_writes_whole_records(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    got = queries.QUERIES["op10_sharding"](spark, folder)
+    files = got.inputFiles()
+    assert files and all("/shard=" in f for f in files)
+    written = spark.read.schema(docs.schema).parquet(*files)
+    assert told(map(tuple, written.collect())) == told(map(tuple, docs.collect()))
+    want = sharding.shard_table(docs, queries.SHARDS)
+    assert told(map(tuple, got.select(want.columns).collect())) == told(map(tuple, want.collect()))
