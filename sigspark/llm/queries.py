@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from sigspark.llm import chat, decontam, line_dedup, merkle, pieces, sharding, simhash, suffixes, token_cache, toxicity
+from sigspark.llm import chat, decontam, line_dedup, merkle, pieces, prefix_trie, quality_rules, sharding, simhash, suffixes, token_cache, toxicity, whitening
 from sigspark.llm.common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,49 @@ def shard_documents(spark: SparkSession, folder: str) -> DataFrame:
     sharding.write_shards(documents.withColumns(sized), path, SHARDS, ["doc_id", *sized], "size")
     written = spark.read.schema(StructType([*documents.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])).parquet(path).withColumns(sized)
     return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding's whitened components, from exact integer scatter sums. A deviation too large for a long is null."""
+    out = whitening.whitened_table(table(spark, folder, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+TRIE_SQL = f"""
+WITH own AS (SELECT CAST(conv_id AS BIGINT) AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS j FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT DISTINCT c, c - c % {prefix_trie.SHARED_SPAN} AS base, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(
+  string_split(CAST(c AS VARCHAR), ''), lambda x: list_transform(range(8), lambda b: (CAST(ascii(x) AS BIGINT) >> CAST(b AS BIGINT)) & 1)))),
+  lambda a, d: xor(a >> 1, 3988292384 * (xor(a, d) & 1))), 4294967295) % {prefix_trie.SHARED_AT_MOST} AS h FROM own),
+parts AS (SELECT convs.c, 0 AS part, j, role, text FROM convs JOIN own ON own.c = convs.base AND own.j <= convs.h
+  UNION ALL SELECT convs.c, 1, j, role, text FROM convs JOIN own ON own.c = convs.c AND own.j > convs.h),
+built AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, j) AS d, length(text) AS chars,
+  string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY part, j) AS k FROM parts),
+paths AS (SELECT c, d, k, chars FROM built UNION ALL SELECT c, 0, '', 0 FROM convs),
+ends AS (SELECT c, max(d) AS d FROM paths GROUP BY c),
+nodes AS (SELECT p.d, k, min(p.c) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+  sha256(coalesce(string_agg(CAST(p.c AS VARCHAR), ',' ORDER BY p.c) FILTER (ends.d = p.d), '')) AS ends_sha256 FROM paths p JOIN ends USING (c) GROUP BY p.d, k),
+above AS (SELECT d, k, conv_id FROM nodes),
+children AS (SELECT d - 1 AS d, left(k, 32 * (d - 1)) AS k, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+sub AS (SELECT DISTINCT u.d, u.k, v.d AS vd, v.k AS vk FROM paths u JOIN paths v ON u.c = v.c AND v.d >= u.d),
+sums AS (SELECT sub.d, sub.k, sum((n_convs - 1) * chars) AS saved, count(*) FILTER (children.n IS NULL) AS leaves
+  FROM sub JOIN nodes ON nodes.d = vd AND nodes.k = vk LEFT JOIN children ON children.d = vd AND children.k = vk GROUP BY sub.d, sub.k)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, above.conv_id AS parent_conv_id, CAST(n.n_convs AS BIGINT) AS n_convs, CAST(coalesce(children.n, 0) AS BIGINT) AS n_children,
+  CAST(sums.leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums ON sums.d = n.d AND sums.k = n.k LEFT JOIN children ON children.d = n.d AND children.k = n.k
+LEFT JOIN above ON n.d > 0 AND above.d = n.d - 1 AND above.k = left(n.k, 32 * (n.d - 1))"""
+
+
+@query("op12_conversation_prefix_trie", TRIE_SQL)
+def conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of the trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+@query("op13_quality_rules")
+def quality_rules_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of all documents, the base rule, and the verdict of rules learned from the labelled documents that are not held out."""
+    documents = table(spark, folder, "documents")
+    out = quality_rules.judged(documents, quality_rules.fit_rules(documents, table(spark, folder, "labels")))
+    return out.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "rule")
