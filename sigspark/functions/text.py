@@ -25,11 +25,6 @@ def sql_pattern(body: str, ignore_case: bool = True) -> str:
     return 'r"' + pattern(body, ignore_case).replace('"', r"\x22") + '"'
 
 
-def sql_words(vocabulary: list[str]) -> str:
-    """SQL test for any of these words among the vocabulary hits in ``_words``."""
-    return f"arrays_overlap(_words, array({', '.join(repr(word) for word in vocabulary)}))"
-
-
 def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

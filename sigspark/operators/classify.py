@@ -1,7 +1,12 @@
-"""Event classification: weighted pattern rules, exclusions, precedence."""
+"""Event classification: weighted pattern rules, exclusions, precedence.
+
+Rules are data: an inverted index (``functions/pattern_index.py``) finds which of them to try on a text, in one Arrow call
+that hands back the rules that match. The plan grows with the classes, not with the rules.
+"""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +14,7 @@ from sigspark import fixed_values as fv
 from sigspark.config import EventRules
 from sigspark.functions import text as tx
 from sigspark.functions.barrier import attach
+from sigspark.functions.pattern_index import Pattern, PatternIndex
 
 EVENT_COLUMNS = [
     "event_type", "event_confidence", "matched_triggers", "secondary_event", "is_template", "is_calendar",
@@ -79,6 +85,8 @@ RULE_WORDS = {
         ["jobs", "nonfarm", "unemployment", "gdp"],
     ],
 }
+# A string every match of a rule without guard words must contain.
+RULE_PIECES = {("Merger/Acquisition", 4): "merger"}
 # Same for the calendar pattern; weekday names may be glued to a prefix, hence the raw piece
 CALENDAR_WORDS = [
     "earnings", "revenue", "week", "anticipated", "largest", "mon", "tue", "tues", "wed", "thu", "thurs", "thur", "fri",
@@ -92,43 +100,44 @@ SPACED_GIVEAWAY = r"(?U)g\s*i\s*v\s*e\s*a\s*w\s*a\s*y"
 CREDIT, GEO, EARNINGS, MACRO = "Credit Event", "Geopolitical", "Earnings", "Macroeconomic"
 
 
-def rule_hits(df: DataFrame, rules: EventRules | None = None, text: str = "text") -> tuple[DataFrame, dict[str, list[tuple[str, float]]]]:
-    """One column per rule holding the matched text or null, in a single projection."""
-    rules = rules or EventRules()
-    columns, layout, vocabulary = {}, {}, {*CALENDAR_WORDS, *TEMPLATE_WORDS}
-    for number, (event, triggers) in enumerate(rules.triggers.items()):
-        layout[event] = []
-        for index, (body, weight) in enumerate(triggers):
-            name = f"_r{number}_{index}"
-            needed = rule_words(event, index, body)
-            found = f"nullif(regexp_extract({text}, {tx.sql_pattern(body)}, 0), '')"
-            if needed:
-                vocabulary.update(needed)
-                found = f"CASE WHEN {tx.sql_words(needed)} THEN {found} END"
-            columns[name] = F.expr(found)
-            layout[event].append((name, float(weight)))
-    folded = df.withColumn("_folded", tx.fold(F.col(text)))
-    scanned = folded.withColumn("_words", tx.vocabulary_hits(F.col("_folded"), sorted(vocabulary)))
-    return scanned.withColumns(columns), layout
-
-
-def rule_words(event: str, index: int, body: str) -> list[str] | None:
-    """Guard words, valid only for the built-in pattern they were written for."""
+HITS = pa.list_(pa.struct([("event_type", pa.string()), ("rule", pa.int32()), ("term", pa.string()), ("weight", pa.float64())]))
+HITS_SQL = "array<struct<event_type: string, rule: int, term: string, weight: double>>"
+
+
+def rule_hits(text: Column, rules: EventRules | None = None) -> Column:
+    """The rules that match a text, in the order of the table, each with its class, its weight and the matched text."""
+    rows = (rules or EventRules()).rows()
+    index = PatternIndex([Pattern(body, rule_words(event, n, body), piece=rule_piece(event, n, body)) for event, n, body, _ in rows])
+
+    def hits(value: str) -> list[dict]:
+        found = ((rows[n], match.group()) for n, match in index.matches(value))
+        return [{"event_type": event, "rule": number, "term": term, "weight": weight} for (event, number, _, weight), term in found if term]
+
+    def scan(texts: pa.Array) -> pa.Array:
+        return pa.array([hits(t) if t else [] for t in texts.to_pylist()], HITS)
+
+    scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scan, HITS_SQL)(text)
+
+
+def built_in(event: str, index: int, body: str) -> bool:
+    """Guards hold only for the built-in pattern they were written for."""
     known = fv.EVENT_TRIGGERS.get(event, [])
-    if index < len(known) and known[index][0] == body:
-        return RULE_WORDS[event][index]
-    return None
+    return index < len(known) and known[index][0] == body
+
+
+def rule_words(event: str, index: int, body: str) -> tuple[str, ...] | None:
+    words = RULE_WORDS[event][index] if built_in(event, index, body) else None
+    return tuple(words) if words else None
+
+
+def rule_piece(event: str, index: int, body: str) -> str:
+    return RULE_PIECES.get((event, index), "") if built_in(event, index, body) else ""
 
 
 def matched_rules(df: DataFrame, key: str, rules: EventRules | None = None, text: str = "text") -> DataFrame:
     """Long form: one row per (text, class, rule) that matched."""
-    hits, layout = rule_hits(df.select(key, text), rules, text)
-    entries = [
-        f"named_struct('event_type', {tx.sql_string(event)}, 'rule', {index}, 'term', {name}, 'weight', {weight}D)"
-        for event, columns in layout.items()
-        for index, (name, weight) in enumerate(columns)
-    ]
-    return hits.select(key, F.expr(f"explode(filter(array({', '.join(entries)}), e -> e.term IS NOT NULL)) AS hit")).select(key, "hit.*")
+    return df.select(key, rule_hits(F.col(text), rules).alias("_hits")).select(key, F.explode("_hits").alias("hit")).select(key, "hit.*")
 
 
 def classify_events(
@@ -142,7 +151,8 @@ def classify_events(
     rules = rules or EventRules()
     clean = df.withColumn("_clean", tx.trim(F.coalesce(text, F.lit(""))))
     body = F.col("_clean")
-    stage, layout = rule_hits(clean, rules, "_clean")
+    scanned = clean.withColumns({"_folded": tx.fold(body), "_hits": rule_hits(body, rules)})
+    stage = scanned.withColumn("_words", tx.vocabulary_hits(F.col("_folded"), [*CALENDAR_WORDS, *TEMPLATE_WORDS]))
     src = F.lower(F.coalesce(F.col(source), F.lit(""))) if source in df.columns else F.lit("")
     is_tweet = src.isin(*fv.TWEET_SOURCES)
     empty = F.array().cast("array<string>")
@@ -153,13 +163,11 @@ def classify_events(
 
     # number of matched rules, best weight and terms per class
     measures = {}
-    for event, columns in layout.items():
-        names = [name for name, _ in columns]
-        count = F.expr(" + ".join(f"int({name} IS NOT NULL)" for name in names))
-        best = F.expr(
-            "greatest(0D, " + ", ".join(f"CASE WHEN {name} IS NOT NULL THEN {weight}D END" for name, weight in columns) + ")"
-        )
-        terms = F.expr(f"array_compact(array({', '.join(names)}))")
+    for event in rules.triggers:
+        own = F.filter("_hits", lambda hit: hit["event_type"] == event)  # noqa: B023  evaluated here
+        count = F.size(own)
+        best = F.coalesce(F.greatest(F.lit(0.0), F.array_max(F.transform(own, lambda hit: hit["weight"]))), F.lit(0.0))
+        terms = F.transform(own, lambda hit: hit["term"])
         if event == MACRO and macro_tags and macro_tags in df.columns:
             count = count + F.size(tags)
             best = F.greatest(best, F.when(F.size(tags) > 0, F.lit(0.90)))
@@ -169,7 +177,7 @@ def classify_events(
     stage = stage.withColumns(measures)
 
     candidates = []
-    for event in layout:
+    for event in rules.triggers:
         key = rules.rank(event)
         present = F.col(f"_n{key}") > 0
         if event == CREDIT:

@@ -1,16 +1,16 @@
-"""Entity linking: text x company dictionary, as column expressions.
+"""Entity linking: text x company dictionary.
 
-The dictionary is unrolled into literal patterns (compiled once per task). One pass over
-the text finds which dictionary words occur as tokens; a pattern only runs where one of
-its words is among them.
-Intermediate columns are materialized in separate projections because each is used several
-times.
+The dictionary is data: its terms are patterns of an inverted index (``functions/pattern_index.py``), which one Arrow call
+looks a text up in. It hands back one entry for each company that the text has any evidence of; all weighing of evidence
+is done by column expressions over these few entries. So neither the plan nor the work on a text grows with the dictionary.
+Intermediate columns are materialized in separate projections because each is used several times.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,7 @@ from sigspark import fixed_values as fv
 from sigspark.config import Company, Dictionary
 from sigspark.functions import text as tx
 from sigspark.functions.barrier import attach
+from sigspark.functions.pattern_index import Pattern, PatternIndex
 
 NO_STRINGS = "array<string>"
 # every macro pattern needs one of these words
@@ -30,33 +31,112 @@ LINK_COLUMNS = [
 ]
 
 
-def _alternation(terms: tuple[str, ...]) -> str:
-    return "|".join(rf"\b{re.escape(term)}\b" for term in terms)
-
-
-def _guarded(terms: tuple[str, ...], value: str) -> str:
-    """The regex only where a word of one of its literal terms occurs at all."""
-    words = [tx.key_word(term) for term in terms]
-    return value if None in words else f"CASE WHEN {tx.sql_words(words)} THEN {value} END"
-
-
-def _first_term(text: str, terms: tuple[str, ...]) -> str:
-    if not terms:
-        return "CAST(NULL AS STRING)"
-    return _guarded(terms, f"nullif(regexp_extract({text}, {tx.sql_pattern(_alternation(terms))}, 0), '')")
-
-
-def _vocabulary(companies: list[Company]) -> list[str]:
-    terms = [
-        term for company in companies
-        for term in (company.ticker, *company.aliases, *company.products, *company.executives)
+ENTRY = pa.struct(
+    [
+        ("company", pa.int32()), ("ticker", pa.string()), ("ambiguous", pa.bool_()), ("in_context", pa.bool_()), ("tags", pa.int32()),
+        ("product", pa.string()), ("product_at", pa.int32()), ("alias", pa.string()), ("alias_at", pa.int32()),
+        ("symbol", pa.string()), ("symbol_at", pa.int32()),
     ]
-    return [word for word in map(tx.key_word, terms) if word] + MACRO_WORDS
+)
+SCAN = pa.struct([("entries", pa.list_(ENTRY)), ("macro", pa.string())])
+SCAN_SQL = (
+    "struct<entries: array<struct<company: int, ticker: string, ambiguous: boolean, in_context: boolean, tags: int, product: string, "
+    "product_at: int, alias: string, alias_at: int, symbol: string, symbol_at: int>>, macro: string>"
+)
+
+
+def literal(term: str, ignore_case: bool = True) -> Pattern:
+    word = tx.key_word(term)
+    return Pattern(rf"\b{re.escape(term)}\b", (word,) if word else None, ignore_case)
+
+
+class DictionaryScan:
+    """Evidence of companies in a text. Terms of a kind compete: the leftmost counts, then the first in the dictionary."""
+
+    def __init__(self, dictionary: Dictionary, companies: list[Company]):
+        self.companies = companies
+        self.places = {company.ticker: n for n, company in enumerate(companies)}
+        patterns: list[Pattern] = []
+        self.meaning: list[tuple[int, str]] = []  # by pattern: company and kind
+        for n, company in enumerate(companies):
+            kinds = [("product", company.products + company.executives), ("alias", company.aliases)]
+            if company.ticker not in dictionary.wordlike_symbols:
+                kinds.append(("symbol", (company.ticker,)))
+            for kind, terms in kinds:
+                patterns += [literal(term, kind != "symbol") for term in terms]
+                self.meaning += [(n, kind)] * len(terms)
+        if dictionary.macro_patterns:
+            words = tuple(MACRO_WORDS) if dictionary.macro_patterns == tuple(fv.MACRO_PATTERNS) else None
+            patterns.append(Pattern("|".join(dictionary.macro_patterns), words))
+            self.meaning.append((-1, "macro"))
+        self.index = PatternIndex(patterns)
+
+    def in_context(self, company: Company, text: str) -> bool:
+        return any(literal(term).search(text) for term in company.context_words)
+
+    def evidence(self, text: str, tags: list[str]) -> dict:
+        entries: dict[int, dict] = {}
+        macro = None
+
+        def entry(n: int) -> dict:
+            return entries.setdefault(n, {"company": n, "ticker": self.companies[n].ticker, "ambiguous": self.companies[n].is_ambiguous, "tags": 0})
+
+        for tag in tags:
+            if tag in self.places:
+                entry(self.places[tag])["tags"] += 1
+        for number, match in self.index.matches(text):
+            n, kind = self.meaning[number]
+            if kind == "macro":
+                macro = match.group() or None
+                continue
+            found = entry(n)
+            if match.start() < found.get(f"{kind}_at", len(text) + 1):  # patterns come in dictionary order
+                found[kind], found[f"{kind}_at"] = match.group(), match.start()
+        for n, found in entries.items():
+            found["in_context"] = "alias" in found and found["ambiguous"] and self.in_context(self.companies[n], text)
+        return {"entries": [entries[n] for n in sorted(entries)], "macro": macro}
+
+    def column(self, text: Column, tags: Column) -> Column:
+        def scan(texts: pa.Array, tag_lists: pa.Array) -> pa.Array:
+            pairs = zip(texts.to_pylist(), tag_lists.to_pylist())
+            return pa.array([self.evidence(t or "", known or []) for t, known in pairs], SCAN)
+
+        scan.__annotations__ = {"texts": pa.Array, "tag_lists": pa.Array, "return": pa.Array}
+        return F.arrow_udf(scan, SCAN_SQL)(text, tags)
+
+
+def weighed(entry: Column) -> Column:
+    """The best evidence of one company, and how often it is mentioned."""
+    alias, product, symbol, tags, name = entry["alias"], entry["product"], entry["symbol"], entry["tags"], entry["ticker"]
+    # an everyday word counts only with other evidence, as a longer name, or in context
+    support = ~entry["ambiguous"] | (tags > 0) | product.isNotNull() | entry["in_context"] | F.rlike(alias, F.lit(r"(?U)\S\s+\S|\."))
+    alias = F.when(support, alias)
+    tests = [(tags > 0, "cashtag", F.concat(F.lit("$"), name)), (alias.isNotNull(), "company_name", alias),
+             (product.isNotNull(), "product_or_exec", product), (symbol.isNotNull(), "ticker_symbol", name)]
+
+    def best(pick) -> Column:
+        out = None
+        for test, kind, term in tests:
+            out = F.when(test, pick(kind, term)) if out is None else out.when(test, pick(kind, term))
+        return out
+
+    return F.struct(
+        name.alias("ticker"), best(lambda kind, _: F.lit(kind)).alias("kind"), best(lambda kind, _: F.lit(fv.LINK_CONFIDENCE[kind])).alias("confidence"),
+        best(lambda _, term: term).alias("term"), (tags + product.isNotNull().cast("int") + alias.isNotNull().cast("int") + symbol.isNotNull().cast("int")).alias("mentions"),
+        F.when(tags > 0, F.array_position(F.col("_tags"), name)).otherwise(F.lit(1_000_000).cast("long") + entry["company"]).alias("ordinal"),
+        tags.alias("tags"), F.least(F.when(alias.isNotNull(), entry["alias_at"]), entry["product_at"], entry["symbol_at"]).alias("at"),
+    )
+
+
+def position(entry: Column, text: Column) -> Column:
+    """0-based offset of a company's earliest evidence; only evaluated for ties."""
+    tag = F.when(entry["tags"] > 0, F.greatest(F.lit(0), F.instr(F.upper(text), F.concat(F.lit("$"), entry["ticker"])) - 1))
+    return F.least(tag, entry["at"])
 
 
 def split_cashtags(tags: Column, dictionary: Dictionary) -> tuple[Column, Column]:
     """(known tickers, canonical; unknown symbols) — both in text order with duplicates."""
-    universe = F.array(*[F.lit(symbol) for symbol in dictionary.universe])
+    universe = F.split(F.lit("\n".join(dictionary.universe)), "\n")
     canonical = lambda tag: tx.canonical_ticker(tag, dictionary.synonyms)
     symbols = F.filter(tags, lambda tag: ~tag.isin(*dictionary.currency_codes))
     known = lambda tag: F.array_contains(universe, canonical(tag)) | F.array_contains(universe, tag)
@@ -66,70 +146,6 @@ def split_cashtags(tags: Column, dictionary: Dictionary) -> tuple[Column, Column
     )
 
 
-def _evidence(company: Company, index: int, dictionary: Dictionary, text: str) -> tuple[dict[str, Column], str]:
-    """Raw match columns of one company, and the SQL struct of its best evidence."""
-    ticker = company.ticker
-    bare = "false"
-    if ticker not in dictionary.wordlike_symbols:
-        body = tx.sql_pattern(rf"\b{re.escape(ticker)}\b", ignore_case=False)
-        bare = f"coalesce({_guarded((ticker,), f'regexp_like({text}, {body})')}, false)"
-    columns = {
-        f"_p{index}": F.expr(_first_term(text, company.products + company.executives)),
-        f"_a{index}": F.expr(_first_term(text, company.aliases)),
-        f"_b{index}": F.expr(bare),
-        f"_c{index}": F.expr(f"size(filter(_tags, tag -> tag = {tx.sql_string(ticker)}))"),
-    }
-    product, alias, symbol, tags = f"_p{index}", f"_a{index}", f"_b{index}", f"_c{index}"
-    if company.is_ambiguous:
-        # an everyday word counts only with other evidence, as a longer name, or in context
-        support = [f"{tags} > 0", f"{product} IS NOT NULL", rf'regexp_like({alias}, r"(?U)\S\s+\S|\.")']
-        if company.context_words:
-            support.append(f"regexp_like({text}, {tx.sql_pattern(_alternation(company.context_words))})")
-        alias = f"(CASE WHEN {alias} IS NOT NULL AND ({' OR '.join(support)}) THEN {alias} END)"
-        columns[f"_s{index}"] = alias
-        alias = f"_s{index}"
-    name = tx.sql_string(ticker)
-    confidence = fv.LINK_CONFIDENCE
-    branches = [
-        (f"{tags} > 0", "cashtag", tx.sql_string(f"${ticker}")),
-        (f"{alias} IS NOT NULL", "company_name", alias),
-        (f"{product} IS NOT NULL", "product_or_exec", product),
-        (symbol, "ticker_symbol", name),
-    ]
-
-    def case(pick) -> str:
-        return "CASE " + " ".join(f"WHEN {test} THEN {pick(kind, term)}" for test, kind, term in branches) + " END"
-
-    struct = (
-        f"named_struct('ticker', {name}, 'kind', {case(lambda kind, term: repr(kind))}, "
-        f"'confidence', {case(lambda kind, term: f'{confidence[kind]}D')}, 'term', {case(lambda kind, term: term)}, "
-        f"'mentions', {tags} + int({product} IS NOT NULL) + int({alias} IS NOT NULL) + int({symbol}), "
-        f"'ordinal', CASE WHEN {tags} > 0 THEN array_position(_tags, {name}) ELSE {1_000_000 + index}L END)"
-    )
-    return columns, struct
-
-
-def _position(company: Company, index: int, text: str) -> str:
-    """SQL for the 0-based offset of the earliest evidence; only evaluated for ties."""
-    far = 2_147_483_647
-
-    def at(hit: str, body: str, ignore_case: bool = True) -> str:
-        return f"CASE WHEN {hit} THEN regexp_instr({text}, {tx.sql_pattern(body, ignore_case)}) - 1 ELSE {far} END"
-
-    tag = tx.sql_string(f"${company.ticker}")
-    found = [
-        f"CASE WHEN _c{index} > 0 THEN greatest(0, instr(upper({text}), {tag}) - 1) ELSE {far} END",
-        at(f"_b{index}", rf"\b{re.escape(company.ticker)}\b", False),
-    ]
-    products = company.products + company.executives
-    if products:
-        found.append(at(f"_p{index} IS NOT NULL", _alternation(products)))
-    if company.aliases:
-        alias = f"_s{index}" if company.is_ambiguous else f"_a{index}"
-        found.append(at(f"{alias} IS NOT NULL", _alternation(company.aliases)))
-    return f"CASE WHEN array_contains(_names, {tx.sql_string(company.ticker)}) THEN least({', '.join(found)}) END"
-
-
 def link_entities(
     df: DataFrame,
     dictionary: Dictionary | None = None,
@@ -160,33 +176,23 @@ def link_entities(
     else:
         all_hints = single
 
-    # 1. cashtags and raw evidence per company
+    # 1. cashtags, and evidence of companies
     known, unknown = split_cashtags(tx.cashtags(F.col(text)), dictionary)
-    stage = df.withColumns({"_words": tx.vocabulary_hits(tx.fold(F.col(text)), _vocabulary(companies)), "_hints": all_hints, "_tags": known, "_unknown": unknown})
-    structs, raw, supported = [], {}, {}
-    for index, company in enumerate(companies):
-        columns, struct = _evidence(company, index, dictionary, text)
-        for name, column in columns.items():
-            (supported if isinstance(column, str) else raw)[name] = column
-        structs.append(struct)
-    macro = f"nullif(regexp_extract({text}, {tx.sql_pattern('|'.join(dictionary.macro_patterns))}, 0), '')"
-    if dictionary.macro_patterns == tuple(fv.MACRO_PATTERNS):
-        macro = f"CASE WHEN {tx.sql_words(MACRO_WORDS)} THEN {macro} END"
-    raw["_macro"] = F.expr(macro)
-    stage = stage.withColumns(raw).withColumns({name: F.expr(sql) for name, sql in supported.items()})
+    stage = df.withColumns({"_hints": all_hints, "_tags": known, "_unknown": unknown})
+    stage = stage.withColumn("_scan", DictionaryScan(dictionary, companies).column(F.col(text), F.col("_tags")))
 
     # 2. best evidence per company
     stage = stage.withColumns(
         {
-            "_found": F.expr(f"filter(array({', '.join(structs)}), entry -> entry.mentions > 0)"),
+            "_found": F.filter(F.transform("_scan.entries", weighed), lambda entry: entry["mentions"] > 0),
             "_market": F.when(
                 F.array_contains("_tags", fv.MARKET),
                 F.struct(F.lit("cashtag").alias("kind"), F.lit(fv.LINK_CONFIDENCE["cashtag"]).alias("confidence"),
                          F.lit(f"${fv.MARKET}").alias("term")),
             ).when(
-                F.col("_macro").isNotNull(),
+                F.col("_scan.macro").isNotNull(),
                 F.struct(F.lit("company_name").alias("kind"), F.lit(fv.LINK_CONFIDENCE["company_name"]).alias("confidence"),
-                         F.col("_macro").alias("term")),
+                         F.col("_scan.macro").alias("term")),
             ),
         }
     )
@@ -199,8 +205,7 @@ def link_entities(
     first, second = F.get(found, 0), F.get(found, 1)
     hinted = F.array_intersect(names, F.col("_hints"))
     equal_mentions = (n == 2) & (F.size(hinted) == 0) & (first["mentions"] == second["mentions"])
-    positions = ", ".join(_position(company, index, text) for index, company in enumerate(companies))
-    located = F.expr(f"array_compact(array({positions}))")
+    located = F.transform(found, lambda entry: position(entry, F.col(text)))
     stage = stage.withColumn("_positions", F.when(equal_mentions, located))
     spot = F.col("_positions")
     first_leads = (

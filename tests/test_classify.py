@@ -96,3 +96,41 @@ def test_guard_words_are_necessary():
         assert tokens & set(needed) or spaced or any(piece in text.lower() for piece in pieces)
 
     check()
+
+
+def test_plan_does_not_grow_with_the_rules(spark):
+    from sigspark.config import EventRules
+
+    def plan_size(df):
+        spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+        return df._jdf.queryExecution().optimizedPlan().toString().count("(")
+
+    df = spark.createDataFrame([(1, "a zeppelin fleet, earnings beat", "newsapi")], "id int, text string, source string")
+    plain = EventRules()
+    longer = EventRules({event: [*rules, *((rf"\bzeppelin{i or ''}\s+fleet\b", 0.99) for i in range(len(rules)))] for event, rules in plain.triggers.items()})
+    assert len(longer.rows()) == 2 * len(plain.rows())
+    assert plan_size(classify_events(df, longer)) == plan_size(classify_events(df, plain))
+    found = {(r["event_type"], r["term"]) for r in matched_rules(df, "id", longer).collect()}
+    assert found == {("Earnings", "earnings beat")} | {(event, "zeppelin fleet") for event in plain.triggers}
+
+
+def test_index_finds_what_trying_all_rules_finds():
+    import random
+    import re
+
+    from sigspark import fixed_values as fv
+    from sigspark.functions.pattern_index import Pattern, PatternIndex
+    from sigspark.operators.classify import rule_piece, rule_words
+
+    rows = [(event, n, body) for event, rules in fv.EVENT_TRIGGERS.items() for n, (body, _) in enumerate(rules)]
+    index = PatternIndex([Pattern(body, rule_words(event, n, body), piece=rule_piece(event, n, body)) for event, n, body in rows])
+    words = sorted({w for event, n, body in rows for w in re.findall(r"[a-z]{2,}", body)})
+    rng = random.Random(3)
+    hits = 0
+    for _ in range(1500):
+        text = "".join(rng.choice(words) + rng.choice([" ", " ", " to ", "s ", "ed ", "", " 11 ", "\n"]) for _ in range(rng.randint(1, 14)))
+        text = rng.choice([text, text.upper(), text.replace("s", "ſ"), text.replace("i", "İ")])
+        want = [(n, m.group()) for n, (_, _, body) in enumerate(rows) if (m := re.search(body, text, re.IGNORECASE))]
+        assert [(n, m.group()) for n, m in index.matches(text)] == want
+        hits += len(want)
+    assert hits > 300

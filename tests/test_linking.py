@@ -87,3 +87,66 @@ def test_dictionary_is_a_parameter(spark):
     df = spark.createDataFrame([(1, "the new ANVIL ships", None, None, "gdelt")], SCHEMA)
     row = link_entities(df, custom).first()
     assert (row["primary_ticker"], row["matched_term"]) == ("ACME", "ANVIL")
+
+
+def plan_size(df):
+    """Calls and operators in the optimized plan, whatever the length of its literals."""
+    df.sparkSession.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    return df._jdf.queryExecution().optimizedPlan().toString().count("(")
+
+
+def many_companies(n):
+    return Dictionary.from_mapping(
+        {
+            f"T{i}": {
+                "aliases": [f"Firm{i}", f"Firm{i} Holdings"], "products": [f"Gadget {i}x"], "executives": [f"Ann Chief{i}"],
+                "context_words": ["shares", f"town{i}"], "is_ambiguous": i % 3 == 0,
+            }
+            for i in range(n)
+        }
+    )
+
+
+def test_plan_does_not_grow_with_the_dictionary(spark):
+    df = spark.createDataFrame([(1, "Firm7 Holdings and Gadget 900x, $T5", None, None, "gdelt")], SCHEMA)
+    small, large = (link_entities(df, many_companies(n)) for n in (21, 1000))
+    assert plan_size(large) == plan_size(small)
+    assert large.first()["linked_tickers"] == ["T5", "T7", "T900"]
+
+
+def test_scan_equals_one_pattern_a_company():
+    import random
+    import re
+
+    from sigspark.operators.linking import DictionaryScan
+
+    dictionary = Dictionary.default()
+    companies = [c for c in dictionary.companies if dictionary.synonyms.get(c.ticker, c.ticker) != "MARKET"]
+    scan = DictionaryScan(dictionary, companies)
+    terms = [t for c in companies for t in (c.ticker, *c.aliases, *c.products, *c.executives, *c.context_words)]
+    rng = random.Random(2)
+    fill = ["the", "market", "x", "K", "ſ", "é", "interest rates", "S&P 500", "-", ".", "$", "\n"]
+    for _ in range(400):
+        parts = [rng.choice(rng.choice([terms, fill])) for _ in range(rng.randint(0, 9))]
+        text = "".join(rng.choice([p, p.lower(), p.upper()]) + rng.choice([" ", " ", "", ", "]) for p in parts)
+        got = {e["ticker"]: e for e in scan.evidence(text, [])["entries"]}
+        for company in companies:
+            kinds = {"product": company.products + company.executives, "alias": company.aliases, "symbol": ()}
+            if company.ticker not in dictionary.wordlike_symbols:
+                kinds["symbol"] = (company.ticker,)
+            want = {}
+            for kind, names in kinds.items():
+                found = names and re.search("|".join(rf"\b{re.escape(n)}\b" for n in names), text, 0 if kind == "symbol" else re.IGNORECASE)
+                if found:
+                    want[kind] = (found.group(), found.start())
+            entry = got.get(company.ticker, {})
+            assert {k: (entry[k], entry[f"{k}_at"]) for k in kinds if k in entry} == want
+            if "alias" in want and company.is_ambiguous:
+                assert entry["in_context"] == bool(re.search("|".join(rf"\b{re.escape(n)}\b" for n in company.context_words) or "(?!)", text, re.IGNORECASE))
+
+
+def test_null_and_empty_texts(spark):
+    rows = [(1, None, None, None, "gdelt"), (2, "", None, [], "gdelt"), (3, None, "PG", None, "twitter")]
+    got = {r["id"]: r for r in link_entities(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1]["linked_tickers"] == got[2]["linked_tickers"] == [] and not got[1]["is_relevant"]
+    assert got[3]["linked_tickers"] == ["PG"] and got[3]["link_type"] == "hint_only"
