@@ -32,26 +32,88 @@ LEFT JOIN raws r ON r.t0 = d.t0 AND r.ticker = u.ticker""", "days", "raws")
 define("ema", f"""SELECT i.t0, i.n, i.ticker, i.raw_score, sum({number(ALPHA)} * pow({number(1 - ALPHA)}, i.n - j.n) * j.raw_score) AS score
 FROM dense i JOIN dense j ON i.ticker = j.ticker AND j.n <= i.n GROUP BY ALL""", "dense")
 define("tilt", """SELECT *, exp(1.5::DOUBLE * score) / sum(exp(1.5::DOUBLE * score)) OVER (PARTITION BY t0) AS tilt_weight FROM ema""", "ema")
-define("proj", f"""SELECT t0, n, 0 AS i, false AS done, list(tilt_weight ORDER BY ticker) AS w FROM tilt GROUP BY t0, n
+
+
+def define_path(name: str, source: str, *needs: str) -> None:
+    """Targets and executed weights of ``source``: (scenario, n, t0, k, cap, scores, plain scores or null), tickers in order."""
+    each = f"range(1, {SIZE + 1})"
+    share = f"(abs(missing) - coalesce(list_sum(o[1:j - 1]), 0)) / ({SIZE} - j + 1)"
+    define(f"{name}_tilts", f"""SELECT scenario, n, t0, cap, final, list_transform(e, lambda x: x / list_sum(e)) AS w FROM (
+  SELECT *, list_transform(v, lambda x: exp(k * x)) AS e FROM (
+    SELECT scenario, n, t0, k, cap, true AS final, s AS v FROM {source} UNION ALL SELECT scenario, n, t0, k, cap, false, plain FROM {source} WHERE plain IS NOT NULL))""", source)
+    define(f"{name}_targets", f"""SELECT scenario, n, t0, cap, final, list_transform({each}, lambda i: c[i] + sign(missing) * least(room[i], amount)) AS t FROM (
+  SELECT *, coalesce(list_filter(list_transform({each}, lambda j: CASE WHEN {share} <= o[j] THEN {share} END), lambda x: x IS NOT NULL)[1], o[{SIZE}]) AS amount
+  FROM (SELECT *, list_sort(room) AS o FROM (
+    SELECT *, list_transform(c, lambda x: CASE WHEN missing > 0 THEN {number(HIGH)} - x ELSE x - {number(LOW)} END) AS room FROM (
+      SELECT *, 1 - list_sum(c) AS missing FROM (
+        SELECT *, list_transform(w, lambda x: greatest({number(LOW)}, least({number(HIGH)}, x))) AS c FROM {name}_tilts)))))""", f"{name}_tilts")
+    define(f"{name}_days", f"""SELECT a.scenario, a.n, a.t0, a.cap, a.t, b.t AS f FROM {name}_targets a
+LEFT JOIN {name}_targets b ON b.scenario = a.scenario AND b.n = a.n AND NOT b.final WHERE a.final""", f"{name}_targets")
+    distance = f"0.5::DOUBLE * list_sum(list_transform({each}, lambda i: abs({{0}}[i] - {{1}}[i])))"
+    move = f"CASE WHEN {{2}} > cap THEN list_transform({each}, lambda i: {{1}}[i] + ({{0}}[i] - {{1}}[i]) * (cap / {{2}})) ELSE {{0}} END"
+    define(f"{name}_path", f"""SELECT scenario, 0::BIGINT AS n, NULL::DATE AS t0, list_transform({each}, lambda i: {number(1 / SIZE)}) AS w,
+  list_transform({each}, lambda i: {number(1 / SIZE)}) AS p, 0::DOUBLE AS turnover, 0::DOUBLE AS needed FROM {name}_days WHERE n = 1
 UNION ALL
-SELECT t0, n, i + 1, abs(gap) < 1e-9 OR movable = 0, CASE WHEN abs(gap) < 1e-9 OR movable = 0 THEN c ELSE list_transform(c, lambda x:
-    CASE WHEN CASE WHEN gap > 0 THEN x < {number(HIGH)} - 1e-9 ELSE x > {number(LOW)} + 1e-9 END THEN x + gap / movable ELSE x END) END
-FROM (SELECT *, len(list_filter(c, lambda x: CASE WHEN gap > 0 THEN x < {number(HIGH)} - 1e-9 ELSE x > {number(LOW)} + 1e-9 END)) AS movable
-  FROM (SELECT *, 1 - list_sum(c) AS gap FROM (
-    SELECT t0, n, i, list_transform(w, lambda x: greatest({number(LOW)}, least({number(HIGH)}, x))) AS c
-    FROM proj WHERE NOT done AND i < 50)))""", "tilt")
-define("target", f"""SELECT t0, n, list_transform(arg_max(w, i), lambda x: greatest({number(LOW)}, least({number(HIGH)}, x))) AS t FROM proj GROUP BY t0, n""", "proj")
-define("path", f"""SELECT 0::BIGINT AS n, NULL::DATE AS t0, list_transform(range({SIZE}), lambda k: {number(1 / SIZE)}) AS w,
-  list_transform(range({SIZE}), lambda k: {number(1 / SIZE)}) AS p, 0::DOUBLE AS turnover, 0::DOUBLE AS needed
+SELECT scenario, n, t0, list_transform(m, lambda x: x / list_sum(m)), p, least(needed, cap), needed FROM (
+  SELECT *, {move.format('t', 'v', 'needed')} AS m FROM (SELECT *, {distance.format('t', 'v')} AS needed FROM (
+    SELECT *, CASE WHEN f IS NULL THEN p ELSE list_transform(u, lambda x: x / list_sum(u)) END AS v FROM (
+      SELECT *, CASE WHEN f IS NOT NULL THEN {move.format('f', 'p', 'before')} END AS u FROM (SELECT *, CASE WHEN f IS NOT NULL THEN {distance.format('f', 'p')} END AS before FROM (
+        SELECT g.*, s.w AS p FROM (SELECT scenario, n, w FROM {name}_path ) s JOIN {name}_days g ON g.scenario = s.scenario AND g.n = s.n + 1))))))""", f"{name}_days")
+
+
+def define_scenarios(name: str, scenarios: list[dict]) -> None:
+    """Scores of each scenario by plain recursion over its days: smoothed, then modified, then carried."""
+    null = lambda value: "NULL" if value is None else number(value)
+    rows = ", ".join(
+        f"('{x['scenario']}', {number(x['k'])}, {number(1 - 2.0 ** (-1.0 / x['half_life']))}, {number(x['deadband'])}, {number(x['neg_multiplier'])}, "
+        f"{number(x['max_turnover'])}, {number(x['min_confidence'])}, {UNIVERSE.index(x['exclude']) + 1 if x['exclude'] else 'NULL::INT'}, {null(x['max_score'])}::DOUBLE)"
+        for x in scenarios
+    )
+    define(f"{name}_sc", f"SELECT * FROM (VALUES {rows}) v(scenario, k, alpha, band, neg, cap, least_conf, excluded, most)")
+    define(f"{name}_raw", f"""SELECT scenario, t0, ticker, CASE WHEN sum(weight_w) > 0 THEN sum(adj * weight_w) / sum(weight_w) ELSE 0 END AS raw FROM (
+  SELECT c.scenario, p.t0, p.ticker, p.weight_w, CASE WHEN abs(sentiment_score) < band THEN 0 WHEN sentiment_score < 0 THEN sentiment_score * neg ELSE sentiment_score END::DOUBLE AS adj
+  FROM port p CROSS JOIN {name}_sc c WHERE least_conf <= 0 OR event_confidence >= least_conf) GROUP BY ALL""", "port", f"{name}_sc")
+    define(f"{name}_raws", f"""SELECT d.scenario, d.t0, d.n, list(coalesce(r.raw, 0) ORDER BY u.ticker) AS r FROM (
+  SELECT scenario, t0, row_number() OVER (PARTITION BY scenario ORDER BY t0) AS n FROM (SELECT DISTINCT scenario, t0 FROM {name}_raw)) d
+CROSS JOIN (SELECT 'TK' || lpad(CAST(range AS VARCHAR), 2, '0') AS ticker FROM range({SIZE})) u
+LEFT JOIN {name}_raw r ON r.scenario = d.scenario AND r.t0 = d.t0 AND r.ticker = u.ticker GROUP BY ALL""", f"{name}_raw")
+    each = f"range(1, {SIZE + 1})"
+    define(f"{name}_state", f"""SELECT scenario, 0::BIGINT AS n, NULL::DATE AS t0, list_transform({each}, lambda i: 0::DOUBLE) AS s, list_transform({each}, lambda i: 0::DOUBLE) AS before FROM {name}_sc
 UNION ALL
-SELECT n, t0, list_transform(m, lambda x: x / list_sum(m)), p, least(needed, {number(CAP)}), needed FROM (
-  SELECT n, t0, p, needed, CASE WHEN needed > {number(CAP)} THEN
-      list_transform(range(1, {SIZE + 1}), lambda k: p[k] + (t[k] - p[k]) * ({number(CAP)} / needed)) ELSE t END AS m
-  FROM (SELECT g.n, g.t0, g.t, s.w AS p, 0.5::DOUBLE * list_sum(list_transform(range(1, {SIZE + 1}), lambda k: abs(g.t[k] - s.w[k]))) AS needed
-    FROM (SELECT n, w FROM path ) s JOIN target g ON g.n = s.n + 1))""", "target")
+SELECT scenario, n, t0, list_transform({each}, lambda i: CASE WHEN i = excluded THEN 0 WHEN most IS NULL THEN before[i] ELSE least(most, before[i]) END), before FROM (
+  SELECT r.scenario, r.n, r.t0, excluded, most, list_transform({each}, lambda i: (1 - alpha) * s[i] + alpha * r[i]) AS before
+  FROM (SELECT * FROM {name}_state ) p JOIN {name}_raws r ON r.scenario = p.scenario AND r.n = p.n + 1 JOIN {name}_sc c ON c.scenario = p.scenario)""", f"{name}_raws", f"{name}_sc")
+    define(f"{name}_scores", f"""SELECT t.scenario, n, t0, k, cap, s, CASE WHEN excluded IS NOT NULL OR most IS NOT NULL THEN before END AS plain
+FROM {name}_state t JOIN {name}_sc c ON c.scenario = t.scenario WHERE n > 0""", f"{name}_state", f"{name}_sc")
+    define_path(name, f"{name}_scores")
+
+
+def define_returns(name: str) -> None:
+    """Net daily returns of the executed weights."""
+    define(f"{name}_returns", f"""SELECT scenario, return_date, sum(weight * ret) - 0.0005::DOUBLE * max(turnover) AS r FROM (
+  SELECT w.*, coalesce(r.ret, 0) AS ret FROM (SELECT p.scenario, p.turnover, s.t0 AS return_date, 'TK' || lpad(CAST(i - 1 AS VARCHAR), 2, '0') AS ticker, p.w[i] AS weight
+    FROM {name}_path p JOIN {name}_days s ON s.scenario = p.scenario AND s.n = p.n + 1 CROSS JOIN range(1, {SIZE + 1}) x(i) WHERE p.n > 0) w
+  LEFT JOIN rets r ON r.ticker = w.ticker AND r.date = w.return_date) GROUP BY scenario, return_date""", f"{name}_path", "rets")
+
+
+define("base_scores", f"SELECT 'baseline' AS scenario, n, t0, 1.5::DOUBLE AS k, {number(CAP)} AS cap, list(score ORDER BY ticker) AS s, NULL::DOUBLE[] AS plain FROM ema GROUP BY n, t0", "ema")
+define_path("base", "base_scores")
 define("weights", f"""SELECT p.t0, p.n, x.ticker, p.w[k] AS weight, p.p[k] AS prev_weight, t.t[k] AS target_weight, p.turnover, p.needed,
   x.tilt_weight, x.score, x.raw_score
-FROM path p JOIN target t USING (n) JOIN (SELECT *, CAST(right(ticker, 2) AS INT) + 1 AS k FROM tilt) x ON x.n = p.n WHERE p.n > 0""", "path", "tilt")
+FROM base_path p JOIN base_days t USING (n) JOIN (SELECT *, CAST(right(ticker, 2) AS INT) + 1 AS k FROM tilt) x ON x.n = p.n WHERE p.n > 0""", "base_path", "tilt")
+define_scenarios("variant", pf.variants(PARAMS))
+define_returns("variant")
+define_scenarios("cell", pf.grid(PARAMS))
+define_returns("cell")
+PERMUTATIONS = 200
+define("shuffled_scores", f"""SELECT scenario, n, t0, k, cap, list(score ORDER BY ticker) AS s, NULL::DOUBLE[] AS plain FROM (
+  SELECT 'perm-' || lpad(CAST(a.perm AS VARCHAR), 6, '0') AS scenario, a.n, a.t0, 1.5::DOUBLE AS k, {number(CAP)} AS cap, a.ticker, b.score
+  FROM (SELECT perm, ticker, n, t0 FROM ema CROSS JOIN range({PERMUTATIONS + 1}) x(perm)) a
+  JOIN (SELECT perm, ticker, score, CASE WHEN perm = 0 OR t0 = (SELECT max(t0) FROM ema) THEN n ELSE row_number() OVER (PARTITION BY perm, ticker, t0 = (SELECT max(t0) FROM ema)
+      ORDER BY md5(concat_ws('|', 42, perm, ticker, t0)), t0) END AS n
+    FROM ema CROSS JOIN range({PERMUTATIONS + 1}) x(perm)) b ON b.perm = a.perm AND b.ticker = a.ticker AND b.n = a.n) GROUP BY ALL""", "ema")
+define_path("shuffled", "shuffled_scores")
+define_returns("shuffled")
 define("steps", "SELECT t0, n, lead(t0) OVER (ORDER BY t0) AS return_date FROM days", "days")
 define("fwd", """SELECT w.*, s.return_date, coalesce(r.ret, 0) AS ret FROM weights w JOIN steps s ON s.n = w.n AND s.return_date IS NOT NULL
 LEFT JOIN rets r ON r.ticker = w.ticker AND r.date = s.return_date""", "weights", "steps", "rets")
@@ -269,18 +331,24 @@ def weights_wide_long(spark, folder):
     return pf.lengthen_weights(wide, UNIVERSE)
 
 
-@query("scenario_variants")
+@query("scenario_variants", wrap(sql_with("variant_returns", _performance_sql("SELECT * FROM variant_returns", "scenario")), METRICS, "n_days"))
 def scenario_variants(spark, folder):
     weights = stored_weights(spark, folder, pf.variants(PARAMS))
     return backtest.scenario_performance(weights, price_returns(spark, folder))
 
 
-@query("scenario_grid")
+@query("scenario_grid", wrap(sql_with("cell_returns", _performance_sql("SELECT * FROM cell_returns", "scenario")), METRICS, "n_days"))
 def scenario_grid(spark, folder):
     weights = stored_weights(spark, folder, pf.grid(PARAMS))
     return backtest.scenario_performance(weights, price_returns(spark, folder))
 
 
-@query("placebo_sharpe")
+@query("placebo_sharpe", wrap(sql_with("shuffled_returns", f"""
+SELECT any_value(o.sharpe) AS actual_sharpe, any_value(o.cum_ret) AS actual_cum_ret, avg(m.sharpe) AS null_sharpe_mean, stddev_pop(m.sharpe) AS null_sharpe_std,
+  avg(m.cum_ret) AS null_cum_ret_mean, count(*) AS n_perm, 100.0 * count_if(m.sharpe <= o.sharpe) / count(*) AS sharpe_percentile,
+  100.0 * count_if(m.cum_ret <= o.cum_ret) / count(*) AS cum_ret_percentile
+FROM ({_performance_sql("SELECT * FROM shuffled_returns", "scenario")}) m
+CROSS JOIN (SELECT * FROM ({_performance_sql("SELECT * FROM shuffled_returns", "scenario")}) WHERE scenario = 'perm-000000') o WHERE m.scenario <> 'perm-000000'"""),
+    "actual_sharpe actual_cum_ret null_sharpe_mean null_sharpe_std null_cum_ret_mean sharpe_percentile cum_ret_percentile", "n_perm"))
 def placebo_sharpe(spark, folder):
-    return pf.placebo_test(prepared(spark, folder), price_returns(spark, folder), PARAMS, n_perm=200)
+    return pf.placebo_test(prepared(spark, folder), price_returns(spark, folder), PARAMS, n_perm=PERMUTATIONS)

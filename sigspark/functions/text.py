@@ -20,11 +20,6 @@ def pattern(body: str, ignore_case: bool = True) -> str:
     return ("(?iUd)" if ignore_case else "(?Ud)") + body
 
 
-def sql_pattern(body: str, ignore_case: bool = True) -> str:
-    """The pattern as a raw SQL string literal."""
-    return 'r"' + pattern(body, ignore_case).replace('"', r"\x22") + '"'
-
-
 def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
