@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.checks.registry import query, wrap
-from sigspark.checks.views import calendar, prices, signals, sql_with, table
+from sigspark.checks.views import calendar, define, prices, signals, sql_with, table
 from sigspark.operators import alignment, returns, stats, tickerday
 from sigspark.operators.impact import daily_volume, trailing_volume, volume_signals
 from sigspark.plans.study import evaluate
@@ -261,21 +261,71 @@ def volume_signal(spark, folder):
     return volume_signals(tweet_volume(spark, folder)).select("ticker", "date", "volume_signal")
 
 
-@query("bootstrap_spearman_ci")
+N_BOOT, N_PERM = 1000, 1000
+#: Blocks drawn with replacement, a row for each slot of each replicate.
+define("drawn", f"""SELECT replicate, week FROM (
+  SELECT replicate, ('0x' || substr(md5(concat_ws('|', 42, replicate, slot)), 1, 8))::BIGINT % n AS b
+  FROM range({N_BOOT}) r(replicate) CROSS JOIN (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT week) AS n FROM obs))) d
+JOIN (SELECT week, row_number() OVER (ORDER BY week) - 1 AS b FROM (SELECT DISTINCT week FROM obs)) w USING (b)""", "obs")
+define("replica", "SELECT d.replicate, o.max_impact_score AS x, o.abs_ar0 AS y, o.ar1, o.sent_bucket FROM drawn d JOIN obs o USING (week)", "drawn", "obs")
+
+
+SPEARMAN_CI = """
+SELECT (SELECT corr(rx, ry) FROM (SELECT rank() OVER (ORDER BY max_impact_score) + (count(*) OVER (PARTITION BY max_impact_score) - 1) / 2.0::DOUBLE AS rx,
+    rank() OVER (ORDER BY abs_ar0) + (count(*) OVER (PARTITION BY abs_ar0) - 1) / 2.0::DOUBLE AS ry FROM obs WHERE abs_ar0 IS NOT NULL)) AS estimate,
+  quantile_cont(rho, 0.025) AS ci_low, quantile_cont(rho, 0.975) AS ci_high, count(*) AS n_replicates FROM (
+  SELECT replicate, corr(rx, ry) AS rho FROM (
+    SELECT replicate, rank() OVER (PARTITION BY replicate ORDER BY x) + (count(*) OVER (PARTITION BY replicate, x) - 1) / 2.0::DOUBLE AS rx,
+      rank() OVER (PARTITION BY replicate ORDER BY y) + (count(*) OVER (PARTITION BY replicate, y) - 1) / 2.0::DOUBLE AS ry FROM replica WHERE y IS NOT NULL)
+  GROUP BY replicate) WHERE rho IS NOT NULL AND NOT isnan(rho)"""
+
+
+@query("bootstrap_spearman_ci", wrap(sql_with("replica obs", SPEARMAN_CI), "estimate ci_low ci_high", "n_replicates"))
 def bootstrap_spearman_ci(spark, folder):
-    return stats.bootstrap_spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_boot=1000)
+    return stats.bootstrap_spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_boot=N_BOOT)
+
+
+def _long_short(rows: str, group: str = "") -> str:
+    return f"SELECT avg(ar1) FILTER (sent_bucket = 'Positive') - avg(ar1) FILTER (sent_bucket = 'Negative') AS v FROM {rows} {group}"
 
 
-@query("bootstrap_long_short_ci")
+@query("bootstrap_long_short_ci", wrap(sql_with("replica obs", f"""
+SELECT ({_long_short('obs')}) AS estimate, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(v) AS n_replicates
+FROM ({_long_short('replica', 'GROUP BY replicate')})"""), "estimate ci_low ci_high", "n_replicates"))
 def bootstrap_long_short_ci(spark, folder):
     return stats.bootstrap_mean_difference(
-        stored_observations(spark, folder), "ar1", F.col("sent_bucket") == "Positive", F.col("sent_bucket") == "Negative", n_boot=1000
+        stored_observations(spark, folder), "ar1", F.col("sent_bucket") == "Positive", F.col("sent_bucket") == "Negative", n_boot=N_BOOT
     )
 
 
-@query("placebo_rho")
+def _spread(rows: str, key: str) -> str:
+    edges = ", ".join(f"quantile_cont(x, {i / 5}) AS e{i}" for i in range(6))
+    return f"""SELECT {key}, avg(y) FILTER (x > e4) - avg(y) FILTER (x <= e1) AS v FROM ({rows}) JOIN (SELECT {key}, {edges} FROM ({rows}) GROUP BY {key}) USING ({key})
+WHERE e0 < e1 AND e1 < e2 AND e2 < e3 AND e3 < e4 AND e4 < e5 GROUP BY {key}"""
+
+
+@query("bootstrap_quintile_ci", wrap(sql_with("replica obs", f"""
+SELECT (SELECT v FROM ({_spread('SELECT 0 AS one, max_impact_score AS x, abs_ar0 AS y FROM obs', 'one')})) AS estimate,
+  quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(v) AS n_replicates FROM ({_spread('SELECT replicate, x, y FROM replica', 'replicate')})"""),
+    "estimate ci_low ci_high", "n_replicates"))
+def bootstrap_quintile_ci(spark, folder):
+    return stats.bootstrap_quantile_spread(stored_observations(spark, folder), n_boot=N_BOOT)
+
+
+define("pair_ranks", """SELECT ticker, t0, rank() OVER (ORDER BY max_impact_score) + (count(*) OVER (PARTITION BY max_impact_score) - 1) / 2.0::DOUBLE AS rx,
+  rank() OVER (ORDER BY abs_ar0) + (count(*) OVER (PARTITION BY abs_ar0) - 1) / 2.0::DOUBLE AS ry FROM obs WHERE abs_ar0 IS NOT NULL""", "obs")
+PLACEBO = f"""WITH placed AS (SELECT replicate, ticker, rx, ry, row_number() OVER (PARTITION BY replicate, ticker ORDER BY t0) AS i,
+    row_number() OVER (PARTITION BY replicate, ticker ORDER BY CASE WHEN replicate > 0 THEN md5(concat_ws('|', 42, replicate, ticker, t0)) END, t0) AS j
+  FROM pair_ranks CROSS JOIN range({N_PERM + 1}) r(replicate)),
+rhos AS (SELECT a.replicate, corr(a.rx, b.ry) AS rho FROM placed a JOIN placed b ON b.replicate = a.replicate AND b.ticker = a.ticker AND b.j = a.i GROUP BY a.replicate)
+SELECT any_value(o.rho) AS actual_rho, avg(n.rho) AS null_mean, quantile_cont(n.rho, 0.95) AS null_95, count(n.rho) AS n_perm,
+  (count_if(n.rho >= o.rho) + 1) / (count(n.rho) + 1.0::DOUBLE) AS p_value
+FROM rhos n CROSS JOIN (SELECT rho FROM rhos WHERE replicate = 0) o WHERE n.replicate > 0"""
+
+
+@query("placebo_rho", wrap(sql_with("pair_ranks", f"SELECT * FROM ({PLACEBO})"), "actual_rho null_mean null_95 p_value", "n_perm"))
 def placebo_rho(spark, folder):
-    return stats.permutation_test(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_perm=1000)
+    return stats.permutation_test(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_perm=N_PERM)
 
 
 @query("evaluation_suite")

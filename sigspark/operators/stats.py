@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.ranking import average_ranks, split_points, windowed_ranks
+from sigspark.functions.numeric import total
+from sigspark.operators.ranking import average_ranks, piece_of, split_points, windowed_ranks
 
 MIN_OBSERVATIONS = 5
 
@@ -99,11 +100,46 @@ def with_p_value(correlations: DataFrame, rho: str = "rho", n: str = "n") -> Dat
 
 # --------------------------------------------------------------------------- binning
 
+BINS = 4096
+
+
+def order_statistics(df: DataFrame, value: str, ranks: list[int]) -> dict[int, float]:
+    """The values at these ranks (from 0) of a column without nulls, exact.
+
+    Each pass counts the rows of every interval that holds a wanted rank in equal bins (a partly aggregated sum) and goes
+    on with the bins that hold one, down to a single value: no task ever holds or sorts the column. A pass cuts an interval
+    to a ``BINS``-th, so a few of them do, however many rows there are.
+    """
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
+    held = {rank: (ends["lo"], ends["hi"], 0) for rank in ranks}  # interval and how many rows lie below it
+    v = F.col(value).cast("double")
+    while intervals := sorted({(lo, hi) for lo, hi, _ in held.values() if lo < hi}):
+        inside = F.array(*[F.when((v >= lo) & (v <= hi), F.lit(n)) for n, (lo, hi) in enumerate(intervals)])
+        rows = df.select(v.alias("_v"), F.explode(F.array_compact(inside)).alias("_i"))
+        low, width = (F.get(F.array(*map(F.lit, ends)), F.col("_i")) for ends in ([lo for lo, _ in intervals], [hi - lo for lo, hi in intervals]))
+        place = F.least(F.floor((F.col("_v") - low) / width * BINS), F.lit(BINS - 1))
+        counts = rows.groupBy("_i", place.alias("_b")).agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+        found: dict[tuple, list] = {}
+        for r in counts.collect():  # at most BINS rows for each interval
+            found.setdefault(intervals[r["_i"]], []).append(r)
+        for rank, (lo, hi, below) in held.items():
+            for r in sorted(found.get((lo, hi), []), key=lambda r: r["_b"]):
+                if rank < below + r["n"]:
+                    held[rank] = (r["lo"], r["hi"], below)
+                    break
+                below += r["n"]
+    return {rank: lo for rank, (lo, _, _) in held.items()}
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int = 5) -> list[float]:
     """Inner edges with linear interpolation (exact)."""
-    probabilities = [i / bins for i in range(1, bins)]
-    row = df.agg(F.percentile(value, F.array(*[F.lit(p) for p in probabilities])).alias("edges")).collect()[0]
-    return list(row["edges"] or [])
+    known = df.filter(F.col(value).isNotNull())
+    n = known.count()
+    if not n:
+        return []
+    places = [i * (n - 1) / bins for i in range(1, bins)]
+    at = order_statistics(known, value, sorted({r for p in places for r in (math.floor(p), math.ceil(p))}))
+    return [at[math.floor(p)] if p == int(p) else (math.ceil(p) - p) * at[math.floor(p)] + (p - math.floor(p)) * at[math.ceil(p)] for p in places]
 
 
 def bin_of(value: Column, edges: list[float]) -> Column:
@@ -152,7 +188,7 @@ def quintile_spread(days: DataFrame, column: str = "abs_ar0", value: str = "max_
 def block_draws(blocks: DataFrame, block: str, n_boot: int, seed: int, n_blocks: int) -> DataFrame:
     """(replicate, block, draws): how often each block is drawn in each replicate.
 
-    Draws come from hashes of (seed, replicate, slot), so they can be recomputed anywhere.
+    Draws are the first 32 bits of the MD5 of "seed|replicate|slot", so they can be recomputed anywhere.
     Blocks are numbered in order; there are as many as calendar weeks, a bounded number.
     """
     numbered = blocks.select(block).distinct().select(
@@ -161,7 +197,7 @@ def block_draws(blocks: DataFrame, block: str, n_boot: int, seed: int, n_blocks:
     draws = (
         blocks.sparkSession.range(n_boot)
         .select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_slot"))
-        .select("replicate", F.pmod(F.xxhash64(F.lit(seed), "replicate", "_slot"), F.lit(n_blocks)).cast("int").alias("_b"))
+        .select("replicate", (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "replicate", "_slot")), 1, 8), 16, 10).cast("long") % n_blocks).cast("int").alias("_b"))
         .groupBy("replicate", "_b")
         .agg(F.count(F.lit(1)).alias("draws"))
     )
@@ -238,13 +274,62 @@ def bootstrap_spearman(
     return _interval(replicates, point, ci)
 
 
+def bootstrap_quantile_spread(
+    days: DataFrame, column: str = "abs_ar0", value: str = "max_impact_score", bins: int = 5, block: str = "week", n_boot: int = 1000,
+    seed: int = 42, ci: float = 0.95,
+) -> DataFrame:
+    """Block-bootstrap interval of the mean of ``column`` in the highest less that in the lowest quantile bin of ``value``.
+
+    A replicate has quantile edges of its own: those of the rows with draw counts as multiplicities. Its distinct values
+    are put in order once, with the draws that precede each (per value range, so no task orders a replicate of any size);
+    an edge is read off where the wanted rank falls. A replicate whose edges coincide has no bins and no value.
+    """
+    complete = days.dropna(subset=[value]).select(block, F.col(value).cast("double").alias("_x"), F.col(column).alias("_y"))
+    point = quintile_spread(days.dropna(subset=[value]), column, value, bins).select(F.col("spread").alias("estimate"))
+    n_blocks = _block_count(complete, block)
+    if n_blocks <= 2:
+        return point.withColumns({"ci_low": F.col("estimate"), "ci_high": F.col("estimate"), "n_replicates": F.lit(0).cast("bigint")})
+    points = split_points(complete, ["_x"]).get("_x", [])
+    sums = complete.groupBy(block, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_s"), F.count("_y").alias("_c"))
+    drawn = sums.join(block_draws(complete, block, n_boot, seed, n_blocks), block).groupBy("replicate", "_x").agg(
+        *[F.sum(F.col(name) * F.col("draws")).alias(name) for name in ("_n", "_s", "_c")]
+    ).withColumn("_piece", piece_of(F.col("_x"), points))
+    pieces = drawn.groupBy("replicate", "_piece").agg(F.sum("_n").alias("_size"))
+    earlier = Window.partitionBy("replicate").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("replicate", "_piece", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"), F.sum("_size").over(Window.partitionBy("replicate")).alias("_all"))
+    within = Window.partitionBy("replicate", "_piece").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    placed = drawn.join(pieces, ["replicate", "_piece"]).withColumn("_before", F.col("_offset") + F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    spot = [F.lit(float(i)) * (F.col("_all") - 1) / bins for i in range(bins + 1)]
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n")), F.col("_x")))
+
+    ends = [at(side(p)).alias(f"_{name}{i}") for i, p in enumerate(spot) for name, side in (("l", F.floor), ("h", F.ceil))]
+    edges = placed.groupBy("replicate").agg(F.max("_all").alias("_all"), *ends)
+    edge = lambda i: F.col(f"_l{i}") + (spot[i] - F.floor(spot[i])) * (F.col(f"_h{i}") - F.col(f"_l{i}"))
+    edges = edges.select("replicate", *[edge(i).alias(f"_e{i}") for i in range(bins + 1)])
+    apart = F.lit(True)
+    for i in range(bins):
+        apart = apart & (F.col(f"_e{i}") < F.col(f"_e{i + 1}"))
+    edges = edges.filter(apart).select("replicate", F.col("_e1").alias("_first"), F.col(f"_e{bins - 1}").alias("_last"))
+    low, high = F.col("_x") <= F.col("_first"), F.col("_x") > F.col("_last")
+    mean = lambda side: F.sum(F.when(side, F.col("_s"))) / F.nullif(F.sum(F.when(side, F.col("_c"))), F.lit(0))
+    replicates = drawn.join(edges, "replicate").groupBy("replicate").agg((mean(high) - mean(low)).alias("value"))
+    return _interval(replicates, point, ci)
+
+
+#: Replicates of a permutation test are taken in so many parts, each with a copy of the groups' ranks.
+PARTS = 16
+
+
 def permutation_test(
     days: DataFrame, x: str, y: str, group: str = "ticker", key: str = "t0", n_perm: int = 1000, seed: int = 42
 ) -> DataFrame:
     """Placebo for Spearman rho: y is shuffled within each group.
 
-    Shuffling moves y between rows but not its overall ranks, so ranks are taken once and only
-    rank values move. Group sizes are bounded by the calendar (one row per group and day).
+    Shuffling moves y between rows but not its overall ranks, so ranks are taken once. A group (one row a day, bounded by
+    the calendar) is one array of rank pairs; a replicate puts the array's second ranks in the order of a seeded hash, and
+    all it hands on is the group's sum of products. Rows are neither multiplied nor joined with themselves.
     """
     complete = days.dropna(subset=[x, y]).select(group, key, x, y)
     points = split_points(complete, [x, y])
@@ -253,22 +338,25 @@ def permutation_test(
         ranked = complete
         for name in (x, y):
             ranked = ranked.join(average_ranks(weighted, name, "_w", [], points[name], f"_r_{name}"), name)
+        middle = F.lit((complete.count() + 1) / 2)
+        ranked = ranked.withColumns({f"_r_{name}": F.col(f"_r_{name}") - middle for name in (x, y)})
     else:
         ranked = windowed_ranks(weighted, [x, y], "_w", [])
-    ranked = ranked.select(group, key, F.col(f"_r_{x}").alias("_rx"), F.col(f"_r_{y}").alias("_ry"))
-    perms = F.explode(F.sequence(F.lit(0), F.lit(n_perm)))
-    # replicate 0 keeps the observed order
-    shuffled_by = F.when(F.col("replicate") == 0, F.struct(F.lit(0).cast("bigint"), F.col(key))).otherwise(
-        F.struct(F.xxhash64(F.lit(seed), F.col("replicate"), F.col(key), F.col(group)), F.col(key))
-    )
-    spread = ranked.withColumn("replicate", perms)
-    plain = Window.partitionBy("replicate", group).orderBy(key)
-    mixed = Window.partitionBy("replicate", group).orderBy(shuffled_by)
-    # both windows share one partitioning: position i of the plain order receives the i-th mixed rank
-    placed = spread.withColumns({"_i": F.row_number().over(plain), "_j": F.row_number().over(mixed)})
-    left = placed.select("replicate", group, F.col("_i").alias("_p"), "_rx")
-    right = placed.select("replicate", group, F.col("_j").alias("_p"), "_ry")
-    rho = left.join(right, ["replicate", group, "_p"]).groupBy("replicate").agg(F.corr("_rx", "_ry").alias("rho"))
+    pair = F.struct(F.col(key).alias("key"), F.col(f"_r_{x}").alias("rx"), F.col(f"_r_{y}").alias("ry"))
+    groups = ranked.groupBy(F.col(group).cast("string").alias("_g")).agg(F.array_sort(F.collect_list(pair)).alias("_h"))
+    spread = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(PARTS, n_perm + 1) - 1)))).repartition("_g", "_part")
+
+    def products(replicate: Column) -> Column:
+        def drawn(day: Column) -> Column:
+            return F.when(replicate > 0, F.md5(F.concat_ws("|", F.lit(seed), replicate, "_g", day["key"].cast("string")))).otherwise("")  # 0 keeps the observed order
+
+        mixed = F.array_sort(F.transform("_h", lambda day: F.struct(drawn(day).alias("draw"), day["key"].alias("key"), day["ry"].alias("ry"))))
+        return total(F.zip_with("_h", mixed, lambda a, b: a["rx"] * b["ry"]))
+
+    numbers = F.sequence(F.col("_part"), F.lit(n_perm), F.lit(min(PARTS, n_perm + 1)))
+    dots = spread.select(F.inline(F.transform(numbers, lambda r: F.struct(r.alias("replicate"), products(r).alias("dot")))))
+    scale = ranked.agg(F.sqrt(F.sum(F.col(f"_r_{x}") ** 2) * F.sum(F.col(f"_r_{y}") ** 2)).alias("scale")).first()["scale"]
+    rho = dots.groupBy("replicate").agg((F.sum("dot") / F.nullif(F.lit(scale), F.lit(0.0))).alias("rho"))
     observed = F.max(F.when(F.col("replicate") == 0, F.col("rho")))
     null = F.when(F.col("replicate") > 0, F.col("rho"))
     summary = rho.agg(
@@ -276,13 +364,10 @@ def permutation_test(
         F.avg(null).alias("null_mean"),
         F.percentile(null, F.lit(0.95)).alias("null_95"),
         F.count(null).alias("n_perm"),
+        F.collect_list(null).alias("_null"),
     )
-    beaten = rho.agg(F.collect_list(null).alias("_null"), observed.alias("_obs")).select(
-        F.size(F.filter("_null", lambda value: value >= F.col("_obs"))).alias("_beaten")
-    )
-    return side_by_side(summary, beaten).select(
-        "actual_rho", "null_mean", "null_95", "n_perm", ((F.col("_beaten") + 1) / (F.col("n_perm") + 1)).alias("p_value")
-    )
+    beaten = F.size(F.filter("_null", lambda value: value >= F.col("actual_rho")))
+    return summary.select("actual_rho", "null_mean", "null_95", "n_perm", ((beaten + 1) / (F.col("n_perm") + 1)).alias("p_value"))
 
 
 # --------------------------------------------------------------------------- classification

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sigspark import fixed_values as fv
 from sigspark.functions.text import week_key
+from sigspark.operators import stats
 from sigspark.operators.alignment import Calendar, align_to_sessions, eligible_signals
 
 HIGH_CONFIDENCE = 0.8
@@ -135,3 +136,16 @@ def market_days(signals: DataFrame, returns: DataFrame, calendar: Calendar, benc
         F.col("date").alias("t0"), F.col("ret").alias("spy_ret"), F.abs("ret").alias("abs_spy_ret")
     )
     return days.join(bench, "t0")
+
+
+def market_study(days: DataFrame) -> DataFrame:
+    """Rank correlations of market days: impact with the size of the benchmark's return, sentiment with the return itself.
+
+    (pair, rho, n, p_value, few); a pair with fewer than five days has no correlation.
+    """
+    out = None
+    for pair, x, y in (("impact_abs_return", "max_impact_score", "abs_spy_ret"), ("sentiment_return", "mean_sentiment_score", "spy_ret")):
+        found = stats.spearman(days, x, y)
+        found = found.select(F.lit(pair).alias("pair"), F.when(F.col("n") >= stats.MIN_OBSERVATIONS, F.col("rho")).alias("rho"), "n")
+        out = found if out is None else out.unionByName(found)
+    return stats.with_p_value(out)
