@@ -169,18 +169,24 @@ def spearman_impact_car(spark, folder):
     return stats.spearman(stored_observations(spark, folder), "max_impact_score", "abs_car_0_2")
 
 
-P_VALUES = """SELECT * FROM (
-WITH r AS (SELECT sent_bucket, rho, n, n - 2 AS nu, 1 - rho * rho AS c FROM (
-  SELECT sent_bucket, corr(rx, ry) AS rho, count(*) AS n FROM (
-    SELECT sent_bucket, rank() OVER (PARTITION BY sent_bucket ORDER BY max_impact_score) + (count(*) OVER (PARTITION BY sent_bucket, max_impact_score) - 1) / 2.0::DOUBLE AS rx,
-      rank() OVER (PARTITION BY sent_bucket ORDER BY abs_ar0) + (count(*) OVER (PARTITION BY sent_bucket, abs_ar0) - 1) / 2.0::DOUBLE AS ry
-    FROM obs WHERE abs_ar0 IS NOT NULL AND max_impact_score IS NOT NULL) GROUP BY sent_bucket)),
-s AS (SELECT sent_bucket, sum(term) AS more FROM (
-  SELECT sent_bucket, exp(sum(ln(c * CASE WHEN nu % 2 = 1 THEN 2.0::DOUBLE * k / (2 * k + 1) ELSE (2.0::DOUBLE * k - 1) / (2 * k) END)) OVER (PARTITION BY sent_bucket ORDER BY k)) AS term
-  FROM r JOIN (SELECT range AS k FROM range(1, 200000)) ON k <= (nu - 2) // 2) GROUP BY sent_bucket)
-SELECT r.sent_bucket, rho, n, CASE WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (asin(abs(rho)) + CASE WHEN nu > 1 THEN abs(rho) * sqrt(c) * (1 + coalesce(more, 0)) ELSE 0 END)
+def p_of(rows: str) -> str:
+    """(key, rho, n) with two-sided p-values: the finite series of Student's distribution for whole degrees of freedom."""
+    return f"""SELECT * FROM (WITH r AS (SELECT *, n - 2 AS nu, 1 - rho * rho AS c FROM ({rows})),
+s AS (SELECT key, sum(term) AS more FROM (
+  SELECT key, exp(sum(ln(c * CASE WHEN nu % 2 = 1 THEN 2.0::DOUBLE * k / (2 * k + 1) ELSE (2.0::DOUBLE * k - 1) / (2 * k) END)) OVER (PARTITION BY key ORDER BY k)) AS term
+  FROM r JOIN (SELECT range AS k FROM range(1, 200000)) ON k <= (nu - 2) // 2) GROUP BY key)
+SELECT r.key, rho, n, CASE WHEN nu % 2 = 1 THEN 1 - 2 / pi() * (asin(abs(rho)) + CASE WHEN nu > 1 THEN abs(rho) * sqrt(c) * (1 + coalesce(more, 0)) ELSE 0 END)
   ELSE 1 - abs(rho) * (1 + coalesce(more, 0)) END AS p_value, CASE WHEN n < 30 THEN 1 ELSE 0 END AS few
-FROM r LEFT JOIN s ON r.sent_bucket = s.sent_bucket WHERE nu > 0)"""
+FROM r LEFT JOIN s ON r.key = s.key WHERE nu > 0)"""
+
+
+def spearman_of(rows: str, x: str, y: str, key: str = "'all'") -> str:
+    rank = lambda v: f"rank() OVER (PARTITION BY {key} ORDER BY {v}) + (count(*) OVER (PARTITION BY {key}, {v}) - 1) / 2.0::DOUBLE"
+    return f"""SELECT key, corr(rx, ry) AS rho, count(*) AS n FROM (SELECT {key} AS key, {rank(x)} AS rx, {rank(y)} AS ry
+  FROM ({rows}) WHERE {x} IS NOT NULL AND {y} IS NOT NULL) GROUP BY key"""
+
+
+P_VALUES = f"SELECT key AS sent_bucket, rho, n, p_value, few FROM ({p_of(spearman_of('SELECT * FROM obs', 'max_impact_score', 'abs_ar0', 'sent_bucket'))})"
 
 
 @query("spearman_p_values", wrap(sql_with("obs", P_VALUES), "rho p_value", "n few"))
@@ -217,17 +223,28 @@ def leave_one_out(spark, folder):
     return stats.partial_spearman(others, "max_impact_score", "abs_ar0", "trailing_vol_20").select("xy", "xz", "yz", "n", "partial_rho")
 
 
-@query("market_day", wrap(sql_with("sig_t0 rets", """
-SELECT m.*, r.ret AS spy_ret, abs(r.ret) AS abs_spy_ret FROM (
+define("market", """SELECT m.*, r.ret AS spy_ret, abs(r.ret) AS abs_spy_ret FROM (
   SELECT t0, max(impact_score) AS max_impact_score,
     sum(sentiment_score * attribution_weight) / sum(attribution_weight) AS mean_sentiment_score, count(*) AS signal_count
   FROM sig_t0 WHERE ticker = 'MARKET' AND t0 IS NOT NULL GROUP BY t0) m
-JOIN rets r ON r.ticker = 'SPY' AND r.date = m.t0 AND r.ret IS NOT NULL"""),
-    "max_impact_score mean_sentiment_score spy_ret abs_spy_ret", "signal_count"))
+JOIN rets r ON r.ticker = 'SPY' AND r.date = m.t0 AND r.ret IS NOT NULL""", "sig_t0", "rets")
+
+
+@query("market_day", wrap(sql_with("market", "SELECT * FROM market"), "max_impact_score mean_sentiment_score spy_ret abs_spy_ret", "signal_count"))
 def market_day(spark, folder):
     return tickerday.market_days(signals(spark, folder), price_returns(spark, folder), calendar(spark, folder))
 
 
+MARKET_PAIRS = f"""SELECT 'impact_abs_return' AS key, rho, n FROM ({spearman_of('SELECT * FROM market', 'max_impact_score', 'abs_spy_ret')})
+UNION ALL SELECT 'sentiment_return', rho, n FROM ({spearman_of('SELECT * FROM market', 'mean_sentiment_score', 'spy_ret')})"""
+
+
+@query("market_study", wrap(sql_with("market", f"SELECT key AS pair, rho, n, p_value, few FROM ({p_of(MARKET_PAIRS)})"), "rho p_value", "n few"))
+def market_study(spark, folder):
+    """Impact against the size of the benchmark's return, sentiment against the return, with n, p and the few-days mark."""
+    return tickerday.market_study(market_day(spark, folder))
+
+
 DAILY = "SELECT ticker, CAST(ts AS DATE) AS date, count(*) AS volume FROM signals_v WHERE source = 'twitter_kaggle' GROUP BY ALL"
 
 
@@ -263,35 +280,45 @@ def volume_signal(spark, folder):
 
 N_BOOT, N_PERM = 1000, 1000
 #: Blocks drawn with replacement, a row for each slot of each replicate.
-define("drawn", f"""SELECT replicate, week FROM (
+def drawn_of(rows: str) -> str:
+    """Blocks drawn with replacement, a row for each slot of each replicate."""
+    return f"""SELECT replicate, week FROM (
   SELECT replicate, ('0x' || substr(md5(concat_ws('|', 42, replicate, slot)), 1, 8))::BIGINT % n AS b
-  FROM range({N_BOOT}) r(replicate) CROSS JOIN (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT week) AS n FROM obs))) d
-JOIN (SELECT week, row_number() OVER (ORDER BY week) - 1 AS b FROM (SELECT DISTINCT week FROM obs)) w USING (b)""", "obs")
+  FROM range({N_BOOT}) r(replicate) CROSS JOIN (SELECT unnest(range(n)) AS slot, n FROM (SELECT count(DISTINCT week) AS n FROM ({rows})))) d
+JOIN (SELECT week, row_number() OVER (ORDER BY week) - 1 AS b FROM (SELECT DISTINCT week FROM ({rows}))) w USING (b)"""
+
+
+def interval_of(point: str, values: str) -> str:
+    """``point`` gives v; ``values`` gives a v for each replicate."""
+    return f"""SELECT (SELECT v FROM ({point})) AS estimate, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(v) AS n_replicates
+FROM ({values}) WHERE v IS NOT NULL AND NOT isnan(v)"""
+
+
+define("drawn", drawn_of("SELECT * FROM obs"), "obs")
 define("replica", "SELECT d.replicate, o.max_impact_score AS x, o.abs_ar0 AS y, o.ar1, o.sent_bucket FROM drawn d JOIN obs o USING (week)", "drawn", "obs")
 
 
-SPEARMAN_CI = """
-SELECT (SELECT corr(rx, ry) FROM (SELECT rank() OVER (ORDER BY max_impact_score) + (count(*) OVER (PARTITION BY max_impact_score) - 1) / 2.0::DOUBLE AS rx,
-    rank() OVER (ORDER BY abs_ar0) + (count(*) OVER (PARTITION BY abs_ar0) - 1) / 2.0::DOUBLE AS ry FROM obs WHERE abs_ar0 IS NOT NULL)) AS estimate,
-  quantile_cont(rho, 0.025) AS ci_low, quantile_cont(rho, 0.975) AS ci_high, count(*) AS n_replicates FROM (
-  SELECT replicate, corr(rx, ry) AS rho FROM (
-    SELECT replicate, rank() OVER (PARTITION BY replicate ORDER BY x) + (count(*) OVER (PARTITION BY replicate, x) - 1) / 2.0::DOUBLE AS rx,
-      rank() OVER (PARTITION BY replicate ORDER BY y) + (count(*) OVER (PARTITION BY replicate, y) - 1) / 2.0::DOUBLE AS ry FROM replica WHERE y IS NOT NULL)
-  GROUP BY replicate) WHERE rho IS NOT NULL AND NOT isnan(rho)"""
+def spearman_ci_of(x: str, y: str) -> str:
+    rows = f"SELECT * FROM obs WHERE {x} IS NOT NULL AND {y} IS NOT NULL"
+    replicas = f"SELECT d.replicate, o.{x}, o.{y} FROM ({drawn_of(rows)}) d JOIN ({rows}) o USING (week)"
+    return interval_of(f"SELECT rho AS v FROM ({spearman_of(rows, x, y)})", f"SELECT rho AS v FROM ({spearman_of(replicas, x, y, 'replicate')})")
 
 
-@query("bootstrap_spearman_ci", wrap(sql_with("replica obs", SPEARMAN_CI), "estimate ci_low ci_high", "n_replicates"))
+INTERVAL = "estimate ci_low ci_high"
+
+
+@query("bootstrap_spearman_ci", wrap(sql_with("obs", spearman_ci_of("max_impact_score", "abs_ar0")), INTERVAL, "n_replicates"))
 def bootstrap_spearman_ci(spark, folder):
     return stats.bootstrap_spearman(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_boot=N_BOOT)
 
 
-def _long_short(rows: str, group: str = "") -> str:
-    return f"SELECT avg(ar1) FILTER (sent_bucket = 'Positive') - avg(ar1) FILTER (sent_bucket = 'Negative') AS v FROM {rows} {group}"
+def long_short_ci_of(column: str, where: str = "true") -> str:
+    rows = f"SELECT * FROM obs WHERE {where}"
+    difference = f"avg({column}) FILTER (sent_bucket = 'Positive') - avg({column}) FILTER (sent_bucket = 'Negative') AS v"
+    return interval_of(f"SELECT {difference} FROM ({rows})", f"SELECT {difference} FROM ({drawn_of(rows)}) d JOIN ({rows}) o USING (week) GROUP BY replicate")
 
 
-@query("bootstrap_long_short_ci", wrap(sql_with("replica obs", f"""
-SELECT ({_long_short('obs')}) AS estimate, quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(v) AS n_replicates
-FROM ({_long_short('replica', 'GROUP BY replicate')})"""), "estimate ci_low ci_high", "n_replicates"))
+@query("bootstrap_long_short_ci", wrap(sql_with("obs", long_short_ci_of("ar1")), INTERVAL, "n_replicates"))
 def bootstrap_long_short_ci(spark, folder):
     return stats.bootstrap_mean_difference(
         stored_observations(spark, folder), "ar1", F.col("sent_bucket") == "Positive", F.col("sent_bucket") == "Negative", n_boot=N_BOOT
@@ -304,10 +331,12 @@ def _spread(rows: str, key: str) -> str:
 WHERE e0 < e1 AND e1 < e2 AND e2 < e3 AND e3 < e4 AND e4 < e5 GROUP BY {key}"""
 
 
-@query("bootstrap_quintile_ci", wrap(sql_with("replica obs", f"""
-SELECT (SELECT v FROM ({_spread('SELECT 0 AS one, max_impact_score AS x, abs_ar0 AS y FROM obs', 'one')})) AS estimate,
-  quantile_cont(v, 0.025) AS ci_low, quantile_cont(v, 0.975) AS ci_high, count(v) AS n_replicates FROM ({_spread('SELECT replicate, x, y FROM replica', 'replicate')})"""),
-    "estimate ci_low ci_high", "n_replicates"))
+QUINTILE_CI = interval_of(
+    f"SELECT v FROM ({_spread('SELECT 0 AS one, max_impact_score AS x, abs_ar0 AS y FROM obs', 'one')})", _spread("SELECT replicate, x, y FROM replica", "replicate")
+)
+
+
+@query("bootstrap_quintile_ci", wrap(sql_with("replica obs", QUINTILE_CI), INTERVAL, "n_replicates"))
 def bootstrap_quintile_ci(spark, folder):
     return stats.bootstrap_quantile_spread(stored_observations(spark, folder), n_boot=N_BOOT)
 
@@ -328,9 +357,47 @@ def placebo_rho(spark, folder):
     return stats.permutation_test(stored_observations(spark, folder), "max_impact_score", "abs_ar0", n_perm=N_PERM)
 
 
-@query("evaluation_suite")
+def _suite_sql() -> str:
+    """Every part of the study as (suite, key, metric, value) rows, each from SQL of its own."""
+    quintile = "SELECT quantile_cont(max_impact_score, [0.2, 0.4, 0.6, 0.8]) AS e FROM obs"
+    confident = "round(weighted_sentiment_confidence, 9) >= 0.8::DOUBLE"
+    control = "max_impact_score abs_ar0 trailing_vol_20"
+    partial = lambda where: f"SELECT 'all' AS key, * FROM ({PARTIAL.format(ranks=_ranks(control, where))})"
+    buckets = lambda where: f"SELECT sent_bucket AS key, count(*) AS n, avg(ar1) AS mean_ar1, avg(car_0_2) AS mean_car_0_2 FROM obs WHERE {where} GROUP BY 1"
+    everything = lambda sql: f"SELECT 'all' AS key, * FROM ({sql})"
+    correlation, interval = "rho n p_value few", f"{INTERVAL} n_replicates"
+    parts = [("size", "SELECT 'all' AS key, count(*) AS n_observations, (count(*) < 30)::INT AS too_few FROM obs", "n_observations too_few")]
+    for target in ("abs_ar0", "abs_car_0_2"):
+        parts.append((f"spearman.{target}", p_of(spearman_of("SELECT * FROM obs", "max_impact_score", target)), correlation))
+        parts.append((f"spearman_ci.{target}", everything(spearman_ci_of("max_impact_score", target)), interval))
+    parts.append(("quintiles", f"""SELECT 1 + (max_impact_score > e[1])::INT + (max_impact_score > e[2])::INT + (max_impact_score > e[3])::INT + (max_impact_score > e[4])::INT AS key,
+      count(*) AS n, avg(max_impact_score) AS mean_impact, avg(abs_ar0) AS mean_abs_ar0, avg(abs_car_0_2) AS mean_abs_car FROM obs, ({quintile}) GROUP BY 1""",
+      "n mean_impact mean_abs_ar0 mean_abs_car"))
+    parts.append(("quintile_spread", f"SELECT 'all' AS key, avg(abs_ar0) FILTER (max_impact_score > e[4]) - avg(abs_ar0) FILTER (max_impact_score <= e[1]) AS spread FROM obs, ({quintile})", "spread"))
+    parts.append(("quintile_spread_ci", everything(QUINTILE_CI), interval))
+    for name, where in (("sentiment", "true"), ("sentiment_confident", confident)):
+        parts.append((name, buckets(where), "n mean_ar1 mean_car_0_2"))
+        parts += [(f"{name}.long_short.{column}", everything(long_short_ci_of(column, where)), interval) for column in ("ar1", "car_0_2")]
+    parts.append(("events", "SELECT dominant_event_type AS key, count(*) AS n, avg(abs_ar0) AS mean_abs_ar0, avg(ar0) AS mean_ar0, avg(car_0_2) AS mean_car_0_2 FROM obs GROUP BY 1",
+      "n mean_abs_ar0 mean_ar0 mean_car_0_2"))
+    parts.append(("volatility_control", f"SELECT a.*, p.p_value, p.few FROM ({partial('true')}) a JOIN ({p_of('SELECT key, partial_rho AS rho, n FROM (' + partial('true') + ')')}) p USING (key)",
+      "xy xz yz n partial_rho p_value few"))
+    others = "ticker <> 'TK00'"
+    parts.append(("without_dominant", p_of(spearman_of(f"SELECT * FROM obs WHERE {others}", "max_impact_score", "abs_ar0")), correlation))
+    parts.append(("without_dominant_partial", partial(others), "xy xz yz n partial_rho"))
+    parts.append(("placebo", everything(PLACEBO), "actual_rho null_mean null_95 n_perm p_value"))
+    parts.append(("market", p_of(MARKET_PAIRS), correlation))
+    rows = [
+        f"SELECT 'between.{suite}' AS suite, CAST(key AS VARCHAR) AS key, unnest({metrics.split()}) AS metric, unnest([{', '.join(f'CAST({m} AS DOUBLE)' for m in metrics.split())}]) AS value FROM ({sql})"
+        for suite, sql, metrics in parts
+    ]
+    return " UNION ALL ".join(rows)
+
+
+@query("evaluation_suite", wrap(sql_with("obs replica pair_ranks market", _suite_sql()), "value"))
 def evaluation_suite(spark, folder):
-    return evaluate(stored_observations(spark, folder), "between", n_boot=1000, n_perm=1000, dominant="TK00")
+    days = stored_observations(spark, folder)
+    return evaluate(days, "between", n_boot=N_BOOT, n_perm=N_PERM, dominant="TK00", market=persist_table(market_day(spark, folder), "market-days"))
 
 
 # -------------------------------------------------------------------- classification metrics

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators import stats
-from sigspark.operators.tickerday import group_means
+from sigspark.operators.tickerday import group_means, market_study
 from sigspark.sources.writers import long_metrics
 
 
-def evaluate(days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000, seed: int = 42, dominant: str = "TSLA") -> DataFrame:
+def evaluate(
+    days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000, seed: int = 42, dominant: str = "TSLA", market: DataFrame | None = None
+) -> DataFrame:
     """(suite, key, metric, value) rows; fewer than five observations give only the count.
 
-    ``days`` is used by every part, so pass a table (or a persisted result), not a long plan.
+    ``days`` is used by every part, so pass a table (or a persisted result), not a long plan. ``market`` brings the market
+    days (``market_days``), whose correlations with the benchmark are then part of the suite.
     """
     size = days.agg(F.count(F.lit(1)).alias("n_observations"))
     n = size.collect()[0]["n_observations"]
@@ -26,7 +29,8 @@ def evaluate(days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000,
             parts.append(long_metrics(interval, f"{era}.spearman_ci.{target}"))
         parts.append(long_metrics(stats.quintile_means(days), f"{era}.quintiles", ["bin"]))
         parts.append(long_metrics(stats.quintile_spread(days), f"{era}.quintile_spread"))
-        confident = days.filter(F.col("weighted_sentiment_confidence") >= 0.8)
+        parts.append(long_metrics(stats.bootstrap_quantile_spread(days, n_boot=n_boot, seed=seed), f"{era}.quintile_spread_ci"))
+        confident = days.filter(F.round("weighted_sentiment_confidence", 9) >= 0.8)  # whatever the order of its sums
         for name, rows in (("sentiment", days), ("sentiment_confident", confident)):
             parts.append(long_metrics(group_means(rows, "sent_bucket", ["ar1", "car_0_2"]), f"{era}.{name}", ["sent_bucket"]))
             for column in ("ar1", "car_0_2"):
@@ -43,6 +47,8 @@ def evaluate(days: DataFrame, era: str, n_boot: int = 1000, n_perm: int = 1000,
         parts.append(long_metrics(stats.partial_spearman(others, *control), f"{era}.without_dominant_partial"))
         placebo = stats.permutation_test(days, "max_impact_score", "abs_ar0", n_perm=n_perm, seed=seed)
         parts.append(long_metrics(placebo, f"{era}.placebo"))
+    if market is not None:
+        parts.append(long_metrics(market_study(market), f"{era}.market", ["pair"]))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
