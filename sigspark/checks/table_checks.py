@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sigspark.checks import text_sql  # noqa: F401  (defines the linking SQL)
 from sigspark.checks.registry import query, wrap
-from sigspark.checks.views import UNIVERSE, events, prices, signals, sql_with, table, texts
+from sigspark.checks.views import UNIVERSE, define, events, prices, signals, sql_with, table, texts
 from sigspark.operators import profile, sampling
 from sigspark.operators import query as q
 from sigspark.operators.linking import link_entities
@@ -207,26 +207,43 @@ def month_quota_sample(spark, folder):
     return sample.groupBy(F.col("ticker_hint").alias("priority"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stratified_sample")
+DRAWN = "md5(concat_ws('|', 42, text_id))"
+define("sample_rows", "SELECT *, CAST(text_id AS VARCHAR) AS id FROM signals_v", "signals_v")
+
+
+@query("stratified_sample", wrap(sql_with("sample_rows", f"""
+SELECT id AS text_id, event_type FROM (
+  SELECT r.id, r.event_type, r.rank <= q.quota AS taken FROM (
+    SELECT id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {DRAWN}, id) AS rank FROM sample_rows) r
+  LEFT JOIN (SELECT event_type, round_even(count(*) / sum(count(*)) OVER () * 500, 0) AS quota FROM sample_rows WHERE event_type IS NOT NULL GROUP BY event_type) q USING (event_type))
+ORDER BY NOT coalesce(taken, false), id LIMIT 500""")))
 def stratified_sample(spark, folder):
-    return sampling.stratified_sample(_sample_rows(spark, folder), 500, "event_type").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.stratified_sample(_sample_rows(spark, folder), 500, "event_type").select("text_id", "event_type")
 
 
-@query("rare_class_sample")
+@query("rare_class_sample", wrap(sql_with("sample_rows", f"""
+SELECT * FROM (WITH rare AS (SELECT id, source, event_type FROM sample_rows WHERE event_type = 'Credit Event' ORDER BY {DRAWN}, id LIMIT 3000),
+need AS (SELECT 3000 - count(*) AS n FROM rare),
+rest AS (SELECT *, row_number() OVER (PARTITION BY source, event_type ORDER BY {DRAWN}, id) AS rank, greatest(1, round_even(count(*) OVER (PARTITION BY source, event_type) / count(*) OVER ()
+  * (SELECT n FROM need), 0)) AS quota FROM sample_rows WHERE event_type <> 'Credit Event')
+SELECT id AS text_id, source, event_type FROM rare
+UNION ALL SELECT id, source, event_type FROM (SELECT *, row_number() OVER (ORDER BY rank > quota, {DRAWN}, id) AS place FROM rest) WHERE place <= (SELECT n FROM need))""")))
 def rare_class_sample(spark, folder):
-    picked = sampling.rare_preserving_sample(_sample_rows(spark, folder), 3000, ("Credit Event",))
-    return picked.groupBy("source", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.rare_preserving_sample(_sample_rows(spark, folder), 3000, ("Credit Event",)).select("text_id", "source", "event_type")
 
 
-@query("uniform_sample")
+@query("uniform_sample", wrap(sql_with("sample_rows", f"SELECT id AS text_id, ticker FROM sample_rows ORDER BY {DRAWN}, id LIMIT 500")))
 def uniform_sample(spark, folder):
     return sampling.uniform_sample(_sample_rows(spark, folder), 500).select("text_id", "ticker")
 
 
-@query("label_sheet")
+@query("label_sheet", wrap(sql_with("linked", f"""
+SELECT CAST(text_id AS VARCHAR) AS text_id, source, md5(CASE WHEN source IN ('newsapi', 'gdelt') THEN coalesce(title, text) ELSE text END) AS text_md5, '' AS my_label FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY {DRAWN}, CAST(text_id AS VARCHAR)) AS place FROM linked WHERE is_relevant AND source IN ('twitter_kaggle', 'newsapi', 'gdelt'))
+WHERE place <= 40""")))
 def label_sheet(spark, folder):
     linked = link_entities(texts(spark, folder)).withColumn("text_id", F.col("text_id").cast("string"))
-    return sampling.label_sheet(linked).select("text_id", "source", "my_label")
+    return sampling.label_sheet(linked).select("text_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), "my_label")
 
 
 # ------------------------------------------------------------------ price tables
