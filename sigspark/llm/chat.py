@@ -2,7 +2,8 @@
 
 A turn's content is an array of parts of type text, image, audio or document. The visitor goes through the parts in
 order: text is escaped, any other part becomes a numbered placeholder, and its reference and its expanded token count
-are recorded. The template marks turns with three control strings, all of which begin with ``<|``; inside texts and
+are recorded. A text part that begins with ``|`` and is not a turn's first part gets a ``\\`` before it, so that parts which
+are harmless alone cannot make a control string together. The template marks turns with three control strings, all of which begin with ``<|``; inside texts and
 roles ``\\`` becomes ``\\\\`` and ``<|`` becomes ``<\\|``, so ``<|`` stands in the output only where the template put it,
 and dropping each ``\\`` that stands before another character gives the text back.
 
@@ -62,7 +63,10 @@ def visit(parts: Column) -> tuple[Column, Column]:
     def flatten(part: Column, place: Column) -> Column:
         kind = kind_of(part)
         mark = F.concat(F.lit("<|"), kind, F.lit(":"), place.cast("string"), F.lit("|>"))
-        return F.when(kind == "text", escape(part["text"])).otherwise(mark)
+        body = escape(part["text"])
+        # the part before may end in "<"
+        body = F.when((place > 0) & F.startswith(body, F.lit("|")), F.concat(F.lit("\\"), body)).otherwise(body)
+        return F.when(kind == "text", body).otherwise(mark)
 
     def record(part: Column, place: Column) -> Column:
         return F.struct(place.alias("place"), kind_of(part).alias("kind"), part["ref"].alias("ref"), expanded_tokens(part).alias("tokens"))
