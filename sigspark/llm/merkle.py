@@ -3,8 +3,9 @@
 A paragraph is a line; its leaves are its sentences (a sentence ends at ``.``, ``!`` or ``?`` before a blank, and one of
 over 100 code points is cut after each 100). A section
 ends after a paragraph whose digest begins with 0, 1, 2 or 3, a rule of the content alone, so an edit does not move the
-sections behind it. Digests are MD5: a paragraph's over its leaves', a section's over its paragraphs', the root over the
-sections' and the number of code points. Equal texts have equal roots, and where roots differ the branches that differ
+sections behind it. Digests are MD5: a paragraph's over its leaves' and its own text's, a section's over its paragraphs',
+the root over the sections' and the number of code points. The paragraph's own text is in its digest since leaves alone do
+not tell where it was cut (U+0001, the mark of a cut, may also stand in a text). Equal texts have equal roots, and where roots differ the branches that differ
 lead to the edit (``changed_paragraphs``).
 
 A fingerprint is a string: the root, then for each paragraph the first eight digits of its digest and of its leaves',
@@ -21,6 +22,7 @@ go by their texts; a single row is its own successor; an empty table gives no ro
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -49,7 +51,8 @@ def with_tree(df: DataFrame, text: str, name: str) -> DataFrame:
     ends = lambda digest: F.substr(digest, F.lit(1), F.lit(1)) <= "3"
     short = lambda digest: F.substr(digest, F.lit(1), F.lit(SHOWN))
     grown = df.withColumn("_leaves", leaves(F.col(text)))
-    grown = grown.withColumn("_paragraphs", F.transform("_leaves", lambda a: F.md5(F.array_join(a, ""))))
+    whole = lambda line, cut: F.md5(F.concat(F.array_join(cut, ""), F.md5(line)))
+    grown = grown.withColumn("_paragraphs", F.zip_with(F.split(F.col(text), "\n", -1), "_leaves", whole))
     marked = F.transform("_paragraphs", lambda p: F.concat(p, F.when(ends(p), "|").otherwise("")))
     sections = F.filter(F.split(F.array_join(marked, ""), r"\|", -1), lambda s: s != "")
     root = F.md5(F.concat(F.array_join(F.transform(sections, F.md5), ""), F.length(text).cast("string")))
@@ -84,15 +87,19 @@ def changed_paragraphs(old: Column, new: Column) -> Column:
     return F.when(root_of(old) == root_of(new), F.array().cast("array<int>")).otherwise(F.filter(places, lambda i: i.isNotNull()))
 
 
+def constant(values: list, kind: str) -> Column:
+    """Driver values as one literal, however many they are; the optimizer evaluates it once."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
 def range_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most the value: a search in two steps over literal arrays."""
+    """How many of the sorted bounds are at most the value: a search in two steps over constant arrays."""
     if not bounds:
         return F.lit(0)
     step = math.isqrt(len(bounds) - 1) + 1
-    longs = lambda values: F.array(*(F.lit(v).cast("long") for v in values))
-    blocks = F.array(*(longs(bounds[i : i + step]) for i in range(0, len(bounds), step)))
+    blocks = constant([bounds[i : i + step] for i in range(0, len(bounds), step)], "array<array<bigint>>")
     below = lambda values: F.size(F.filter(values, lambda b: b <= value))
-    block = F.greatest(below(longs(bounds[::step])), F.lit(1)) - 1
+    block = F.greatest(below(constant(bounds[::step], "array<bigint>")), F.lit(1)) - 1
     return block * step + below(F.element_at(blocks, block + 1))
 
 
@@ -111,7 +118,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     starts = [first for _, first in firsts]
     nth = range_of(F.col("_order"), starts)
     if starts:
-        arrays = (F.array(*(F.lit(v).cast("long") for v in starts)), F.array(*(F.lit(previous[v]).cast("int") for v in starts)))
+        arrays = (constant(starts, "array<bigint>"), constant([previous[v] for v in starts], "array<int>"))
         is_first = F.element_at(arrays[0], nth) == F.col("_order")
         before = F.when(is_first, F.element_at(arrays[1], nth))
     else:

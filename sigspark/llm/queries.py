@@ -114,7 +114,7 @@ t AS (SELECT doc_id, next_id, 0 AS side, text FROM e UNION ALL SELECT doc_id, ne
 l AS (SELECT *, list_transform(string_split(text, chr(10)), lambda line: list_transform(string_split(
   regexp_replace(regexp_replace(line, '([.!?]) ', '\\1' || chr(1) || ' ', 'g'), '([^' || chr(1) || ']{{{merkle.LEAF_CHARS}}})', '\\1' || chr(1), 'g'),
   chr(1)), lambda x: md5(x))) AS leaves FROM t),
-p AS (SELECT *, list_transform(leaves, lambda a: md5(array_to_string(a, ''))) AS paragraphs FROM l),
+p AS (SELECT *, list_transform(list_zip(leaves, string_split(text, chr(10))), lambda z: md5(array_to_string(z[1], '') || md5(z[2]))) AS paragraphs FROM l),
 s AS (SELECT *, list_filter(string_split(array_to_string(list_transform(paragraphs, lambda p: p || CASE WHEN substr(p, 1, 1) <= '3' THEN '|' ELSE '' END), ''), '|'),
   lambda x: x <> '') AS sections FROM p),
 r AS (SELECT *, md5(array_to_string(list_transform(sections, lambda x: md5(x)), '') || length(text)) AS root FROM s),
