@@ -161,7 +161,8 @@ def sentencepiece_query(spark: SparkSession, folder: str) -> DataFrame:
 def suffix_dedup_query(spark: SparkSession, folder: str) -> DataFrame:
     """Each document without the bytes that a 400-byte string covers which also starts elsewhere."""
     cut = suffixes.suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"))
-    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    kept = (F.col("n_bytes") - F.col("n_removed")).alias("n_kept")
+    return cut.select("row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", kept)
 
 
 @query("op9_token_counts")
