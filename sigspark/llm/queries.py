@@ -177,11 +177,11 @@ SHARD_SQL = None  # the order is random; tests hold it to its law
 
 @query("op10_sharding", SHARD_SQL)
 def shard_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents written in one random order, dealt out to the shards by turns, and read back from the shards."""
+    """All documents written in one random order, cut into shards of equal counts, and read back from the shards."""
     documents = table(spark, folder, "documents")
     sized = sharding.sized_columns()
     path = shared_dir(spark, "shards")
-    sharding.write_shards(documents.withColumns(sized), path, SHARDS, ["doc_id", *sized], "size")
+    sharding.write_shards(documents, path, SHARDS, ["doc_id", *sized.values()], sized["size"])
     written = spark.read.schema(StructType([*documents.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])).parquet(path).withColumns(sized)
     return written.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
