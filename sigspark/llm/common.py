@@ -34,6 +34,11 @@ def keyed_rows(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
 
 def worker_memory(name: str) -> dict:
-    """A dict that this worker process keeps between tasks. The package's functions travel to workers by value, so its modules keep nothing there."""
+    """A dict that this worker process keeps between tasks, until another owner asks for one: a worker is used for one stage
+    after the other, and what the stage before kept would only add up. The package's functions travel to workers by value, so
+    its modules keep nothing there."""
     home = sys.modules.setdefault("sigspark_worker_memory", ModuleType("sigspark_worker_memory"))
-    return home.__dict__.setdefault(name, {})
+    owned = home.__dict__.setdefault("owned", {})
+    for other in [o for o in owned if o != name]:
+        owned.pop(other).clear()
+    return owned.setdefault(name, {})

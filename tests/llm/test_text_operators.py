@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.llm.common import worker_memory
 from sigspark.llm import chat, line_dedup, merkle, pieces, queries, sharding, token_cache
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -290,3 +291,11 @@ def test_sharding_query_writes_whole_records(spark):
     assert told(map(tuple, written.collect())) == told(map(tuple, docs.collect()))
     want = sharding.shard_table(docs, queries.SHARDS)
     assert told(map(tuple, got.select(want.columns).collect())) == told(map(tuple, want.collect()))
+
+
+def test_worker_memory_is_that_of_one_stage():
+    first = worker_memory("first")
+    first["x"] = "kept"
+    assert worker_memory("first") is first and first == {"x": "kept"}
+    assert worker_memory("second") == {} and first == {}
+    assert worker_memory("first") == {}
