@@ -121,7 +121,8 @@ define("strat", """SELECT t0 AS rebalance_date, return_date, sum(weight * ret) A
   sum(weight * ret) - 0.0005::DOUBLE * max(turnover) AS strat_5bps, sum(weight * ret) - 0.001::DOUBLE * max(turnover) AS strat_10bps
 FROM fwd GROUP BY t0, return_date""", "fwd")
 define("held", "SELECT return_date, ticker, ret FROM fwd", "fwd")
-define("driving", """SELECT *, row_number() OVER (PARTITION BY t0, ticker ORDER BY abs(contribution) DESC, impact_score DESC) AS rank FROM (
+define("driving", """SELECT *, row_number() OVER (PARTITION BY t0, ticker ORDER BY abs(adj_sentiment * weight_w) DESC, impact_score DESC,
+  ('0x' || substr(md5(CAST(text_id AS VARCHAR)), 1, 15))::BIGINT, text_id) AS rank FROM (
   SELECT *, CASE WHEN s > 0 THEN adj_sentiment * weight_w / s ELSE 0 END AS contribution, weight_w / s AS weight_share FROM (
     SELECT *, abs(sentiment_score) < 0.2::DOUBLE AS filtered_by_deadband, sum(weight_w) OVER (PARTITION BY t0, ticker) AS s FROM port))""", "port")
 
@@ -180,9 +181,9 @@ def driving_signals(spark, folder):
 
 
 @query("driving_signal_ranks", wrap(sql_with("driving", """
-SELECT t0, ticker, rank, abs(contribution) AS size FROM driving"""), "size", "rank"))
+SELECT t0, ticker, rank, text_id, abs(contribution) AS size FROM driving"""), "size", "rank"))
 def driving_signal_ranks(spark, folder):
-    return pf.driving_signals(prepared(spark, folder), PARAMS).select("t0", "ticker", "rank", F.abs("contribution").alias("size"))
+    return pf.driving_signals(prepared(spark, folder), PARAMS).select("t0", "ticker", "rank", "text_id", F.abs("contribution").alias("size"))
 
 
 @query("contribution_sums", wrap(sql_with("driving", "SELECT t0, ticker, sum(contribution) AS raw_score FROM driving GROUP BY ALL"), "raw_score"))
@@ -204,21 +205,23 @@ def high_impact_days(spark, folder):
     return pf.high_impact_days(pf.driving_signals(prepared(spark, folder), PARAMS)).select("t0", "impact_score")
 
 
-@query("signal_explanation", sql_with("driving", """
-SELECT text_id, CASE WHEN filtered_by_deadband THEN 'Mild sentiment (' || printf('%+.2f', sentiment_score) || ') is inside the deadband.'
-  WHEN sentiment_score < 0 THEN 'Negative sentiment is weighted 1.25x.'
-  ELSE 'Positive sentiment (' || printf('%+.2f', sentiment_score) || ') is used as it is.' END AS explanation FROM (
-    SELECT * REPLACE (CASE WHEN round(abs(sentiment_score) * 1000) % 10 = 5 THEN sentiment_score + sign(sentiment_score) * 1e-9
-      ELSE sentiment_score END AS sentiment_score) FROM driving)"""))
+@query("signal_explanation", wrap(sql_with("driving signals_v", """
+SELECT s.text_id, s.ticker, d.t0 AS rebalance_date, d.rank, d.contribution, s.adj AS adj_sentiment, s.w AS weight_w, coalesce(d.s, s.w) AS sum_weights, coalesce(d.weight_share, 1) AS weight_share,
+  CASE WHEN abs(s.sentiment_score) < 0.2::DOUBLE THEN 'Mild sentiment (' || printf('%+.2f', nudged) || ') is inside the deadband.'
+  WHEN s.sentiment_score < 0 THEN 'Negative sentiment is weighted 1.25x.' ELSE 'Positive sentiment (' || printf('%+.2f', nudged) || ') is used as it is.' END AS explanation FROM (
+    SELECT *, CASE WHEN abs(sentiment_score) < 0.2::DOUBLE THEN 0 WHEN sentiment_score < 0 THEN sentiment_score * 1.25::DOUBLE ELSE sentiment_score END::DOUBLE AS adj,
+      greatest(0, attribution_weight * (impact_score / 10)) AS w,
+      CASE WHEN round(abs(sentiment_score) * 1000) % 10 = 5 THEN sentiment_score + sign(sentiment_score) * 1e-9 ELSE sentiment_score END AS nudged FROM signals_v) s
+LEFT JOIN driving d ON d.text_id = s.text_id AND d.ticker = s.ticker"""), "contribution adj_sentiment weight_w sum_weights weight_share", "rank"))
 def signal_explanation(spark, folder):
-    # half-way cents are nudged outward on both sides: the engines format ties differently
-    rows = prepared(spark, folder)
-    driving = pf.driving_signals(rows, PARAMS)
+    """All signals; half-way cents are nudged outward on both sides: the engines format ties differently."""
+    everything = signals(spark, folder)
+    rows = pf.explained_signals(everything, pf.driving_signals(prepared(spark, folder), PARAMS), PARAMS)
     tie = F.round(F.abs("sentiment_score") * 1000) % 10 == 5
-    nudged = driving.withColumn(
-        "sentiment_score", F.when(tie, F.col("sentiment_score") + F.signum("sentiment_score") * 1e-9).otherwise(F.col("sentiment_score"))
+    nudged = F.when(tie, F.col("sentiment_score") + F.signum("sentiment_score") * 1e-9).otherwise(F.col("sentiment_score"))
+    return pf.explain_signals(rows.withColumn("sentiment_score", nudged), PARAMS).select(
+        "text_id", "ticker", "rebalance_date", "rank", "contribution", "adj_sentiment", "weight_w", "sum_weights", "weight_share", "explanation"
     )
-    return pf.explain_signals(nudged, PARAMS).select("text_id", "explanation")
 
 
 @query("forward_returns", wrap(sql_with("fwd", "SELECT t0, return_date, ticker, weight, ret FROM fwd"), "weight ret"))

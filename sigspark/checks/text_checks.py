@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigspark import fixed_values as fv
 from sigspark.checks import text_sql  # noqa: F401  (defines the linking and classification SQL)
 from sigspark.checks.registry import query, wrap
-from sigspark.checks.text_sql import quoted
+from sigspark.checks.text_sql import quoted, spacing_sql
 from sigspark.checks.views import define, signals, sql_with, table, texts
 from sigspark.config import EventRules
 from sigspark.functions import text as tx
@@ -81,13 +81,6 @@ def normalized_title(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.md5(tx.normalized_title(F.col("text")).cast("binary")).alias("title_md5"))
 
 
-@query("token_spacing")
-def token_spacing(spark, folder):
-    """Spacing repair of whole texts (look-behind patterns: tested on fixtures, not in SQL)."""
-    documents = table(spark, folder, "documents")
-    return documents.select("doc_id", F.length(tx.fix_spacing(F.col("text"))).alias("n_chars"))
-
-
 HEADLINES = """SELECT doc_id, concat('Report ', doc_id, ' ', replace(text, '|', ' '),
   [' - Daily Desk', ' | Example.test', ' - profit drops again', ' — wire news', ' - One - Two Three', ''][doc_id % 6 + 1]) AS title FROM documents"""
 SUFFIX = r"\s+(?:–|—|-|\|)\s+([^–—|\-]+)$"
@@ -113,14 +106,23 @@ def publisher_suffix(spark, folder):
     return headlines(spark, folder).select("doc_id", tx.strip_publisher(F.col("title")).alias("title"))
 
 
-@query("clean_for_model", r"""
-SELECT text_id, md5(array_to_string(w[1:128], ' ')) AS clean_md5, len(w[1:128]) AS n_words FROM (
-  SELECT text_id, list_filter(string_split_regex(regexp_replace(text, '\$([A-Za-z]{1,5}(?:\.[A-Za-z]{1,2})?)\b', ' \1 ', 'g'), '\s+'), lambda x: x <> '') AS w
-  FROM texts_v WHERE source = 'twitter_kaggle')""".replace("FROM texts_v", "FROM (" + sql_with("texts_v", "SELECT * FROM texts_v") + ")"))
+define("unpublished", rf"""SELECT text_id, trim(text, E' \n\t\r') AS t FROM texts_v WHERE source <> 'twitter_kaggle'
+UNION ALL
+SELECT text_id, trim(regexp_replace(t, {quoted(SUFFIX)}, ''), E' \n\t\r') FROM (
+  SELECT text_id, t, trim(regexp_extract(t, {quoted(SUFFIX)}, 1), E' \n\t\r') AS s FROM unpublished WHERE regexp_matches(t, {quoted(SUFFIX)}))
+WHERE s <> '' AND len(string_split_regex(s, '\s+')) < 8 AND NOT regexp_matches(s, {quoted(fv.FINANCE_WORDS_PATTERN)}, 'i')
+  AND (regexp_matches(s, '^\p{{Lu}}') OR contains(s, '.'))""", "texts_v")
+define("model_text", rf"""SELECT text_id, source, array_to_string(list_filter(string_split_regex(body, '\s+'), lambda x: x <> '')[1:128], ' ') AS clean FROM (
+  SELECT text_id, source, CASE WHEN source = 'twitter_kaggle' THEN regexp_replace(text, '\$([A-Za-z]{{1,5}}(?:\.[A-Za-z]{{1,2}})?)\b', ' \1 ', 'g') ELSE {spacing_sql('kept')} END AS body
+  FROM texts_v LEFT JOIN (SELECT text_id, arg_min(t, length(t)) AS kept FROM unpublished GROUP BY text_id) USING (text_id))""", "texts_v", "unpublished")
+
+
+@query("clean_for_model", sql_with("model_text", "SELECT text_id, md5(clean) AS clean_md5, len(list_filter(string_split(clean, ' '), lambda x: x <> '')) AS n_words FROM model_text"))
 def clean_for_model(spark, folder):
-    tweets = texts(spark, folder).filter(F.col("source") == "twitter_kaggle")
+    """Texts of all sources, each cleaned by its source's rule."""
+    rows = texts(spark, folder)
     clean = tx.clean_for_model(F.col("text"), F.col("source"))
-    return tweets.select("text_id", clean.alias("c")).select("text_id", F.md5(F.col("c").cast("binary")).alias("clean_md5"), tx.word_count(F.col("c")).alias("n_words"))
+    return rows.select("text_id", clean.alias("c")).select("text_id", F.md5(F.col("c").cast("binary")).alias("clean_md5"), tx.word_count(F.col("c")).alias("n_words"))
 
 
 @query("title_description", r"""
@@ -361,42 +363,51 @@ class LengthScorer:
         return np.array([[len(text) % 7, len(text) % 5, len(text) % 3] for text in batch], dtype=float)
 
 
-CLEAN_TWEETS = r"""SELECT text_id, array_to_string(list_filter(string_split_regex(regexp_replace(text,
-  '\$([A-Za-z]{1,5}(?:\.[A-Za-z]{1,2})?)\b', ' \1 ', 'g'), '\s+'), lambda x: x <> '')[1:128], ' ') AS clean
-FROM texts_v WHERE source = 'twitter_kaggle'"""
+PROBABILITIES = """SELECT text_id, exp(n % 5) / s AS p_pos, exp(n % 3) / s AS p_neg, exp(n % 7) / s AS p_neu FROM (
+  SELECT text_id, n, exp(n % 7) + exp(n % 5) + exp(n % 3) AS s FROM (SELECT text_id, length(clean) AS n FROM model_text WHERE clean <> ''))
+UNION ALL SELECT text_id, 0, 0, 1 FROM model_text WHERE clean = ''"""
+SCORES = f"""SELECT text_id, p_pos - p_neg AS sentiment_score, CASE WHEN p_pos >= p_neg AND p_pos >= p_neu THEN 'positive' WHEN p_neg >= p_neu THEN 'negative' ELSE 'neutral' END
+  AS sentiment_label, greatest(p_pos, p_neg, p_neu) AS sentiment_confidence, p_pos, p_neg, p_neu FROM ({PROBABILITIES})"""
 
 
-@query("model_scores", wrap(sql_with("texts_v", f"""
-SELECT text_id, p_pos - p_neg AS sentiment_score, CASE WHEN p_pos >= p_neg AND p_pos >= p_neu THEN 'positive' WHEN p_neg >= p_neu THEN 'negative' ELSE 'neutral' END
-  AS sentiment_label, greatest(p_pos, p_neg, p_neu) AS sentiment_confidence, p_pos, p_neg, p_neu FROM (
-  SELECT text_id, exp(n % 5) / s AS p_pos, exp(n % 3) / s AS p_neg, exp(n % 7) / s AS p_neu FROM (
-    SELECT text_id, n, exp(n % 7) + exp(n % 5) + exp(n % 3) AS s FROM (SELECT text_id, length(clean) AS n FROM ({CLEAN_TWEETS}))))"""),
-    "sentiment_score sentiment_confidence p_pos p_neg p_neu"))
+@query("model_scores", wrap(sql_with("model_text", SCORES), "sentiment_score sentiment_confidence p_pos p_neg p_neu"))
 def model_scores(spark, folder):
     """Distinct cleaned texts are scored once in Arrow batches and joined back by content hash."""
-    tweets = texts(spark, folder).filter(F.col("source") == "twitter_kaggle").select("text_id", "text", "source")
-    return sentiment.score_texts(tweets, LengthScorer).select("text_id", *sentiment.SCORE_COLUMNS)
+    rows = texts(spark, folder).select("text_id", "text", "source")
+    return sentiment.score_texts(rows, LengthScorer).select("text_id", *sentiment.SCORE_COLUMNS)
 
 
-@query("cache_misses", sql_with("texts_v", f"""
-SELECT DISTINCT sha1(clean) AS cache_key FROM ({CLEAN_TWEETS}) WHERE sha1(clean) NOT IN (SELECT sha1(clean) FROM ({CLEAN_TWEETS}) WHERE text_id % 3 = 0 AND text_id % 2 = 0)"""))
+BLANKED = SCORES.replace("FROM model_text", "FROM (SELECT text_id, CASE WHEN text_id % 7 < 3 THEN '' ELSE clean END AS clean FROM model_text)")
+
+
+@query("blank_scores", wrap(sql_with("model_text", BLANKED), "sentiment_score sentiment_confidence p_pos p_neg p_neu"))
+def blank_scores(spark, folder):
+    """Blank and null texts are neutral with full confidence; no model sees them."""
+    rows = texts(spark, folder).select("text_id", "source", F.when(F.col("text_id") % 7 == 0, " \n\t").when(F.col("text_id") % 7 > 2, F.col("text")).alias("text"))
+    return sentiment.score_texts(rows, LengthScorer).select("text_id", *sentiment.SCORE_COLUMNS)
+
+
+@query("cache_misses", sql_with("model_text", """
+SELECT DISTINCT sha1(clean) AS cache_key FROM model_text WHERE sha1(clean) NOT IN (SELECT sha1(clean) FROM model_text WHERE text_id % 3 = 0 AND text_id % 2 = 0)"""))
 def cache_misses(spark, folder):
-    tweets = texts(spark, folder).filter(F.col("source") == "twitter_kaggle")
-    cached = sentiment.cache_misses(tweets.filter("text_id % 3 = 0 AND text_id % 2 = 0"), None)
-    return sentiment.cache_misses(tweets, cached).select("cache_key")
+    rows = texts(spark, folder)
+    cached = sentiment.cache_misses(rows.filter("text_id % 3 = 0 AND text_id % 2 = 0"), None)
+    return sentiment.cache_misses(rows, cached).select("cache_key")
 
 
-@query("cached_scores", wrap(sql_with("texts_v", "SELECT text_id, 3 AS n_runs, 1 AS n_rows FROM texts_v WHERE source = 'twitter_kaggle'"), "", "n_runs n_rows"))
+@query("cached_scores", wrap(sql_with("model_text", f"SELECT text_id, 3 AS n_runs, 1 AS n_rows, p_pos FROM ({SCORES})"), "p_pos", "n_runs n_rows"))
 def cached_scores(spark, folder):
     """Three runs on one cache folder: each returns every row once, with the same scores."""
-    tweets = texts(spark, folder).filter(F.col("source") == "twitter_kaggle").select("text_id", "text", "source")
+    rows = texts(spark, folder).select("text_id", "text", "source")
     path, runs = shared_dir(spark, "scores"), None
-    for n, part in enumerate((tweets.filter("text_id % 2 = 0"), tweets, tweets)):
+    for n, part in enumerate((rows.filter("text_id % 2 = 0"), rows, rows)):
         scored = persist_table(sentiment.score_texts(part, LengthScorer, cache_path=path).select("text_id", "p_pos", F.lit(n).alias("run")), "scored")
         runs = scored if runs is None else runs.unionByName(scored)
     # even ids took part in all three runs, odd ones in two
-    counted = runs.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("run", "p_pos").alias("r"), F.count_distinct("p_pos").alias("v"))
-    return counted.select("text_id", (F.col("n") + F.pmod("text_id", F.lit(2))).alias("n_runs"), (F.col("n") / F.col("r") * F.col("v")).cast("long").alias("n_rows"))
+    counted = runs.groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("run", "p_pos").alias("r"), F.count_distinct("p_pos").alias("v"), F.max("p_pos").alias("p_pos")
+    )
+    return counted.select("text_id", (F.col("n") + F.pmod("text_id", F.lit(2))).alias("n_runs"), (F.col("n") / F.col("r") * F.col("v")).cast("long").alias("n_rows"), "p_pos")
 
 
 @query("sanity_report", wrap(sql_with("texts_v", r"""

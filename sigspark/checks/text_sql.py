@@ -181,3 +181,16 @@ FROM (SELECT *, round(greatest(1, least(10, 1 + 9 * (0.45::DOUBLE * sev + 0.3::D
 linking_sql("texts_v")
 classification_sql("linked")
 emission_sql()
+
+
+# look-arounds become captures; twice, since a captured neighbour belongs to the next match as well
+SPACING = [
+    (r"(\d)(?:\s+,\s*|\s*,\s+)(\d)", r"\1,\2"), (r"(\d)(?:\s+\.\s*|\s*\.\s+)(\d)", r"\1.\2"), (r"([a-zA-Z0-9])\s+-\s+([a-z0-9])", r"\1-\2"), (r"\s+([,.:;?!])(\s|$)", r"\1\2"),
+]
+
+
+def spacing_sql(column: str) -> str:
+    for pattern, to in SPACING:
+        for _ in range(2):
+            column = f"regexp_replace({column}, '{pattern}', '{to}', 'g')"
+    return column

@@ -10,6 +10,7 @@ from sigspark.config import Dictionary
 from sigspark.functions import text as tx
 from sigspark.operators.dedupe import keep_first, merge_by_url, merge_labels, step_counts
 from sigspark.operators.linking import link_entities
+from sigspark.operators.stats import side_by_side
 from sigspark.schemas import TEXT_COLUMNS
 
 
@@ -18,6 +19,22 @@ def _texts(df: DataFrame, **values) -> DataFrame:
     return df.withColumns({**missing, **values}).select(*TEXT_COLUMNS)
 
 
+def with_duplicates(audit: DataFrame, kept: DataFrame, labels: str | None = None) -> DataFrame:
+    """The audit with the rows that deduplication took out and the final count.
+
+    ``labels``: the column with the labels of a merged row; each stands for one row that was kept under that label, which
+    tells duplicates under one label from those under several.
+    """
+    counts = kept.agg(F.count(F.lit(1)).alias("final_count"), F.sum(F.size(labels) if labels else F.lit(1)).alias("_labelled"))
+    both = side_by_side(audit, counts)
+    firsts = F.coalesce("_labelled", F.lit(0))
+    if labels:
+        both = both.withColumns({"dropped_per_hint_dups": F.col("kept_count") - firsts, "dropped_cross_hint_dups": firsts - F.col("final_count")})
+    else:
+        both = both.withColumn("dropped_dups", F.col("kept_count") - F.col("final_count"))
+    return both.drop("_labelled")
+
+
 def clean_tweets(raw: DataFrame, universe: list[str] | None = None) -> DataFrame:
     """Tweets with hint, cleaned text and first URL; filters are left to the caller."""
     hint = F.upper("`Stock Name`")
@@ -39,6 +56,7 @@ def normalize_tweets(raw: DataFrame, universe: list[str] | None = None) -> tuple
     valid = cleaned.filter(F.col("in_universe") & ~short).drop("in_universe").withColumn("undated", F.col("ts").isNull())
     first = keep_first(valid, ["text", "ticker_hint"], ["undated", "ts", "url"], "dup_count", null_keys_pass=False).drop("undated")
     merged = merge_labels(first, ["text", "ts"], "ticker_hint", ["ticker_hint", "url"])
+    audit = with_duplicates(audit, merged, "ticker_hints")
     source = F.lit("twitter_kaggle")
     texts = _texts(
         merged, source=source, author_or_domain=F.lit("twitter.com"),
@@ -64,7 +82,7 @@ def normalize_articles(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
         first, source=source, ticker_hints=F.array("ticker_hint"),
         text_id=tx.text_id(source, F.col("ts"), F.col("ticker_hint"), F.col("text")),
     )
-    return texts, audit
+    return texts, with_duplicates(audit, first)
 
 
 def normalize_headlines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +102,7 @@ def normalize_headlines(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         first, source=source, text=F.col("title"), ticker_hints=F.array("ticker_hint"),
         text_id=tx.text_id(source, F.col("ts"), F.col("ticker_hint"), F.col("title")),
     )
-    return texts, audit
+    return texts, with_duplicates(audit, first)
 
 
 def normalize_labelled(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +119,7 @@ def normalize_labelled(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         first, source=source, author_or_domain=source, ts=F.lit(None).cast("timestamp"),
         ticker_hints=F.array().cast("array<string>"), text_id=tx.text_id(source, None, None, F.col("text")),
     )
-    return texts, audit
+    return texts, with_duplicates(audit, first)
 
 
 def link_tweets(texts: DataFrame, dictionary: Dictionary | None = None) -> DataFrame:

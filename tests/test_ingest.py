@@ -28,7 +28,8 @@ def test_tweets(spark, tmp_path):
     assert merged["dup_count"] == 3 and str(merged["ts"]) == "2022-01-02 09:00:00"
     assert rows["Record quarter for phones"]["dup_count"] == 1
     counts = audit.first().asDict()
-    assert counts == {"raw_count": 6, "dropped_non_universe": 1, "dropped_short": 1, "kept_count": 4, "kept_undated": 0}
+    assert counts == {"raw_count": 6, "dropped_non_universe": 1, "dropped_short": 1, "kept_count": 4, "kept_undated": 0,
+                      "dropped_per_hint_dups": 1, "dropped_cross_hint_dups": 1, "final_count": 2}
 
 
 def test_articles(spark, tmp_path):
@@ -49,7 +50,8 @@ def test_articles(spark, tmp_path):
     first = rows["https://n.test/1"]
     assert first["text"] == "Phones sell well. More soon" and first["dup_count"] == 2 and first["ticker_hint"] == "AAPL"
     assert first["author_or_domain"] == "Wire" and rows["https://m.test/3"]["author_or_domain"] == "m.test"
-    assert audit.first()["dropped_removed_or_empty"] == 1
+    counts = audit.first()
+    assert (counts["dropped_removed_or_empty"], counts["dropped_dups"], counts["final_count"]) == (1, 1, 2)
     (tmp_path / "Unknown_20261005_010000.json").write_text(json.dumps(payload))
     with pytest.raises(ValueError):
         readers.read_articles(spark, str(tmp_path))
@@ -67,7 +69,9 @@ def test_headlines(spark, tmp_path):
     texts, audit = ingest.normalize_headlines(readers.read_headlines(spark, str(tmp_path)))
     got = sorted((r["ticker_hint"], r["url"], r["dup_count"]) for r in texts.collect())
     assert got == [("KO", "u2", 1), ("MARKET", "u1", 2)]
-    assert audit.first()["dropped_short"] == 1
+    counts = audit.first()
+    assert counts["dropped_short"] == 1 and counts["final_count"] == 2
+    assert counts["kept_count"] == counts["dropped_dups"] + counts["final_count"]
 
 
 def test_labelled(spark, tmp_path):
