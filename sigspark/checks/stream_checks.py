@@ -28,21 +28,28 @@ def trading_day_window(spark, folder):
     return replay.trading_day_totals(signals(spark, folder))
 
 
-@query("stream_trading_day", wrap(sql_with("signals_v", f"SELECT ticker, trading_day, n_signals FROM ({WINDOW})"), "", "n_signals"))
+@query("stream_trading_day", wrap(sql_with("signals_v", WINDOW), "max_impact mean_sentiment", "n_signals"))
 def stream_trading_day(spark, folder):
-    """The same windows on a stream (complete result kept in a table by ticker and day)."""
-    totals = replay.trading_day_totals(signals_from(event_stream(spark, folder)), delay="1 hour")
-    path = shared_dir(spark, "day-totals")
+    """The same windows on a stream of four micro-batches, each of which changes every window; each is written twice, as after a retry."""
+    path = shared_dir(spark, "event-parts")
+    rows = table(spark, folder, "events")
+    for part in range(4):
+        rows.where(F.pmod("event_id", F.lit(4)) == part).coalesce(1).write.mode("append").parquet(path)
+    stream = replay.stream_parquet(spark, path, rows.schema, max_files=1).withColumn("ts", F.col("ts").cast("timestamp"))
+    totals = replay.trading_day_totals(signals_from(stream), delay="60 days")
 
-    def save(batch, number):
-        batch.write.mode("overwrite").parquet(path)
+    def twice(folder_):
+        save = replay.batch_writer(folder_)
 
-    query_ = (
-        totals.writeStream.outputMode("complete").foreachBatch(save)
-        .option("checkpointLocation", shared_dir(spark, "day-totals-state")).trigger(availableNow=True).start()
-    )
-    query_.awaitTermination()
-    return spark.read.parquet(path).select("ticker", "trading_day", "n_signals")
+        def save_twice(batch, number):
+            batch.persist()
+            save(batch, number)
+            save(batch, number)
+            batch.unpersist()
+
+        return save_twice
+
+    return replay.run_upserts(totals, "day-totals", ["ticker", "trading_day"], twice)
 
 
 @query("stream_replay", sql_with("signals_v", "SELECT text_id, ticker FROM signals_v WHERE ts >= TIMESTAMP '2024-01-10' AND ticker = 'TK02'"))
@@ -51,12 +58,16 @@ def stream_replay(spark, folder):
     return replay.run_to_table(stream.filter("ticker = 'TK02'").select("text_id", "ticker"), "replay")
 
 
-@query("stream_dedupe", "SELECT min(event_id) >= 0 AS seen, user_id, event_type FROM events GROUP BY user_id, event_type")
+@query("stream_dedupe", """SELECT count(DISTINCT event_id) AS n_kept, count(*) AS n_of_them_in_input, user_id, event_type FROM (
+  SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type) GROUP BY user_id, event_type""")
 def stream_dedupe(spark, folder):
-    """First row per key within the watermark (longer than the data here)."""
+    """One row per key within the watermark (longer than the data here), and that row is one of the key's own."""
     stream = replay.dedupe_stream(event_stream(spark, folder), ["user_id", "event_type"], delay="60 days")
     kept = replay.run_to_table(stream.select("event_id", "user_id", "event_type"), "dedupe")
-    return kept.select((F.col("event_id") >= 0).alias("seen"), "user_id", "event_type")
+    own = table(spark, folder, "events").select("event_id", "user_id", "event_type", F.lit(1).alias("own"))
+    return kept.join(own, ["event_id", "user_id", "event_type"], "left").groupBy("user_id", "event_type").agg(
+        F.count_distinct("event_id").alias("n_kept"), F.count("own").alias("n_of_them_in_input")
+    )
 
 
 @query("stream_enrich", sql_with("classified", "SELECT text_id, primary_ticker, event_type FROM classified"))

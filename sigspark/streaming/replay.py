@@ -63,3 +63,36 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def batch_writer(path: str):
+    """For ``foreachBatch``: each micro-batch in a folder of its own, named by its number. A batch that is run again writes
+    the same folder again, so a retry leaves one copy."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return save
+
+
+def latest(table: DataFrame, keys: list[str]) -> DataFrame:
+    """The newest row of each key of a table of batches: a partly aggregated maximum of the batch number."""
+    values = [name for name in table.columns if name not in (*keys, "batch")]
+    newest = table.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row"))
+    return newest.select(*[F.col(name) if name in keys else F.col(f"_row.{name}") for name in table.columns if name != "batch"])
+
+
+def run_upserts(stream: DataFrame, name: str, keys: list[str], save_with=batch_writer) -> DataFrame:
+    """Process everything available now in update mode; the current row of each key.
+
+    Every micro-batch adds the rows that it changed, so a batch costs what it changes, not the whole result, and windows
+    behind the watermark leave the state.
+    """
+    spark = stream.sparkSession
+    path, state = shared_dir(spark, f"{name}-batches"), shared_dir(spark, f"{name}-state")
+    query = (
+        stream.writeStream.outputMode("update").foreachBatch(save_with(path)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema.fields) + ", batch long"
+    return latest(spark.read.schema(schema).parquet(path), keys)
