@@ -137,12 +137,44 @@ class Vocabulary:
         """Best sum and packed ids of a whole word."""
         found = self.memory.get(word)
         if found is None:
-            best, back = self.forward(word, [0.0])
-            found = best[-1], array("i", self.trace(word, back, len(word))[0]).tobytes()
+            found = self.solve(word)
             if len(self.memory) < REMEMBERED and len(word) <= LONGEST_REMEMBERED:
                 self.memory[word] = found
         return found
 
+    def solved(self, words: list[str]) -> list[tuple[float, bytes]]:
+        """``word`` of each; what is remembered costs a look-up only."""
+        get, word = self.memory.get, self.word
+        return [get(w) or word(w) for w in words]
+
+    def solve(self, word: str) -> tuple[float, bytes]:
+        """``forward`` and ``trace`` of a text that begins at a boundary: every place is reached, and none lies in a context."""
+        n, trie, known, unknown = len(word), self.trie, self.known, self.unknown
+        best, back = [0.0, *[NEVER] * n], [0] * (n + 1)
+        for i in range(n):
+            here, branch, j = best[i], trie, i
+            for character in word[i:]:
+                found = branch.get(character)
+                if found is None:
+                    break
+                branch, score = found
+                j += 1
+                if score is not None and here + score > best[j]:
+                    best[j], back[j] = here + score, i
+            if word[i] not in known and here + unknown > best[i + 1]:
+                best[i + 1], back[i + 1] = here + unknown, i
+        ids, end = [], n
+        while end:
+            start = back[end]
+            found = known.get(word[start:end])
+            if found is not None:
+                ids.append(found)
+            else:
+                ids += [self.byte_ids[b] for b in reversed(word[start:end].encode("utf-8"))]
+            end = start
+        ids.reverse()
+        return best[n], array("i", ids).tobytes()
+
     def words(self, text: str) -> list[str]:
         return WORDS.findall(text) if self.cuts else [text] if text else []
 
@@ -201,7 +233,7 @@ class Chunk:
     def transfer(self) -> np.ndarray:
         """The matrix of best sums, left states x right states."""
         out = np.full((self.states, self.states), NEVER)
-        middle = sum(self.v.word(w)[0] for w in self.middle)
+        middle = sum([best for best, _ in self.v.solved(self.middle)])
         tail = [0.0, *[NEVER] * (self.states - 1)]
         if self.tail is not None:
             tail = self.exits(self.v.forward(self.tail, [0.0])[0], self.tail, 0)
@@ -240,8 +272,7 @@ class Chunk:
             c = len(self.context)
             back = self.v.forward(self.head, self.entry(sums))[1]
             out += self.v.trace(self.head, back, len(self.head) - (right if self.through else 0), c)[0]
-        for w in self.middle:
-            out += np.frombuffer(self.v.word(w)[1], "i4").tolist()
+        out += np.frombuffer(b"".join([ids for _, ids in self.v.solved(self.middle)]), "i4").tolist()
         if self.tail is not None:
             back = self.v.forward(self.tail, [0.0])[1]
             out += self.v.trace(self.tail, back, len(self.tail) - right)[0]
@@ -346,7 +377,7 @@ def encode(df: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text",
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 texts = part.column("text").to_pylist()
-                packed = [np.frombuffer(b"".join([v.word(w)[1] for w in v.words(written(t))]), "i4") for t in texts]
+                packed = [np.frombuffer(b"".join([ids for _, ids in v.solved(v.words(written(t)))]), "i4") for t in texts]
                 yield finish(v, part.column("doc_id"), texts, packed)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -277,6 +277,17 @@ def test_scan_of_text_without_cuts():
             assert sums[-1][0] == best[-1]
 
 
+def test_solving_a_word_is_forward_and_trace():
+    v = pieces.Vocabulary.read(token_cache.vocabulary_path("piece_bpe_32k.model"))
+    rng = random.Random(11)
+    known = sorted(v.known)
+    for _ in range(3000):
+        word = "".join(rng.choice([rng.choice(known), "é", "🙂", "x", "▁", "ß"]) for _ in range(rng.randint(1, 4)))
+        best, back = v.forward(word, [0.0])
+        total, packed = v.solve(word)
+        assert total == best[-1] and np.frombuffer(packed, "i4").tolist() == v.trace(word, back, len(word))[0]
+
+
 def test_no_word_is_lost():
     assert Counter("".join(pieces.WORDS.findall(t := "▁▁a▁b▁▁c▁"))) == Counter(t)
 
