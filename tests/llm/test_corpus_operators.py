@@ -144,6 +144,28 @@ def test_near_copy_groups(spark, odd, nothing, stars):
     assert near_copies.near_copy_groups(nothing).count() == 0
 
 
+def test_prefixes_lose_no_pair(spark):
+    """Sets that meet in one band: all pairs of 0.8 are found, and sets that only share what all have are no candidates."""
+    rng = np.random.default_rng(5)
+    sets, template = {}, rng.integers(0, 2**62, 100)
+    for k in range(120):  # under 0.8 to each other
+        sets[f"t{k:03}"] = {*template[:70].tolist(), *rng.integers(0, 2**62, 30).tolist()}
+    for n in (1, 2, 4, 5, 9, 10, 35, 45, 90):  # copies with exactly 0.8, just under it, and more
+        own = rng.integers(0, 2**62, n + 40).tolist()
+        sets[f"c{n:02}"] = set(own[:n])
+        for k, (less, more) in enumerate([(n // 5, 0), (n // 5 + 1, 0), (0, n // 4), (0, n // 4 + 1), (n // 9, n // 9)]):
+            sets[f"c{n:02}{k}"] = set(own[less : n + more])
+    jaccard = lambda x, y: len(x & y) / len(x | y) if x | y else 0.0
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if sets[a] and jaccard(sets[a], sets[b]) >= 0.8}
+    rows = [(bytearray(k.encode()), sorted(v)) for k, v in sets.items() if v]
+    table = spark.createDataFrame(rows, "node binary, hashes array<long>")
+    shared = table.selectExpr("1L AS band", "node", "size(hashes) AS n")
+    got = {(bytes(r["a"]).decode(), bytes(r["b"]).decode()) for r in near_copies.pairs_by_prefix(shared, None, table, 0.8).collect()}
+    assert want <= got and len(want) > 40 and not any(a[0] == b[0] == "t" for a, b in got)
+    linked = table.selectExpr("node", "CAST('c01' AS BINARY) AS root")
+    assert near_copies.pairs_by_prefix(shared, linked, table, 0.8).count() == 0
+
+
 def test_near_duplicates_stage(spark, odd):
     rows = near_rows(odd)
     root, _ = plain_groups([t for _, t in rows])
