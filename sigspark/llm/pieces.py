@@ -13,14 +13,16 @@ one in the chunk's later half and anywhere otherwise:
 
 1. Each chunk gives a transfer matrix: the best sum from each state at its left boundary (how many characters the piece
    across the boundary has before it) to each state at its right one. Sums add and alternatives compete, so matrices
-   combine associatively, and a scan over a text's matrices gives the best sums at each boundary.
+   combine associatively: blocks of neighbours are combined side by side, the same way again over the blocks until one
+   is left, and the best sums at each boundary are handed down through the blocks.
 2. With these, each chunk tells for each state at its right boundary the state at its left one that leads there; these
-   maps are combined from the right.
+   maps are combined from the right, in blocks as well.
 3. Each chunk is traced back by itself from its own right state, and the ids are put together.
 
-Only the matrices and maps of one text meet in one place, a few bytes for each hundred characters.
+Only a block of matrices or maps meets in one place, whatever the length of a text.
 
-Decoding puts pieces and bytes together, writes U+2581 as a blank and takes off the one in front. Defined results: a null
+Decoding puts pieces and bytes together, writes U+2581 as a blank and takes off the one in front; bytes that are no UTF-8
+become U+FFFD, and so does a null or an id that the vocabulary does not have; null ids give an empty text. Defined results: a null
 text is an empty one; U+2581 in a text comes back as a blank, as with the library; repeated rows are encoded alike; null
 ids stay null; an empty table gives no rows.
 """
@@ -29,8 +31,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -47,6 +49,8 @@ WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 CHUNK = 32_768
 UNKNOWN_PENALTY = 10.0
 NEVER = float("-inf")
+#: Values that a step of the scan combines in one task.
+SCAN_BLOCK = 64
 #: Words that a worker remembers at most, and the longest of them; others are solved each time.
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 
@@ -179,6 +183,7 @@ class Vocabulary:
         return WORDS.findall(text) if self.cuts else [text] if text else []
 
     def decode(self, ids: list[int]) -> str:
+        """The text of ids that the vocabulary has."""
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
@@ -317,39 +322,85 @@ def per_chunk(table: DataFrame, name: str, result: str, kind: str, work) -> Data
     return table.mapInArrow(each, f"key binary, nth int, {result} array<{kind}>")
 
 
-def scan_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one text: the best sums at each chunk's left boundary."""
-    rows = rows.sort_values("nth")
-    sums, out = None, []
-    for flat in rows["matrix"]:
-        matrix = np.asarray(flat, float)
-        states = int(np.sqrt(len(matrix)))
-        if sums is None:
-            sums = np.full(states, NEVER)
-            sums[0] = 0.0
-        out.append(sums.tolist())
-        sums = (sums[:, None] + matrix.reshape(states, states)).max(0)
-    return pd.DataFrame({"key": rows["key"].to_numpy(), "nth": rows["nth"].to_numpy(), "sums": out})
+@dataclass(frozen=True)
+class Scan:
+    """What a scan combines and carries on; both are arrays of ``element``. ``compose`` takes two neighbours, the left one first."""
 
+    element: str
+    backward: bool
+    start: Callable[[np.ndarray], np.ndarray]
+    carry: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    compose: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def scan_states(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one text: each chunk's right state, from the last chunk to the first."""
-    rows = rows.sort_values("nth", ascending=False)
-    state, out = 0, []
-    for mapping in rows["mapping"]:
-        out.append(state)
-        state = int(mapping[state])
-    return pd.DataFrame({"key": rows["key"].to_numpy(), "nth": rows["nth"].to_numpy(), "right": np.array(out, np.int32)})
+
+def square(flat: np.ndarray) -> np.ndarray:
+    states = int(np.sqrt(len(flat)))
+    return flat.reshape(states, states)
+
+
+def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Max-plus product of two flat matrices, a middle state at a time."""
+    one, two = square(left), square(right)
+    best = np.full(one.shape, NEVER)
+    for middle in range(len(one)):
+        np.maximum(best, one[:, middle, None] + two[middle], out=best)
+    return best.ravel()
+
+
+def first_sums(matrix: np.ndarray) -> np.ndarray:
+    return np.where(np.arange(len(square(matrix))) == 0, 0.0, NEVER)
+
+
+#: The best sums at each chunk's left boundary, and each chunk's right state (an array of one), from the last chunk to the first.
+SUMS = Scan("double", False, first_sums, lambda sums, matrix: (sums[:, None] + square(matrix)).max(0), product)
+STATES = Scan("int", True, lambda mapping: np.zeros(1, np.int32), lambda state, mapping: mapping[state], lambda left, right: left[right])
+
+
+def scan(values: DataFrame, how: Scan, block: int | None = None) -> DataFrame:
+    """(key, nth, value) -> (key, nth, carried): what comes to each value from those before it (``backward``: behind it).
+
+    The values of ``block`` neighbours are combined into one, blocks side by side; the same scan over these tells what
+    comes to each block, and from there each block is walked by itself. No task holds more than a block of values.
+    """
+    block = block or SCAN_BLOCK
+
+    def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values("nth", ascending=not how.backward)
+
+    def combine(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = None
+        for value in map(np.asarray, in_order(rows)["value"]):
+            total = value if total is None else how.compose(value, total) if how.backward else how.compose(total, value)
+        return pd.DataFrame({"key": [key[0]], "nth": [key[1]], "value": [total.tolist()]})
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        rows, out = in_order(rows), []
+        carried = rows["entry"].iloc[0]
+        for value in map(np.asarray, rows["value"]):
+            carried = how.start(value) if carried is None else np.asarray(carried)
+            out.append(carried.tolist())
+            carried = how.carry(carried, value)
+        return pd.DataFrame({"key": rows["key"].to_numpy(), "nth": rows["nth"].to_numpy(), "carried": out})
+
+    last = values.agg(F.max("nth").alias("last")).first()["last"] or 0
+    placed = values.withColumn("block", (F.col("nth") / block).cast("int"))
+    if last < block:
+        placed = placed.withColumn("entry", F.lit(None).cast(f"array<{how.element}>"))
+    else:
+        combined = placed.groupBy("key", "block").applyInPandas(combine, f"key binary, nth int, value array<{how.element}>")
+        entries = scan(persist_table(combined, "combined"), how, block)
+        placed = placed.join(entries.select("key", F.col("nth").alias("block"), F.col("carried").alias("entry")), ["key", "block"])
+    return persist_table(placed.groupBy("key", "block").applyInPandas(walk, f"key binary, nth int, carried array<{how.element}>"), "carried")
 
 
 def giant_ids(giants: DataFrame, name: str, size: int) -> DataFrame:
     """(key, ids) of giant texts, by the scan."""
     table = persist_table(chunk_table(giants, name, size), "chunks")
-    matrices = per_chunk(table, name, "matrix", "double", lambda c, row: c.transfer().ravel().tolist())
-    sums = persist_table(matrices.groupBy("key").applyInPandas(scan_sums, "key binary, nth int, sums array<double>"), "sums")
+    matrices = per_chunk(table, name, "value", "double", lambda c, row: c.transfer().ravel().tolist())
+    sums = scan(persist_table(matrices, "matrices"), SUMS).withColumnRenamed("carried", "sums")
     with_sums = table.join(sums, ["key", "nth"])
-    maps = per_chunk(with_sums, name, "mapping", "int", lambda c, row: c.left_states(row["sums"]))
-    states = persist_table(maps.groupBy("key").applyInPandas(scan_states, "key binary, nth int, right int"), "states")
+    maps = per_chunk(with_sums, name, "value", "int", lambda c, row: c.left_states(row["sums"]))
+    states = scan(persist_table(maps, "maps"), STATES).select("key", "nth", F.col("carried")[0].alias("right"))
     parts = per_chunk(with_sums.join(states, ["key", "nth"]), name, "part", "int", lambda c, row: c.ids(row["sums"], row["right"]))
     return parts.groupBy("key").agg(F.expr("flatten(transform(array_sort(collect_list(struct(nth, part))), x -> x.part))").alias("ids"))
 
@@ -390,3 +441,21 @@ def encode(df: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text",
     by_scan = giant_ids(giants.select("key", "text").dropDuplicates(["key"]), name, size)
     large = giants.join(by_scan, "key").select("doc_id", "text", "ids").mapInArrow(check, f"doc_id {kind}, {ENCODED}")
     return small.unionByName(large)
+
+
+def decode(df: DataFrame, name: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """doc_id, text per row: the text that the row's ids stand for."""
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{ids}`").cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = Vocabulary.load(vocabulary_path(name))
+        extended = replace(v, spelled=[*v.spelled, "\ufffd".encode()])
+        other = len(v.spelled)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                listed = ([i if i is not None and 0 <= i < other else other for i in x] for x in part.column("ids").to_pylist())
+                texts = pa.array([extended.decode(x) for x in listed], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), texts], names=["doc_id", "text"])
+
+    return rows.mapInArrow(each, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

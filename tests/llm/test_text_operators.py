@@ -254,6 +254,42 @@ def test_pieces(odd, nothing, library, size):
     assert pieces.encode(nothing, VOCABULARY).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 5, 64])
+def test_scan_by_blocks(spark, block):
+    """Scans over blocks are the walk from one end of a text to the other, whatever the number of values."""
+    rng = np.random.default_rng(block)
+    sums, states, want_sums, want_states = [], [], {}, {}
+    for key, n in ((b"a", 1), (b"b", 5), (b"c", 37), (b"d", 64)):
+        matrices = np.where(rng.random((n, 3, 3)) < 0.2, pieces.NEVER, -rng.integers(0, 50, (n, 3, 3)).astype(float))
+        maps = rng.integers(0, 3, (n, 3))
+        best = [0.0, pieces.NEVER, pieces.NEVER]
+        for nth in range(n):
+            want_sums[key, nth] = best
+            best = [max(best[i] + matrices[nth, i, j] for i in range(3)) for j in range(3)]
+        state = 0
+        for nth in reversed(range(n)):
+            want_states[key, nth] = [state]
+            state = int(maps[nth, state])
+        sums += [(bytearray(key), nth, matrices[nth].ravel().tolist()) for nth in range(n)]
+        states += [(bytearray(key), nth, maps[nth].tolist()) for nth in range(n)]
+    got = lambda rows, kind, how: {
+        (bytes(r["key"]), r["nth"]): r["carried"]
+        for r in pieces.scan(spark.createDataFrame(rows, f"key binary, nth int, value array<{kind}>").repartition(3), how, block).collect()
+    }
+    assert got(sums, "double", pieces.SUMS) == want_sums
+    assert got(states, "int", pieces.STATES) == want_states
+
+
+def test_decoding(spark, odd, nothing):
+    encoded = pieces.encode(odd, VOCABULARY)
+    texts = pieces.decode(encoded.withColumn("text", F.lit("clash")), VOCABULARY).collect()
+    assert told((r["doc_id"], r["text"]) for r in texts) == told((i, t.replace(pieces.BLANK, " ")) for i, t in ids_and_texts(odd))
+    rows = [(1, None), (2, []), (3, [None, 10**9, -1]), (None, None)]
+    got = pieces.decode(spark.createDataFrame(rows, "`a.b` long, x array<long>"), VOCABULARY, "a.b", "x").collect()
+    assert told(map(tuple, got)) == told([(1, ""), (2, ""), (3, "\ufffd" * 3), (None, "")])
+    assert pieces.decode(pieces.encode(nothing, VOCABULARY), VOCABULARY).count() == 0
+
+
 def test_scan_of_text_without_cuts():
     v = pieces.Vocabulary.load(token_cache.vocabulary_path(VOCABULARY))
     rng = random.Random(3)
