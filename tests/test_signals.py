@@ -134,6 +134,20 @@ def test_scoring_and_cache(spark, tmp_path):
         sentiment.score_texts(df, Bad).collect()
 
 
+def test_texts_are_cleaned_once(spark, tmp_path):
+    """Each naming of the cleaned text in a plan runs all its patterns again."""
+    Fixed = fixed_scorer("neutral", "negative", "positive")
+    df = spark.createDataFrame([("1", "Profit rises 1 , 000 - Site", "newsapi"), ("2", " ", "x"), ("3", None, "gdelt")], "text_id string, text string, source string")
+    pattern = "slumped"
+    times = lambda frame: frame._jdf.queryExecution().executedPlan().toString().count(pattern)
+    assert times(sentiment.cache_misses(df, None)) == 1
+    assert times(sentiment.score_texts(df, Fixed)) == 2  # one of the texts that are scored, one of the rows that get their scores
+    ready = sentiment.with_clean_text(df).drop("text")
+    assert ready.columns == ["text_id", "source", "clean_text"]
+    once = sentiment.score_texts(ready, Fixed, cache_path=str(tmp_path / "scores"), clean="clean_text")
+    assert {tuple(r) for r in once.select("text_id", *sentiment.SCORE_COLUMNS).collect()} == {tuple(r) for r in sentiment.score_texts(df, Fixed).select("text_id", *sentiment.SCORE_COLUMNS).collect()}
+
+
 def test_filters_and_sinks(spark, emitted, tmp_path):
     with pytest.raises(ValueError):
         query.SignalFilter(min_impact=5, max_impact=2)
