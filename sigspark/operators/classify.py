@@ -14,7 +14,7 @@ from sigspark import fixed_values as fv
 from sigspark.config import EventRules
 from sigspark.functions import text as tx
 from sigspark.functions.barrier import attach
-from sigspark.functions.pattern_index import Pattern, PatternIndex
+from sigspark.functions.pattern_index import Pattern, PatternIndex, by_parts
 
 EVENT_COLUMNS = [
     "event_type", "event_confidence", "matched_triggers", "secondary_event", "is_template", "is_calendar",
@@ -114,7 +114,7 @@ def rule_hits(text: Column, rules: EventRules | None = None) -> Column:
         return [{"event_type": event, "rule": number, "term": term, "weight": weight} for (event, number, _, weight), term in found if term]
 
     def scan(texts: pa.Array) -> pa.Array:
-        return pa.array([hits(t) if t else [] for t in texts.to_pylist()], HITS)
+        return by_parts(lambda t: hits(t) if t else [], HITS, texts)
 
     scan.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(scan, HITS_SQL)(text)

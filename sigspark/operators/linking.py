@@ -18,7 +18,7 @@ from sigspark import fixed_values as fv
 from sigspark.config import Company, Dictionary
 from sigspark.functions import text as tx
 from sigspark.functions.barrier import attach
-from sigspark.functions.pattern_index import Pattern, PatternIndex
+from sigspark.functions.pattern_index import Pattern, PatternIndex, by_parts
 
 NO_STRINGS = "array<string>"
 # every macro pattern needs one of these words
@@ -98,8 +98,7 @@ class DictionaryScan:
 
     def column(self, text: Column, tags: Column) -> Column:
         def scan(texts: pa.Array, tag_lists: pa.Array) -> pa.Array:
-            pairs = zip(texts.to_pylist(), tag_lists.to_pylist())
-            return pa.array([self.evidence(t or "", known or []) for t, known in pairs], SCAN)
+            return by_parts(lambda t, known: self.evidence(t or "", known or []), SCAN, texts, tag_lists)
 
         scan.__annotations__ = {"texts": pa.Array, "tag_lists": pa.Array, "return": pa.Array}
         return F.arrow_udf(scan, SCAN_SQL)(text, tags)

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from sigspark.streaming.stateful import fill_to_one
 from sigspark.config import PortfolioParams
+from sigspark.functions import pattern_index
+from sigspark.operators import classify
 from sigspark.operators import portfolio as pf
 from sigspark.operators import ranking, sampling, stats
+from sigspark.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +23,34 @@ def numbers(spark):
     return frame, spark.createDataFrame(frame)
 
 
+def test_few_texts_of_a_batch_are_python_objects(monkeypatch):
+    taken = []
+
+    class Column(list):
+        def slice(self, at, n):
+            return Column(self[at : at + n])
+
+        def to_pylist(self):
+            taken.append(len(self))
+            return list(self)
+
+    got = pattern_index.by_parts(lambda t, k: [{"event_type": t, "rule": k, "term": t, "weight": 1.0}] if t else [], classify.HITS, Column(["x", None] * 450), Column(range(900)))
+    assert max(taken) <= pattern_index.ROWS < 900 and len(got) == 900
+    assert got.to_pylist()[898] == [{"event_type": "x", "rule": 898, "term": "x", "weight": 1.0}] and got.to_pylist()[899] == []
+    assert len(pattern_index.by_parts(lambda t: [], classify.HITS, Column())) == 0
+
+
+def test_large_tables_spread_into_more_parts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "one file")
+    spark.range(5000).coalesce(1).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert readers.spread(df, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(readers, "PART_BYTES", 500)
+    parts = readers.spread(df, "id").rdd.getNumPartitions()
+    assert parts == readers.file_bytes(spark, df.inputFiles()) // 500 > spark.sparkContext.defaultParallelism
+    assert readers.spread(df, "id").count() == 5000
+
+
 @pytest.mark.parametrize("groups", [[], ["g"]])
 def test_split_ranks_equal_window_ranks(numbers, groups):
     frame, df = numbers
