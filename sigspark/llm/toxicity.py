@@ -38,7 +38,7 @@ SAMPLE, LANDMARKS = 4000, 32
 #: From this many words of one length on, the dynamic programme is quicker than sorting triples; both are exact.
 MANY = 128
 LENGTH, DECAY, WIDEST, POWER = 3, 0.6, 16, 3
-CACHE = 800_000
+CACHE = 300_000
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 SINGLES = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -393,16 +393,12 @@ def toxicity_scores(df: DataFrame, model: Model, doc_id: str = "doc_id", text: s
 
 
 def drop_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df whose score is below the threshold; scored where they are read."""
-    names = df.columns
+    """The rows of df whose score is below the threshold; only their texts go to a worker, and only scores come back."""
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(texts: pa.Array) -> pa.Array:
         cache = value_cache(model)
-        at_text = names.index(text)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                scores = model.scores([t or "" for t in part.column(at_text).to_pylist()], cache)
-                yield part.filter(pa.array(scores < threshold))
+        parts = [model.scores(texts.slice(at, 500).to_pylist(), cache) for at in range(0, len(texts), 500)]
+        return pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
 
-    return df.mapInArrow(keep, df.schema)
+    score.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.where(F.arrow_udf(score, "double")(F.coalesce(F.col(f"`{text}`"), F.lit(""))) < threshold)
