@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sigspark.llm import decontam, near_copies, pieces, suffixes, toxicity
 from sigspark.llm.common import persist_table, table
+from sigspark.session import bound_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 TOKENIZER = "piece_bpe_32k.model"
@@ -20,7 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group that similarities of 0.8 or more of five-word shingles link."""
+    """One document of each group of near copies: SimHash fingerprints that meet at anchors, each link held to a similarity of 0.8
+    or more of five-word shingles, and an exact search for links of that similarity that fingerprints are too far apart for."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -52,7 +54,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents")
+    docs = table(bound_batches(spark), folder, "documents")
     for at, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, folder)
         if at < len(STAGES) - 1:

@@ -1,20 +1,24 @@
-"""Near copies by the exact similarity of their word shingles, searched with min-hash bands.
-
-Two texts link when the Jaccard similarity of their sets of five-word shingles is at least 0.8. SimHash does not reach
-that far: at 0.8 fingerprints of 64 bits differ in about ten bits (standard deviation 3), and no covering by anchors is a
-search any more at the radius of almost twenty that would take. So candidates come from min-hashes, and each link is checked.
-
-1. A text's shingles are a set of 64-bit hashes; equal sets are one node (by a 128-bit digest). ``BANDS`` bands of ``ROWS``
-   min-hashes each stand for a node. A pair of similarity s shares none with probability (1 - s^ROWS)^BANDS: at 0.8
-   about 1.3 in 10 million, less above. Only bands with two nodes or more go on.
-2. In a band every node is compared with one pivot, unless a chain of links joins them already or their set sizes forbid
+"""Near copies by SimHash, and by the exact similarity of word shingles for what fingerprints cannot tell.
+
+Two texts link when the Jaccard similarity of their sets of five-word shingles is at least 0.8. The search is SimHash's,
+as in ``simhash``: fingerprints of five-word shingles, anchors of a covering code, and an exact check of each link that an
+anchor gives. SimHash does not reach down to 0.8: there fingerprints of 64 bits differ in about ten bits (standard
+deviation 3), and no covering by anchors is a search any more at the radius of almost twenty that would take. So the
+texts that it leaves apart go on to an exact search, which compares only what no chain of links joins yet.
+
+1. A text's shingles are a set of 64-bit hashes; equal sets are one node (by a 128-bit digest). A node's fingerprint is the
+   bitwise majority of its shingles' hashes. Equal fingerprints, and those that meet at an anchor within three bits, are
+   candidates; the links that hold are the first components.
+2. ``BANDS`` bands of ``ROWS`` min-hashes each stand for a node. A pair of similarity s shares none with probability
+   (1 - s^ROWS)^BANDS: at 0.8 about 1.3 in 10 million, less above. Only bands with two nodes or more go on.
+3. In a band every node is compared with one pivot, unless a chain of links joins them already or their set sizes forbid
    0.8. There are ``STARS`` such rounds, each with other pivots, so a large group of near copies becomes one component at the
    price of few comparisons for each node. The nodes of bands that still hold several components are then joined by the
    prefixes of their sets: with all shingles in one order, the rarest first, two sets of 0.8 share one of the first
    n - ceil(0.8 n) + 1 shingles of either, and what follows the first such one must be long enough for the overlap that 0.8
    takes. Both rules are exact, so no link is lost, and texts that only share what many others have are no candidates,
    however many there are. Only shingles of such nodes are counted and ordered. No band and no shingle is capped.
-3. A comparison is the exact similarity of the two sets. Components of the links are the groups.
+4. A comparison is the exact similarity of the two sets. Components of the links are the groups.
 
 Defined results: a null text is an empty one; texts without words are alike; a text of fewer words than a shingle is one
 shingle; equal ids with different texts are compared like any others; in a group the row with the smallest id stays (a
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sigspark.llm.common import documents, keyed_rows, row_key
 from sigspark.llm.components import components
-from sigspark.llm.simhash import shingle_hashes
+from sigspark.llm.simhash import fingerprint_links, majority, shingle_hashes
 from sigspark.session import persist_table
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -63,19 +67,23 @@ def band_hashes(hashes: np.ndarray, seed: int = SEED) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, key, node, n, bands) per row: digest and size of its set of shingles, and the bands."""
+    """(doc_id, key, node, n, fp, bands) per row: digest and size of its set of shingles, the fingerprint, and the bands."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, width) for t in batch.column("text").to_pylist()]
-            arrays = [
-                pa.array([md5(s.astype("<u8").tobytes()).digest() for s in sets], pa.binary()),
-                pa.array([len(s) for s in sets], pa.int32()),
-                pa.array([band_hashes(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *arrays], names=["doc_id", "key", "node", "n", "bands"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                hashes = [shingle_hashes(t, width) for t in part.column("text").to_pylist()]
+                sets = [np.unique(h) for h in hashes]
+                arrays = [
+                    pa.array([md5(s.astype("<u8").tobytes()).digest() for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()),
+                    pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)),
+                    pa.array([band_hashes(s).view(np.int64) for s in sets], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *arrays], names=["doc_id", "key", "node", "n", "fp", "bands"])
 
-    return docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, node binary, n int, bands array<long>")
+    return docs.mapInArrow(each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, node binary, n int, fp long, bands array<long>")
 
 
 def set_table(docs: DataFrame, of: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -92,6 +100,16 @@ def set_table(docs: DataFrame, of: DataFrame, width: int = WIDTH) -> DataFrame:
     return chosen.mapInArrow(each, "node binary, hashes array<long>")
 
 
+def pairs_by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: of (node, fp) the nodes of equal fingerprints, with one of them, and those that anchors bring together."""
+    first = persist_table(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    equal = nodes.join(first, "fp").select(F.col("first").alias("a"), F.col("node").alias("b")).where("a != b")
+    one, two = (first.select(F.col("fp").alias(side), F.col("first").alias(f"first_{side}")) for side in "ab")
+    near = fingerprint_links(first.select("fp")).distinct().join(one, "a").join(two, "b")
+    met = near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
+    return equal.unionByName(met).distinct()
+
+
 def with_roots(shared: DataFrame, linked: DataFrame | None) -> DataFrame:
     if linked is None:
         return shared.withColumn("root", F.col("node"))
@@ -153,20 +171,23 @@ def near_copy_groups(
     """doc_id, key, root per row; rows of one root are near copies, directly or by a chain of links."""
     docs = documents(df, doc_id, text).withColumn("key", row_key())
     prints = persist_table(sketches(docs, width), "sketches")
-    nodes = prints.groupBy("node").agg(F.min(F.struct("key", "n", "bands")).alias("one"))
+    nodes = prints.groupBy("node").agg(F.min(F.struct("key", "n", "fp", "bands")).alias("one"))
+    tested = persist_table(pairs_by_fingerprint(nodes.select("node", F.col("one.fp").alias("fp"))), "pairs")
     placed = nodes.select("node", F.col("one.n").alias("n"), F.explode("one.bands").alias("band"))
     several = placed.groupBy("band").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = persist_table(placed.join(several, "band", "left_semi").select("band", "node", "n"), "bands")
     keys = prints.groupBy("node").agg(F.min("key").alias("key"))
-    sets = persist_table(set_table(docs, keys.join(shared.select("node").distinct(), "node"), width), "sets")
-    links = linked = tested = None
+    compared = shared.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
+    sets = persist_table(set_table(docs, keys.join(compared, "node"), width), "sets")
+    links = persist_table(similar(tested, sets, similarity), "similar")
+    linked = persist_table(components(links), "linked")
     for turn in range(stars + 1):
         pairs = pairs_with_pivots(shared, linked, similarity, turn + 1) if turn < stars else pairs_by_prefix(shared, linked, sets, similarity)
-        pairs = persist_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = persist_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = persist_table(similar(pairs, sets, similarity), "similar")
-        links = found if links is None else links.unionByName(found)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if linked is None or not found.isEmpty():
+        links = links.unionByName(found)
+        tested = tested.unionByName(pairs)
+        if not found.isEmpty():
             linked = persist_table(components(links), "linked")
     return prints.select("doc_id", "key", "node").join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 

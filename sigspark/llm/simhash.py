@@ -192,12 +192,17 @@ def chain_with(batches: Iterator[pa.RecordBatch], end: pa.RecordBatch) -> Iterat
     yield end
 
 
-def fingerprint_components(nodes: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> (node, root) of those that have links and are not the root."""
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (a, b) links that connect all that are within the radius."""
     placed = at_anchors(nodes)
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(partitions, "anchor").sortWithinPartitions("anchor")
-    return components(links_at_anchors(placed))
+    return links_at_anchors(placed)
+
+
+def fingerprint_components(nodes: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) -> (node, root) of those that have links and are not the root."""
+    return components(fingerprint_links(nodes))
 
 
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

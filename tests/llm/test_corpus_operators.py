@@ -144,6 +144,23 @@ def test_near_copy_groups(spark, odd, nothing, stars):
     assert near_copies.near_copy_groups(nothing).count() == 0
 
 
+def test_near_copies_are_searched_by_fingerprint(spark, monkeypatch):
+    """Without the exact search that follows, SimHash's anchors still bring together whatever is within three bits, and links are checked."""
+    base = prose(3, 400).split()
+    rows = [(k, " ".join([*base[:200], f"w{k}", *base[200:]])) for k in range(6)] + [(10 + k, prose(50 + k, 300)) for k in range(6)] + [(20, " ".join(base) + " " + " ".join(base))]
+    texts = [t for _, t in rows]
+    fp = [simhash.majority(simhash.shingle_hashes(t, near_copies.WIDTH)) for t in texts]
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    near = {(a, b) for a, b in combinations(range(len(rows)), 2) if (fp[a] ^ fp[b]).bit_count() <= 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(near) >= 5
+    nothing_more = lambda shared, linked, *rest: spark.createDataFrame([], "a binary, b binary")
+    monkeypatch.setattr(near_copies, "pairs_with_pivots", nothing_more)
+    monkeypatch.setattr(near_copies, "pairs_by_prefix", nothing_more)
+    root = {r["doc_id"]: bytes(r["root"]) for r in near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(root[rows[a][0]] == root[rows[b][0]] for a, b in near)
+    assert len({root[10 + k] for k in range(6)}) == 6
+
+
 def test_prefixes_lose_no_pair(spark):
     """Sets that meet in one band: all pairs of 0.8 are found, and sets that only share what all have are no candidates."""
     rng = np.random.default_rng(5)
@@ -365,6 +382,7 @@ def test_toxicity(spark, odd, nothing):
     assert told(r["doc_id"] for r in out) == told(i for i, _ in ids_and_texts(odd)) and all(0 <= r["score"] <= 1 for r in out)
     kept = toxicity.drop_toxic(odd, model)
     assert kept.columns == odd.columns and kept.count() <= odd.count()
+    assert "ArrowEvalPython" in kept._jdf.queryExecution().toString() and "MapInArrow" not in kept._jdf.queryExecution().toString()  # rows stay where they are
     assert toxicity.toxicity_scores(nothing, model).count() == 0
     one_kind = toxicity.fit_on(docs, labels.where("toxic = 0"))
     assert {r["score"] for r in toxicity.toxicity_scores(docs, one_kind).collect()} == {0.0}
