@@ -428,3 +428,40 @@ def test_rest_has_no_use_of_it():
     root = pathlib.Path(corpus_pipeline.__file__).parent
     users = [p for p in (root / "sigspark").rglob("*.py") if "llm" not in p.parts and "sigspark.llm" in p.read_text()]
     assert not users
+
+
+def test_one_worker_a_task_searches_runs_of_words(odd, monkeypatch):
+    plans = {}
+
+    def persist(df, name, write=suffixes.persist_table):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(suffixes, "persist_table", persist)
+    suffixes.suffix_dedup(odd, words=51).count()
+    assert len(plans["grams"]) == 2 and all(p.count("MapInArrow") == 1 for name in ("grams", "suffixes") for p in plans[name])
+
+
+def test_large_group_of_surroundings_in_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    content = [rng.integers(97, 123, 700, dtype=np.uint8).tobytes() for _ in range(4000)]
+    group, distance = np.zeros(4000, int), np.full(4000, 300)
+    tracemalloc.start()
+    row, window = suffixes.repeated_windows(group, [*content[:-1], content[0]], distance, np.zeros(4000, bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(row.tolist()) == {0, 3999} and sorted(window[row == 0].tolist()) == list(range(301))
+    assert peak < 50e6
+
+
+def test_hashes_of_rows_are_those_of_their_bytes(monkeypatch):
+    monkeypatch.setattr(suffixes, "HASHED", 50)
+    rng = np.random.default_rng(4)
+    content = [rng.integers(0, 256, n, dtype=np.uint8) for n in (30, 1, 90, 20, 7, 64)]
+    hashes = suffixes.RowHashes(np.concatenate(content), np.array([len(c) for c in content]), suffixes.BASES[1])
+    for r, data in enumerate(content):
+        start = np.arange(len(data))
+        alone = suffixes.Hashes(data, suffixes.BASES[1])
+        assert (hashes.of(np.full(len(data), r), start, np.full(len(data), len(data))) == alone.of(start, np.full(len(data), len(data)))).all()
