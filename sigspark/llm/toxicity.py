@@ -11,8 +11,8 @@ hash of the id) of the labelled rows that may be learned from. Sentences take th
 document only the sentences that the last round found most toxic count in the next round. A logistic function then turns a
 document's sentence margins into its score; it is fitted on documents of the sample that the machine has not seen.
 
-Scoring maps over whole texts without any shuffle. A worker keeps the values of at most ``CACHE`` words between tasks;
-others are worked out each time. Scores do not depend on it.
+Scoring maps over whole texts without any shuffle. A worker keeps the values of at most ``SLOTS`` words between tasks
+(16 bytes each, by a 64-bit hash); others are worked out each time. Scores do not depend on it.
 
 Defined results: a null or empty text has no sentences and gets the score of margin "none"; repeated rows get equal
 scores; rows without a label or with a null label are not learned from; without labels of both kinds every score is the
@@ -22,10 +22,12 @@ share of toxic labels among those that may be learned from (0 without any); an e
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import combinations
+from itertools import chain, combinations
+from operator import neg
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +39,18 @@ from sigspark.llm.common import documents, row_key, worker_memory
 SAMPLE, LANDMARKS = 4000, 32
 #: From this many words of one length on, the dynamic programme is quicker than sorting triples; both are exact.
 MANY = 128
+#: Code points under this are looked up in a table, others searched for.
+LOW = 1024
 LENGTH, DECAY, WIDEST, POWER = 3, 0.6, 16, 3
-CACHE = 300_000
+SLOTS = 1 << 20
+#: Texts that are scored at once.
+AT_ONCE = 500
 THRESHOLD = 0.7
 SENTENCE = re.compile(r"[.!?\n]+")
 SINGLES = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
 BEGIN, FINISH = "\u0002", "\u0003"
+#: What of ASCII can be at the edge of a token; stripping it first spares most tokens the pattern.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~"
 EDGES = re.compile(r"^\W+|\W+$")
 
 
@@ -53,7 +61,9 @@ def sentences(text: str) -> list[list[str]]:
 
 def pieces(token: str) -> list[str]:
     """A token without outer punctuation, between marks for its ends; one longer than WIDEST in pieces that overlap by half."""
-    word = EDGES.sub("", token)
+    word = token.strip(MARKS)
+    if not word.isalnum():
+        word = EDGES.sub("", word)
     if len(word) < LENGTH:
         return []
     word = f"{BEGIN}{word}{FINISH}"
@@ -71,6 +81,11 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def same_length(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, one row a word."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+
+
 def self_kernel(words: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of each word of one length with itself: equal triples add up before they are squared."""
     places, weight = spans(words.shape[1])
@@ -147,10 +162,14 @@ class Kernel:
     number: np.ndarray = field(init=False)
     triples: np.ndarray = field(init=False)
     norms: np.ndarray = field(init=False)
+    letters: np.ndarray = field(init=False)
     root: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.alphabet = np.unique(np.array([ord(c) for w in self.landmarks for c in w], np.uint32))
+        low = self.alphabet < LOW
+        self.letters = np.full(LOW, len(self.alphabet), np.int32)
+        self.letters[self.alphabet[low]] = np.flatnonzero(low)
         found: dict[int, np.ndarray] = {}
         for column, word in enumerate(self.landmarks):
             places, weight = spans(len(word))
@@ -166,9 +185,13 @@ class Kernel:
 
     def codes_of(self, table: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Number of each triple over the alphabet (a character outside it counts as the extra last one)."""
-        at = np.searchsorted(self.alphabet, table)
-        known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == table
-        letter = np.where(known, at, len(self.alphabet)).astype(np.int32)
+        letter = np.take(self.letters, table, mode="clip")
+        high = np.flatnonzero(table.ravel() >= LOW)
+        if len(high):
+            odd = table.ravel()[high]
+            at = np.searchsorted(self.alphabet, odd)
+            known = self.alphabet[np.minimum(at, len(self.alphabet) - 1)] == odd
+            letter.ravel()[high] = np.where(known, at, len(self.alphabet))
         code = np.zeros((len(table), len(places)), np.int32)
         for k in range(LENGTH):
             code *= np.int32(len(self.alphabet) + 1)
@@ -185,14 +208,18 @@ class Kernel:
             places, weight = spans(length)
             for at in range(0, len(members), block):
                 some = np.array(members[at : at + block])
-                table, _ = codes([words[i] for i in some])
+                table = same_length([words[i] for i in members[at : at + block]])
                 rows = self.number[self.codes_of(table, places)]
-                word, place = np.nonzero(rows)
-                hit = np.unique(word)
+                known = rows != 0
+                with_any = known.any(1)
+                hit = np.flatnonzero(with_any)
                 if not len(hit):
                     continue
                 n = len(self.triples)
-                at_triple = np.bincount(np.searchsorted(hit, word) * n + rows[word, place], weight[place], len(hit) * n)
+                flat = np.flatnonzero(known)
+                word, place = np.divmod(flat, len(places))
+                nth = np.cumsum(with_any) - 1
+                at_triple = np.bincount(nth[word] * n + rows.ravel()[flat], weight[place], len(hit) * n)
                 raw = at_triple.reshape(-1, n).astype(np.float32) @ self.triples
                 norm = self_kernel(table[hit])
                 out[some[hit]] = (raw / np.sqrt(np.maximum(norm, 1e-12)[:, None] * self.norms)) ** POWER
@@ -245,13 +272,35 @@ def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, hing
 def summary(document: list[tuple[float, list[float]]]) -> list[float]:
     """What of a document's sentences (margin, values of the words) the score looks at."""
     margins = sorted((m for m, _ in document), reverse=True)[:5] or [-2.0]
-    values = sorted((v for _, vs in document for v in vs if v > 0), reverse=True)
+    values = sorted([v for _, vs in document for v in vs if v > 0], reverse=True)
     top = (values + [0.0] * 5)[:5]
-    high, higher = sum(v > 0.5 for v in values), sum(v > 1 for v in values)
+    high, higher = (bisect_left(values, -least, key=neg) for least in (0.5, 1))
     n_words = sum(len(vs) for _, vs in document)
     return [margins[0], sum(margins) / len(margins), top[0], sum(top[:3]), sum(top), float(np.log1p(high)), float(np.log1p(higher)), higher / (n_words + 20), float(np.log1p(n_words))]
 
 
+class KnownWords:
+    """Values of words met before, in SLOTS places of 16 bytes; a word's 64-bit hash stands for it and tells its place, which the first to come keeps."""
+
+    def __init__(self, slots: int = SLOTS) -> None:
+        self.hashes, self.values = np.zeros(slots, np.int64), np.zeros(slots)
+
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = np.fromiter(map(hash, words), np.int64, len(words))
+        return hashes, hashes & (len(self.hashes) - 1)
+
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and whether each is known."""
+        hashes, place = self.places(words)
+        return self.values[place], self.hashes[place] == hashes
+
+    def keep(self, words: list[str], values: np.ndarray) -> None:
+        hashes, place = self.places(words)
+        place, first = np.unique(place, return_index=True)
+        free = self.hashes[place] == 0
+        self.hashes[place[free]], self.values[place[free]] = hashes[first[free]], values[first[free]]
+
+
 @dataclass
 class Model:
     """Everything that scoring needs; small, sent to the workers with the function."""
@@ -274,19 +323,23 @@ class Model:
         values = dict(zip(flat, (self.kernel.against(flat) @ self.word_weights).tolist(), strict=True)) if flat else {}
         return [max((values[p] for p in ps), default=0.0) for ps in parts]
 
-    def sentence_values(self, texts: list[str], cache: dict[str, float]) -> list[list[tuple[float, list[float]]]]:
-        """Of each text's sentences the margin and the words' values."""
+    def sentence_values(self, texts: list[str], cache: dict[str, KnownWords]) -> list[list[tuple[float, list[float]]]]:
+        """Of each text's sentences the margin and the words' values; ``cache`` keeps what is known of words."""
+        if "words" not in cache:
+            cache["words"] = KnownWords()
+        known = cache["words"]
         cut = [sentences(t) for t in texts]
-        words = {w for doc in cut for s in doc for w in s}
-        values = {w: cache[w] for w in words if w in cache}
-        new = [w for w in words if w not in values]
+        words = list(set().union(*chain.from_iterable(cut)))
+        at_hand, found = known.look_up(words)
+        new = np.flatnonzero(~found)
         for at in range(0, len(new), 50_000):
-            values.update(zip(new[at : at + 50_000], self.word_values(new[at : at + 50_000]), strict=True))
-        for w in new[: max(0, CACHE - len(cache))]:
-            cache[w] = values[w]
-        return [[(self.bias + sum(v := [values[w] for w in s]), v) for s in doc] for doc in cut]
+            some = new[at : at + 50_000]
+            at_hand[some] = self.word_values([words[i] for i in some])
+        known.keep([words[i] for i in new], at_hand[new])
+        values = dict(zip(words, at_hand.tolist(), strict=True))
+        return [[(self.bias + sum(v := list(map(values.__getitem__, s))), v) for s in doc] for doc in cut]
 
-    def scores(self, texts: list[str], cache: dict[str, float]) -> np.ndarray:
+    def scores(self, texts: list[str], cache: dict[str, KnownWords]) -> np.ndarray:
         if self.kernel is None or not texts:
             return np.full(len(texts), self.prior)
         x = np.array([summary(m) for m in self.sentence_values(texts, cache)])
@@ -369,7 +422,7 @@ def hash_order(value: object) -> int:
     return crc32(f"order {value}".encode())
 
 
-def value_cache(model: Model) -> dict[str, float]:
+def value_cache(model: Model) -> dict[str, KnownWords]:
     """What this worker keeps of the model's word values; another model starts anew."""
     kept = worker_memory("word values")
     if kept.get("model") != model.identity:
@@ -383,8 +436,8 @@ def toxicity_scores(df: DataFrame, model: Model, doc_id: str = "doc_id", text: s
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = value_cache(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
                 scores = model.scores(part.column("text").to_pylist(), cache)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(scores, pa.float64())], names=["doc_id", "key", "score"])
 
@@ -397,7 +450,7 @@ def drop_toxic(df: DataFrame, model: Model, threshold: float = THRESHOLD, doc_id
 
     def score(texts: pa.Array) -> pa.Array:
         cache = value_cache(model)
-        parts = [model.scores(texts.slice(at, 500).to_pylist(), cache) for at in range(0, len(texts), 500)]
+        parts = [model.scores(texts.slice(at, AT_ONCE).to_pylist(), cache) for at in range(0, len(texts), AT_ONCE)]
         return pa.array(np.concatenate([np.empty(0), *parts]), pa.float64())
 
     score.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -465,3 +465,30 @@ def test_hashes_of_rows_are_those_of_their_bytes(monkeypatch):
         start = np.arange(len(data))
         alone = suffixes.Hashes(data, suffixes.BASES[1])
         assert (hashes.of(np.full(len(data), r), start, np.full(len(data), len(data))) == alone.of(start, np.full(len(data), len(data)))).all()
+
+
+def test_word_values_take_bounded_memory_and_stay_right():
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 7)) for _ in range(200)) for _ in range(120)]
+    labels = np.arange(120) % 2
+    model = toxicity.fit([f"{t} grubnard vilewort" if y else t for t, y in zip(texts, labels)], labels, 0.5)
+    cache = {}
+    first = model.scores(texts, cache)
+    assert len(cache["words"].hashes) == toxicity.SLOTS and cache["words"].hashes.nbytes + cache["words"].values.nbytes <= 16 << 20
+    assert np.allclose(model.scores(texts, cache), first) and np.allclose(model.scores(texts, {"words": toxicity.KnownWords(64)}), first)
+
+
+def test_known_words_with_few_places():
+    known = toxicity.KnownWords(8)
+    words = [f"w{i}" for i in range(100)]
+    known.keep(words, np.arange(100.0))
+    values, found = known.look_up(words)
+    assert 0 < found.sum() <= 8 and (values[found] == np.flatnonzero(found)).all()
+    known.keep(words, np.full(100, -1.0))
+    assert (known.look_up(words)[0][found] == values[found]).all() and not known.look_up([])[1].size
+
+
+def test_token_edges_as_by_the_pattern():
+    for token in ["a_b", "_x_", "__", "word,", "(word)", "«word»", "-–word…!", "ab", "é!é", "!?", "x" * 40 + ".", "`~", "don't", "́abc", "²ab²"]:
+        word = toxicity.EDGES.sub("", token)
+        assert "".join(toxicity.pieces(token))[1:4] == word[:3] if len(word) >= 3 else toxicity.pieces(token) == []
