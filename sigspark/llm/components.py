@@ -4,7 +4,8 @@ Each round rewires links so that every node points to the smallest node it knows
 larger neighbours to the smallest of its neighbourhood, a small-star step does so with its smaller ones. The number of
 rounds grows with the logarithm of a component's diameter, and links never exceed their first number. A node that has
 very many links is no hot spot: the smallest neighbour is a partly aggregated minimum, and the join that hands it out
-is an ordinary equi-join, whose hot keys Spark splits. Each round is written to the shared folder, so that a lost
+is an ordinary equi-join, whose hot keys Spark splits; it sorts and merges, for broadcasting a small table would take
+the driver's memory and a thread of it in each of many short rounds. Each round is written to the shared folder, so that a lost
 executor costs one round. Only two numbers a round reach the driver.
 """
 
@@ -23,12 +24,12 @@ def star(links: DataFrame, smaller: bool) -> DataFrame:
     else:
         around = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("x")).select("x.*")
     least = around.groupBy("node").agg(F.min("near").alias("least"))
+    joined = around.join(least.hint("merge"), "node")
     if smaller:
-        rewired = around.join(least, "node").select(F.col("near").alias("a"), F.col("least").alias("b"))
-        own = least.select(F.col("node").alias("a"), F.col("least").alias("b"))
-        rewired = rewired.where("a > b").unionByName(own)
+        both = F.array(F.struct(F.col("near").alias("a"), F.col("least").alias("b")), F.struct(F.col("node").alias("a"), F.col("least").alias("b")))
+        rewired = joined.select(F.explode(both).alias("x")).select("x.*").where("a > b")
     else:
-        rewired = around.where("near > node").join(least, "node").select(F.col("near").alias("a"), F.least("least", "node").alias("b"))
+        rewired = joined.where("near > node").select(F.col("near").alias("a"), F.least("least", "node").alias("b"))
     return rewired.distinct()
 
 

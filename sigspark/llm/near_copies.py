@@ -179,16 +179,14 @@ def near_copy_groups(
     keys = prints.groupBy("node").agg(F.min("key").alias("key"))
     compared = shared.select("node").unionByName(tested.select(F.col("a").alias("node"))).unionByName(tested.select(F.col("b").alias("node"))).distinct()
     sets = persist_table(set_table(docs, keys.join(compared, "node"), width), "sets")
-    links = persist_table(similar(tested, sets, similarity), "similar")
-    linked = persist_table(components(links), "linked")
+    linked = components(persist_table(similar(tested, sets, similarity), "similar"))
     for turn in range(stars + 1):
         pairs = pairs_with_pivots(shared, linked, similarity, turn + 1) if turn < stars else pairs_by_prefix(shared, linked, sets, similarity)
         pairs = persist_table(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = persist_table(similar(pairs, sets, similarity), "similar")
-        links = links.unionByName(found)
         tested = tested.unionByName(pairs)
-        if not found.isEmpty():
-            linked = persist_table(components(links), "linked")
+        if not found.isEmpty():  # what is joined already goes on as stars, which take few rounds
+            linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
     return prints.select("doc_id", "key", "node").join(linked, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
 
 

@@ -21,10 +21,13 @@ share of toxic labels among those that may be learned from (0 without any); an e
 
 from __future__ import annotations
 
+import ctypes
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 from itertools import chain, combinations
 from operator import neg
@@ -228,10 +231,9 @@ class Kernel:
 
 def choose_landmarks(texts: list[str], labels: np.ndarray, count: int) -> list[str]:
     """Words that tell the labels apart, without near repetitions, and frequent words as the rest."""
-    seen = [{p for s in sentences(t) for w in s for p in pieces(w)} for t in texts]
     toxic, clean = Counter(), Counter()
-    for words, label in zip(seen, labels, strict=True):
-        (toxic if label else clean).update(words)
+    for text, label in zip(texts, labels, strict=True):
+        (toxic if label else clean).update({p for s in sentences(text) for w in s for p in pieces(w)})
     n_toxic, n_clean = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
     odds = lambda w: (toxic[w] + 0.5) / (n_toxic + 1) / ((clean[w] + 0.5) / (n_clean + 1))
     telling = sorted((w for w in toxic if toxic[w] >= 3 and odds(w) > 2), key=lambda w: (-toxic[w] * np.log(odds(w)), w))[: 20 * count]
@@ -253,7 +255,8 @@ def choose_landmarks(texts: list[str], labels: np.ndarray, count: int) -> list[s
 def fit_linear(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, hinge: bool, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Squared hinge (a support vector machine) or logistic loss; gradient steps with momentum on scaled features."""
     scale = x.std(0) + np.float32(1e-9)
-    z = np.c_[x / scale, np.ones((len(x), 1), x.dtype)]
+    z = np.ones((len(x), x.shape[1] + 1), x.dtype)
+    np.divide(x, scale, out=z[:, :-1])
     sign = np.where(y > 0, 1.0, -1.0).astype(x.dtype)
     weight = (weight / weight.sum()).astype(x.dtype)
     top = np.linalg.eigvalsh(((z * weight[:, None]).T @ z).astype(np.float64))[-1]
@@ -346,7 +349,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.offset, -50, 50)))
 
 
-def batched(values: list[str], size: int) -> Iterator[list[str]]:
+def batched(values: list, size: int) -> Iterator[list]:
     return (values[i : i + size] for i in range(0, len(values), size))
 
 
@@ -357,22 +360,25 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, landmarks: int = LAN
         return Model(prior)
     kernel = Kernel(choose_landmarks(texts, labels, landmarks))
     parts = np.arange(len(texts)) % 3  # two thirds for the machine, one third for the logistic function
-    owners, groups = [], []
+    owners, starts, places = array("q"), array("q"), array("q")
+    words: dict[str, int] = {}  # a sentence is numbers of words: as strings, each occurrence would be an object of its own
     for i in np.flatnonzero(parts > 0):
         for s in sentences(texts[i]):
-            known = [p for w in s for p in pieces(w)]
-            if known:
+            begin = len(places)
+            places.extend(words.setdefault(p, len(words)) for w in s for p in pieces(w))
+            if len(places) > begin:
                 owners.append(i)
-                groups.append(known)
-    words = {w: n for n, w in enumerate(dict.fromkeys(p for g in groups for p in g))}
+                starts.append(begin)
     features = np.concatenate([kernel.against(part) for part in batched(list(words), 20_000)]) @ kernel.root.astype(np.float32)
+    del words
+    starts.append(len(places))
     rows = []
-    for at in range(0, len(groups), 2000):
-        some = groups[at : at + 2000]
-        starts = np.cumsum([0, *map(len, some)])[:-1]
-        rows.append(np.add.reduceat(features[[words[p] for g in some for p in g]], starts))
-    del features, groups
+    for at in range(0, len(owners), 2000):
+        some = np.array(starts[at : at + 2001])
+        rows.append(np.add.reduceat(features[places[some[0] : some[-1]]], some[:-1] - some[0]))
+    del features, places
     x, owner = np.concatenate(rows), np.array(owners)
+    del rows
     doc_label = labels[owner]
     use = np.ones(len(x), bool)
     for _ in range(3):
@@ -385,7 +391,8 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, landmarks: int = LAN
         use = (doc_label == 0) | (margin >= np.minimum(0.5, best[owner] - 1e-9))
     model = Model(prior, kernel, kernel.root @ w, b)
     held = [i for i in range(len(texts)) if parts[i] == 0]
-    seen = np.array([summary(m) for m in model.sentence_values([texts[i] for i in held], {})])
+    cache: dict[str, KnownWords] = {}
+    seen = np.array([summary(m) for part in batched(held, AT_ONCE) for m in model.sentence_values([texts[i] for i in part], cache)])
     y = labels[held]
     share = max(1e-6, min(1 - 1e-6, prior))
     weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))  # as frequent as among all rows
@@ -413,7 +420,16 @@ def fit_on(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # at most SAMPLE ids and labels
     rows = documents(df, doc_id, text).join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text").dropDuplicates(["doc_id"]).limit(sample).collect()
     rows.sort(key=lambda r: (hash_order(r["doc_id"]), str(r["doc_id"])))
-    return fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), counts.get(1, 0) / total)
+    model = fit([r["text"] for r in rows], np.array([r["label"] for r in rows]), counts.get(1, 0) / total)
+    del rows
+    give_back_memory()
+    return model
+
+
+def give_back_memory() -> None:
+    """What the fit has freed goes back to the system, for the driver lives on: glibc keeps holes in its heap. Elsewhere nothing happens."""
+    with suppress(OSError, TypeError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def hash_order(value: object) -> int:

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
 from zlib import crc32
@@ -48,6 +49,32 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds_broadcast_nothing(spark):
+    links = spark.createDataFrame([(i + 1, i) for i in range(20)], "a long, b long")
+    found = components.star(components.star(links, smaller=False), smaller=True)
+    assert len(found.collect()) == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_fit_holds_no_string_for_each_occurrence(monkeypatch):
+    class Built(Exception):
+        pass
+
+    def stop(*_, **__):
+        raise Built
+
+    texts = [". ".join(" ".join(f"w{(i * 7 + j * j) % 211:03d}" for j in range(100)) for _ in range(20)) for i in range(150)]
+    monkeypatch.setattr(toxicity, "fit_linear", stop)
+    tracemalloc.start()
+    try:
+        with pytest.raises(Built):
+            toxicity.fit(texts, np.arange(150) % 2, 0.5, landmarks=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * 200_000  # 200,000 occurrences of 211 words; a string takes 55 bytes
+
 def plain_fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text.encode()))
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
